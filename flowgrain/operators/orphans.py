@@ -36,6 +36,10 @@ def referring(entries: DataFrame, key: str, fields: Sequence[str], loaded: str,
     )
 
 
+def _tagged(field: str) -> Column:
+    return F.transform(F.col(field), lambda r: F.struct(F.lit(field).alias("ref_field"), r.alias("ref_key")))
+
+
 def broken_references(
     entries: DataFrame,
     library: DataFrame,
@@ -54,7 +58,7 @@ def broken_references(
     children = keyed.select(
         F.col("key").alias("function_key"),
         F.col("loaded").alias("at"),
-        F.explode(F.concat(*(F.transform(F.col(f), lambda r, f=f: F.struct(F.lit(f).alias("ref_field"), r.alias("ref_key"))) for f in fields))).alias("r"),
+        F.explode(F.concat(*map(_tagged, fields))).alias("r"),
     ).select("function_key", "at", "r.ref_field", "r.ref_key")
 
     none = F.lit(None).cast("timestamp")
