@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgrain.llm import packing, tokens
+from flowgrain.llm import packing, residue, tokens
 from flowgrain.session import table
 
 
@@ -22,6 +22,14 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return used.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count("*") * 2048)).alias("filled"), F.sum("n").alias("n_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_packed, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_packed, p7_report, p8_found, p8_kinds)}
 
 ORACLE: dict[str, str] = {}
