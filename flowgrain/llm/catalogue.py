@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgrain.llm import best_record, documented, packing, residue, tokens
+from flowgrain.llm import best_record, defects, documented, packing, residue, tokens
 from flowgrain.session import table
 
 
@@ -17,6 +17,10 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     return best_record.best_records(table(spark, d, "k_functions")).select("project", "qualified_name", "param_types", "comment", "file", F.coalesce("line", F.lit(0)).alias("line"), "n_records")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defects(table(spark, d, "cfg_nodes"), table(spark, d, "flowcharts"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return documented.documented(table(spark, d, "source_files")).where("inherited_from is null").select("file", "line", "qualified_name")
 
@@ -46,7 +50,7 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p4_found, p4_pairs, p6_ids, p7_packed, p7_report, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p3_found, p4_found, p4_pairs, p6_ids, p7_packed, p7_report, p8_found, p8_kinds)}
 
 _GROUPS = r"""with k as (
   select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(qualified_name, '\s', '', 'g'), '\(.*$', ''), '\.', '::', 'g'), '^:+', '') as nm,
