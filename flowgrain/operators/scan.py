@@ -1,0 +1,90 @@
+"""The project scanner: functions, enumerations, macros and typedefs of source files as symbol tables.
+
+Files are read in tasks by the light C++ front end; what is kept, merged and related to a project is done by Spark.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from flowgrain.functions.labels import last_name
+from flowgrain.functions.text import is_system_path
+from flowgrain.operators.lookups import last_writer, merge_functions
+from flowgrain.sources.cpp import clean_lines, declarations
+
+SCHEMA = "file string, ord int, kind string, name string, line int, end_line int, signature string, is_definition boolean, comment string, inline string, detail string"
+#: Fixed value: names of include guards.
+GUARD = r"^[A-Z_]+_H[_H]?$"
+
+
+def comment_text(comment: str) -> str:
+    """The words of a comment on one line."""
+    kept = (re.sub(r"^[\s/*!<]+|[\s*/]+$", "", line) for line in comment.split("\n"))
+    return " ".join(k for k in kept if k)
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """One row per declaration of `files` (file, source_text), in the order of each file; a file that can't be read gives a row of kind `error`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for file, text in zip(b["file"], b["source_text"]):
+                try:
+                    found = declarations(clean_lines(text))
+                except (IndexError, ValueError) as e:
+                    rows.append((file, 0, "error", "", 0, 0, "", False, "", "", str(e)))
+                    continue
+                for n, d in enumerate(found):
+                    detail = "" if d.kind == "function" else d.detail
+                    rows.append((file, n, d.kind, d.qualified_name, d.line, d.end_line, d.signature, d.is_definition, comment_text(d.comment), comment_text(d.inline), detail))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return files.where("source_text is not null").select("file", "source_text").mapInPandas(run, SCHEMA).dropDuplicates(["file", "ord"]).where(~is_system_path(F.col("file")))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """`pos`: the place in scan order, files by path."""
+    return rows.withColumn("pos", F.struct("file", "ord"))
+
+
+def functions(rows: DataFrame, simple_names: bool = True) -> DataFrame:
+    """Functions by name, merged over files: comment above or else beside; names without scopes unless told otherwise."""
+    name = last_name(F.col("name")) if simple_names else F.col("name")
+    own = _placed(rows.where("kind = 'function'")).select("pos", name.alias("qualified_name"), "signature", "file", "line", F.when(F.col("comment") != "", F.col("comment")).otherwise(F.col("inline")).alias("comment"), "is_definition")
+    return merge_functions(own)
+
+
+def macros(rows: DataFrame) -> DataFrame:
+    """Constant macros: no leading underscore, a value, not function-like, no include guard; the value is cut at 120 characters."""
+    own = _placed(rows.where("kind = 'macro'")).where("name not like '\\_%' and detail != '' and detail not like '(%'").where(~F.col("name").rlike(GUARD))
+    return last_writer(own.select("pos", "name", F.substring("detail", 1, 120).alias("value"), "file", F.when(F.col("inline") != "", F.col("inline")).otherwise(F.col("comment")).alias("comment")), "name")
+
+
+def typedefs(rows: DataFrame) -> DataFrame:
+    own = _placed(rows.where("kind = 'typedef'")).where("detail != '' and detail != name")
+    return last_writer(own.select("pos", "name", F.col("detail").alias("underlying"), "file", F.when(F.col("comment") != "", F.col("comment")).otherwise(F.col("inline")).alias("comment")), "name")
+
+
+def enum_values(rows: DataFrame) -> DataFrame:
+    """`enum`, `ord`, `name`, `value`, `comment` of each member, in order; members without a value count on from the one before."""
+    body = _placed(rows.where("kind = 'enum'")).groupBy("name").agg(F.max_by("detail", "pos").alias("detail"))
+    code = F.regexp_replace("detail", r"(?s)//[^\n]*|/\*.*?\*/", "")
+    member = body.select(F.col("name").alias("enum"), F.posexplode(F.filter(F.transform(F.split(code, ","), F.trim), lambda x: x != "")).alias("ord", "m"))
+    name = F.regexp_extract("m", r"^([A-Za-z_]\w*)", 1)
+    given = member.select("enum", "ord", name.alias("name"), F.nullif(F.trim(F.regexp_extract("m", r"=\s*([^\n]*)", 1)), F.lit("")).alias("given"), F.lit("").alias("comment")).where("name != ''")
+    w = Window.partitionBy("enum").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.expr(r"try_cast(given as bigint)")
+    since = given.withColumn("base", F.last(F.when(F.col("given").isNotNull(), number), True).over(w)).withColumn("base_ord", F.last(F.when(F.col("given").isNotNull(), F.col("ord")), True).over(w))
+    value = F.coalesce("given", (F.coalesce("base", F.lit(0)) + F.col("ord") - F.coalesce("base_ord", F.lit(0))).cast("string"))
+    return since.select("enum", "ord", "name", value.alias("value"), "comment")
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """`file`, `kind`, `n`: what each file adds."""
+    return rows.groupBy("file", "kind").agg(F.count("*").alias("n"))
