@@ -60,27 +60,30 @@ def edge_line(source: Column, target: Column, label: Column) -> Column:
 
 
 def predicate_phrase(method: Column, negated: Column) -> Column:
-    """What a yes-or-no method tells, by the first prefix that begins its name; null if none does."""
-    out = F.lit(None).cast("string")
-    for prefix in reversed(PREDICATES):
-        words = F.lower(F.trim(F.regexp_replace(F.substring(method, len(prefix) + 1, 1 << 30), "([A-Z])", " $1")))
-        if prefix in ("is", "are"):
-            said = F.when(negated, F.concat(F.lit("is not "), words)).otherwise(F.concat(F.lit("is "), words))
-        else:
-            said = F.when(negated, F.concat(F.lit(f"does not {prefix} "), words)).otherwise(F.concat(F.lit(f"{prefix}s "), words))
-        out = F.when(F.lower(method).startswith(prefix) & (F.length(method) > len(prefix)), said).otherwise(out)
-    return out
+    """What a yes-or-no method tells, by the first prefix in the list that begins its name; null if none does."""
+
+    def said(m: Column) -> Column:
+        prefix = F.lower(F.regexp_extract(m, rf"(?i)^({'|'.join(PREDICATES)})(?=.)", 1))
+        words = F.lower(F.trim(F.regexp_replace(F.substring(m, F.length(prefix) + 1, F.lit(1 << 30)), "([A-Z])", " $1")))
+        to_be = prefix.isin("is", "are")
+        begin = F.when(to_be & negated, "is not ").when(to_be, "is ").when(negated, F.concat(F.lit("does not "), prefix, F.lit(" "))).otherwise(F.concat(prefix, F.lit("s ")))
+        return F.when(prefix != "", F.concat(begin, words))
+
+    return F.transform(F.array(method), said)[0]
 
 
 def predicate(expression: Column) -> Column:
     """`[!]object->isReady(...)` or `[!]isReady(...)` in words, else null."""
-    negated = expression.startswith("!")
-    bare = F.regexp_replace(expression, r"^!\s*", "")
-    with_object = r"^([\w\->:.*]+?)\s*->\s*(\w+)\s*\("
-    owner = F.regexp_extract(bare, with_object, 1)
-    owned = predicate_phrase(F.regexp_extract(bare, with_object, 2), negated)
-    alone = predicate_phrase(F.regexp_extract(bare, r"^(\w+)\s*\(", 1), negated)
-    return F.coalesce(F.when(owner != "", F.concat(owner, F.lit(" "), owned)), alone)
+    with_object = r"^(?:!\s*)?([\w\->:.*]+?)\s*->\s*(\w+)\s*\("
+
+    def said(e: Column) -> Column:
+        owner = F.regexp_extract(e, with_object, 1)
+        negated = e.startswith("!")
+        owned = predicate_phrase(F.regexp_extract(e, with_object, 2), negated)
+        alone = predicate_phrase(F.regexp_extract(e, r"^(?:!\s*)?(\w+)\s*\(", 1), negated)
+        return F.coalesce(F.when(owner != "", F.concat(owner, F.lit(" "), owned)), alone)
+
+    return F.transform(F.array(expression), said)[0]
 
 
 def plain_symbols(c: Column) -> Column:
@@ -178,14 +181,20 @@ def enum_summary(comment: Column, values: Column, most: int = 8) -> Column:
 
 
 def first_json_object(text: Column) -> Column:
-    """The first `{` to the bracket that closes it, code fences taken off; null if there is none. Brackets in strings count."""
+    """The first `{` to the bracket that closes it, code fences taken off; null if there is none. Brackets in strings count.
+
+    Only the brackets are walked through: the one that closes is the n-th `}`.
+    """
+
+    def found(rest: Column) -> Column:
+        step = lambda s, c: F.struct(
+            F.when(s["done"], s["depth"]).when(c == "{", s["depth"] + 1).otherwise(s["depth"] - 1).alias("depth"),
+            F.when(s["done"] | (c == "{"), s["closed"]).otherwise(s["closed"] + 1).alias("closed"),
+            (s["done"] | ((c == "}") & (s["depth"] == 1))).alias("done"),
+        )
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"), F.lit(False).alias("done"))
+        n = F.aggregate(F.regexp_extract_all(rest, F.lit("[{}]"), F.lit(0)), start, step, lambda s: F.when(s["done"], s["closed"]))
+        return F.when(n > 0, F.concat(F.call_function("substring_index", rest, F.lit("}"), n), F.lit("}")))
+
     bare = F.regexp_replace(F.regexp_replace(text, r"```(?:json)?\s*", ""), "```", "")
-    start = F.instr(bare, "{")
-    rest = F.substring(bare, start, F.lit(1 << 30))
-    step = lambda s, c: F.struct(
-        (s["at"] + 1).alias("at"),
-        (s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("depth"),
-        F.when((s["end"] == 0) & (c == "}") & (s["depth"] == 1), s["at"] + 1).otherwise(s["end"]).alias("end"),
-    )
-    end = F.aggregate(F.split(rest, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end")), step, lambda s: s["end"])
-    return F.when((start > 0) & (end > 0), F.substring(rest, F.lit(1), end))
+    return F.transform(F.array(F.when(bare.contains("{"), F.concat(F.lit("{"), F.regexp_extract(bare, r"(?s)^[^{]*\{(.*)$", 1)))), found)[0]

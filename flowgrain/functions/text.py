@@ -54,19 +54,19 @@ def extent(all_lines: Column, first: Column, last: Column, first_col: Column, la
 def line_comment(line: Column) -> Column:
     """The text after the first `//` outside double quotes, without white space around it, else ''.
 
-    A fold over the characters carries the place, whether a string is open, and the start of the comment; a quote
-    after a backslash opens and closes nothing.
+    A fold over quotes, slashes and what lies between them carries the place, whether a string is open, and the start of
+    the comment; a quote after a backslash opens and closes nothing.
     """
-    n = F.length(line)
-    step = lambda s, c: F.struct(
-        (s["at"] + 1).alias("at"),
-        F.when((c == '"') & (s["last"] != "\\") & (s["at"] < n), ~s["open"]).otherwise(s["open"]).alias("open"),
-        c.alias("last"),
-        F.when((s["from"] == 0) & (c == "/") & (s["last"] == "/") & ~s["open"], s["at"] + 1).otherwise(s["from"]).alias("from"),
+    parts = F.regexp_extract_all(line, F.lit(r'//|"|/|[^"/]+'), F.lit(0))
+    step = lambda s, t: F.struct(
+        (s["at"] + F.length(t)).alias("at"),
+        F.when((t == '"') & ~s["escaped"], ~s["open"]).otherwise(s["open"]).alias("open"),
+        t.endswith("\\").alias("escaped"),
+        F.when((s["from"] == 0) & (t == "//") & ~s["open"], s["at"] + 2).otherwise(s["from"]).alias("from"),
     )
-    start = F.struct(F.lit(1).alias("at"), F.lit(False).alias("open"), F.lit("").alias("last"), F.lit(0).alias("from"))
-    found = F.aggregate(F.split(line, ""), start, step, lambda s: s["from"])
-    return F.when(line.contains("//") & (found > 0), strip(F.substring(line, found, F.lit(1 << 30)))).otherwise("")
+    start = F.struct(F.lit(1).alias("at"), F.lit(False).alias("open"), F.lit(False).alias("escaped"), F.lit(0).alias("from"))
+    found = F.aggregate(parts, start, step, lambda s: s["from"])
+    return F.transform(F.array(found), lambda n: F.when(n > 0, strip(F.substring(line, n, F.lit(1 << 30)))).otherwise(""))[0]
 
 
 def is_system_path(path: Column) -> Column:

@@ -30,9 +30,9 @@ def script_edges(charts: DataFrame, key: str = "function_key", script: str = "me
     return rows.select("function_key", "edge_ord", F.regexp_extract("line", _EDGE, 1).alias("source"), F.regexp_extract("line", _EDGE, 3).alias("target"), F.nullif(F.regexp_extract("line", _EDGE, 2), F.lit("")).alias("label")).where("source != ''")
 
 
-def _orders(ids: pd.Series, sources: pd.Series, targets: pd.Series, entry: pd.Series) -> pd.Series:
-    """Breadth-first order of each graph from its entry, then the other nodes as they come."""
-    out = []
+def _orders(ids: pd.Series, sources: pd.Series, targets: pd.Series, entry: pd.Series) -> pd.DataFrame:
+    """Breadth-first order of each graph from its entry, then the other nodes as they come; how many were reached."""
+    out, reached = [], []
     for own, src, dst, first in zip(ids, sources, targets, entry):
         known, ways = set(own), {}
         for a, b in zip(src, dst):
@@ -48,33 +48,40 @@ def _orders(ids: pd.Series, sources: pd.Series, targets: pd.Series, entry: pd.Se
                 order.append(n)
             queue.extend(b for b in ways.get(n, []) if b not in seen)
         out.append([*order, *(n for n in own if n not in seen)])
-    return pd.Series(out)
+        reached.append(len(order))
+    return pd.DataFrame({"nodes": out, "reached": reached})
 
 
-def breadth_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`function_key`, `node_id`, `ord`: each graph's nodes from its START, breadth first, edges in their order.
-
-    A graph is one row of arrays here; many graphs go to Python in one batch.
-    """
-    walk = F.pandas_udf(_orders, "array<string>")
+def _walked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`function_key`, `ord`, `node_id`, `reached`. A graph is one row of arrays; many graphs go to Python in one batch."""
+    walk = F.pandas_udf(_orders, "nodes array<string>, reached int")
     own = distinct_nodes(nodes).groupBy("function_key").agg(F.array_sort(F.collect_list(F.struct("node_seq", "node_id"))).alias("n"), F.min_by("node_id", F.when(F.col("node_type") == "START", F.col("node_seq"))).alias("entry"))
     ways = edges.groupBy("function_key").agg(F.array_sort(F.collect_list(F.struct("edge_ord", "source", "target"))).alias("e"))
     both = own.join(ways, "function_key", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<edge_ord:int,source:string,target:string>>")))
-    order = walk(F.col("n.node_id"), F.col("e.source"), F.col("e.target"), F.coalesce("entry", F.lit("")))
-    return both.select("function_key", F.posexplode(order).alias("ord", "node_id")).select("function_key", "node_id", "ord")
+    order = both.select("function_key", walk(F.col("n.node_id"), F.col("e.source"), F.col("e.target"), F.coalesce("entry", F.lit(""))).alias("w"))
+    return order.select("function_key", "w.reached", F.posexplode("w.nodes").alias("ord", "node_id"))
+
+
+def breadth_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`function_key`, `node_id`, `ord`: each graph's nodes from its START (or first node), breadth first, edges in their order."""
+    return _walked(nodes, edges).select("function_key", "node_id", "ord")
 
 
 def reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`function_key`, `node_id` of what can be reached from START: a frontier is joined with the edges until nothing is new.
+    """`function_key`, `node_id` of the nodes that can be reached from START."""
+    started = nodes.where("node_type = 'START'").select("function_key").distinct()
+    return _walked(nodes, edges).where("ord < reached").join(started, "function_key", "left_semi").select("function_key", "node_id")
+
 
-    All graphs advance together; the rounds are bounded by the longest graph.
-    """
+def reachable_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for graphs too large for a row: a frontier is joined with the edges until nothing is new."""
     fresh = cut(distinct_nodes(nodes).where("node_type = 'START'").select("function_key", "node_id"))
     found, ways = fresh, cut(edges.select("function_key", F.col("source").alias("node_id"), "target").distinct())
+    known = distinct_nodes(nodes).select("function_key", "node_id")
     while not fresh.isEmpty():
         step = ways.join(fresh, ["function_key", "node_id"]).select("function_key", F.col("target").alias("node_id")).distinct()
-        fresh = cut(step.join(found, ["function_key", "node_id"], "left_anti"))
-        found = found.unionByName(fresh)
+        fresh = cut(step.join(found, ["function_key", "node_id"], "left_anti").join(known, ["function_key", "node_id"], "left_semi"))
+        found = cut(found.unionByName(fresh))
     return found
 
 

@@ -73,23 +73,23 @@ def prompt(qualified_name: Column, params: Column, purpose: Column, context: Col
 
 def reply_error(reply: Column, node_ids: Column) -> Column:
     """What is wrong with a reply, the first of: no object, no JSON, missing ids, a label that is no text, blank or too long; null if nothing is."""
-    found = first_json_object(reply)
-    parsed = F.try_parse_json(found)
-    labels = F.from_json(found, "map<string,string>")
-    missing = F.array_sort(F.array_except(node_ids, F.coalesce(F.map_keys(labels), F.array().cast("array<string>"))))
-    texts = F.from_json(found, "map<string,variant>")
-    not_text = F.filter(F.map_keys(texts), lambda k: F.schema_of_variant(F.element_at(texts, k)) != "STRING")
-    blank = F.filter(F.map_keys(labels), lambda k: F.regexp_replace(F.coalesce(F.element_at(labels, k), F.lit("")), r"(?U)\s", "") == "")
-    long = F.filter(F.map_keys(labels), lambda k: F.length(F.element_at(labels, k)) > LONGEST)
-    first = lambda a, text: F.when(F.size(a) > 0, F.concat(F.lit(text), F.element_at(F.array_sort(a), 1)))
-    return F.coalesce(
-        F.when(found.isNull(), "no JSON object"),
-        F.when(parsed.isNull(), "JSON parse error"),
-        F.when(F.size(missing) > 0, F.concat(F.lit("missing ids: "), F.array_join(missing, ", "))),
-        first(not_text, "not a text: "),
-        first(blank, "empty label: "),
-        first(long, "too long: "),
-    )
+
+    def wrong(r: Column) -> Column:
+        labels = F.from_json(r, "map<string,string>")
+        texts = F.from_json(r, "map<string,variant>")
+        missing = F.array_sort(F.array_except(node_ids, F.coalesce(F.map_keys(labels), F.array().cast("array<string>"))))
+        first = lambda a, text: F.transform(F.array(F.array_sort(a)), lambda x: F.when(F.size(x) > 0, F.concat(F.lit(text), F.get(x, F.lit(0)))))[0]
+        keys = lambda m, bad: F.map_keys(F.map_filter(m, lambda _, v: bad(v)))
+        return F.coalesce(
+            F.when(r.isNull(), "no JSON object"),
+            F.when(F.try_parse_json(r).isNull(), "JSON parse error"),
+            F.transform(F.array(missing), lambda x: F.when(F.size(x) > 0, F.concat(F.lit("missing ids: "), F.array_join(x, ", "))))[0],
+            first(keys(texts, lambda v: F.schema_of_variant(v) != "STRING"), "not a text: "),
+            first(keys(labels, lambda v: F.regexp_replace(F.coalesce(v, F.lit("")), r"(?U)\s", "") == ""), "empty label: "),
+            first(keys(labels, lambda v: F.length(v) > LONGEST), "too long: "),
+        )
+
+    return F.transform(F.array(first_json_object(reply)), wrong)[0]
 
 
 def reply_labels(replies: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def broken_references(
         F.explode(F.concat(*map(_tagged, fields))).alias("r"),
     ).select("function_key", "at", "r.ref_field", "r.ref_key")
 
-    none = F.lit(None).cast("timestamp")
+    none = F.lit(None).cast(entries.schema[loaded].dataType)
     tagged = (
         children.select("ref_key", F.lit(0).alias("parent"), none.alias("loaded"), none.alias("removed"), F.col("at").alias("from_at"), F.col("at").alias("to_at"))
         .unionByName(keyed.select(F.col("key").alias("ref_key"), F.lit(1).alias("parent"), "loaded", "removed", none.alias("from_at"), none.alias("to_at")))

@@ -75,7 +75,7 @@ def enum_values(rows: DataFrame) -> DataFrame:
     """`enum`, `ord`, `name`, `value`, `comment` of each member, in order; members without a value count on from the one before."""
     body = _placed(rows.where("kind = 'enum'")).groupBy("name").agg(F.max_by("detail", "pos").alias("detail"))
     code = F.regexp_replace("detail", r"(?s)//[^\n]*|/\*.*?\*/", "")
-    member = body.select(F.col("name").alias("enum"), F.posexplode(F.filter(F.transform(F.split(code, ","), F.trim), lambda x: x != "")).alias("ord", "m"))
+    member = body.select(F.col("name").alias("enum"), F.posexplode(F.filter(F.transform(F.split(code, ","), lambda x: F.trim(x)), lambda x: x != "")).alias("ord", "m"))
     name = F.regexp_extract("m", r"^([A-Za-z_]\w*)", 1)
     given = member.select("enum", "ord", name.alias("name"), F.nullif(F.trim(F.regexp_extract("m", r"=\s*([^\n]*)", 1)), F.lit("")).alias("given"), F.lit("").alias("comment")).where("name != ''")
     w = Window.partitionBy("enum").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)

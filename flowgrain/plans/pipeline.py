@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowgrain.functions.labels import enum_summary, macro_summary, parameters, typedef_summary
 from flowgrain.functions.text import lines, slice_lines
 from flowgrain.operators import cfg, comments, graph, labeling, lookups, resolver, scan
+from flowgrain.session import cut
 
 
 @dataclass
@@ -41,7 +42,7 @@ def charts(entries: DataFrame, files: DataFrame, settings: Settings | None = Non
     s = settings or Settings()
     entries = entries.dropDuplicates(["function_key"])
     wanted = files.join(entries.select("file").distinct(), "file", "left_semi").dropDuplicates(["file"])
-    built = cfg.graphs(wanted, s.max_statements, s.max_lines, s.whole_cases)
+    built = cut(cfg.graphs(wanted, s.max_statements, s.max_lines, s.whole_cases))
     cursors = built.select("file", F.col("qualified_name").alias("name"), "line", F.expr("coalesce(element_at(nodes, 2).end_line, line)").alias("end_line"), F.lit(True).alias("is_definition"), F.col("line").alias("visit_ord"))
     found = resolver.resolve_cursors(entries, cursors).select("function_key", "file", "line")
     own = found.join(built, ["file", "line"]).select("function_key", "file", "error", "nodes", "edges").dropDuplicates(["function_key"])
@@ -49,7 +50,7 @@ def charts(entries: DataFrame, files: DataFrame, settings: Settings | None = Non
     edges = own.select("function_key", F.explode("edges").alias("e")).select("function_key", "e.*")
     if s.client is not None:
         nodes = _ask(entries, wanted, nodes, knowledge, s)
-    nodes = graph.with_rule_labels(nodes, entries)
+    nodes = cut(graph.with_rule_labels(nodes, entries))
     scripts = graph.render(nodes, edges)
     results = (
         entries.select("function_key", "qualified_name", F.col("file").alias("source_file"), F.col("line").alias("ord"))

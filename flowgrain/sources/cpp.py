@@ -63,9 +63,10 @@ def _bare(tokens: list[_Token]) -> list[_Token]:
             while i < len(tokens) and tokens[i].text != "]]":
                 i += 1
         elif pair:
-            depth, i = 0, i + 1
+            depth, inner, i = 0, 0, i + 1
             while i < len(tokens):
-                depth += (tokens[i].text == pair[0]) - (tokens[i].text == pair[1])
+                inner += (tokens[i].text in "([") - (tokens[i].text in ")]") if pair[0] == "<" else 0
+                depth += (tokens[i].text == pair[0]) - (tokens[i].text == pair[1]) if not inner else 0
                 if not depth:
                     break
                 i += 1
@@ -236,7 +237,7 @@ def declarations(text: str | None) -> list[Declaration]:
                     add("enum", qualified(names[0]), t.start, tokens[close].end, "", True, "", inner)
                 i = close
                 reset(tokens[i].end - 1)
-            elif "=" not in words and (f := _function(bare)):
+            elif f := _function(bare):
                 opened = words.index("(", f[2])
                 tail, colon, depth = words[opened:], -1, 0
                 for k, w in enumerate(tail):
