@@ -29,7 +29,6 @@ _CUT_MARK = r"(?U)\s*(\[\s*(\.{3}|…)\s*\]|\(\s*(\.{3}|…)\s*\)|…|\.{3,})\s*
 #: Comments are compared within blocks of their first characters; shorter ones take a way of their own.
 BLOCK = 12
 _GROUP = ["project", "full", "types"]
-_OLDEST = -(2**63)
 
 
 def _candidates(records: DataFrame) -> DataFrame:
@@ -39,7 +38,7 @@ def _candidates(records: DataFrame) -> DataFrame:
         plain_name(F.col("qualified_name")).alias("name"),
         parameter_types(F.coalesce("signature", "qualified_name")).alias("types"),
         "record_id",
-        F.struct(F.coalesce(F.unix_micros(F.col("scanned_at").cast("timestamp")), F.lit(_OLDEST)).alias("at"), (-F.col("record_id")).alias("id")).alias("newest"),
+        F.struct(F.col("scanned_at").alias("at"), (-F.col("record_id")).alias("id")).alias("newest"),  # null sorts first
         F.array(
             F.struct(F.lit("name").alias("bundle"), F.col("qualified_name").alias("value"), F.lit(0).alias("line"), F.lit(0).alias("tier")),
             F.expr(f"if(comment is null or comment rlike r'{STAND_INS}', null, struct('comment' as bundle, comment as value, 0 as line, 0 as tier))"),
