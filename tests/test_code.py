@@ -109,8 +109,6 @@ def test_scripts_come_back(spark, sf):
 
 def near(lines, n, above=4):
     """Plain version of the comment beside a line."""
-    from tests.test_expressions import text  # noqa: F401
-
     def own(s):
         open_, i = False, 0
         while i < len(s) - 1:
