@@ -31,12 +31,26 @@ BLOCK = 12
 _GROUP = ["project", "full", "types"]
 
 
-def _candidates(records: DataFrame) -> DataFrame:
-    """One row per function spelling, bundle and value: smallest record, newest record, number of records."""
+def _named(records: DataFrame) -> DataFrame:
+    """The records with their group: `project`, `full`, `types`.
+
+    A name that is the only full name of the project without its outermost namespace becomes that; those are few, so
+    that the table of them is small against the records.
+    """
     known = records.select(
-        "project",
-        plain_name(F.col("qualified_name")).alias("name"),
-        parameter_types(F.coalesce("signature", "qualified_name")).alias("types"),
+        "project", plain_name(F.col("qualified_name")).alias("name"), parameter_types(F.coalesce("signature", "qualified_name")).alias("types"), "record_id", "qualified_name", "comment", "file", "line", "is_definition", "scanned_at"
+    ).where("name != ''")
+    names = known.select(F.col("project").alias("p"), "name").distinct()
+    tagged = names.select("p", F.col("name").alias("short"), F.lit(None).cast("string").alias("long")).unionByName(names.where("name like '%::%'").select("p", F.expr(r"regexp_replace(name, '^[^:]+::', '')").alias("short"), F.col("name").alias("long")))
+    used = cut(tagged.groupBy("p", "short").agg(F.count("long").alias("k"), F.count_if(F.col("long").isNull()).alias("own"), F.min("long").alias("long")).where("k = 1 and own > 0").select("p", "short", "long"))
+    joined = known.join(used, F.col("project").eqNullSafe(F.col("p")) & (F.col("name") == F.col("short")), "left")
+    return joined.withColumn("full", F.coalesce("long", "name")).drop("p", "short", "long", "name")
+
+
+def _values(named: DataFrame) -> DataFrame:
+    """One row per group, bundle and value: smallest record, newest record, number of records."""
+    known = named.select(
+        *_GROUP,
         "record_id",
         F.struct(F.col("scanned_at").alias("at"), (-F.col("record_id")).alias("id")).alias("newest"),  # null sorts first
         F.array(
@@ -44,25 +58,12 @@ def _candidates(records: DataFrame) -> DataFrame:
             F.expr(f"if(comment is null or comment rlike r'{STAND_INS}', null, struct('comment' as bundle, comment as value, 0 as line, 0 as tier))"),
             F.expr(r"if(file is null or file rlike r'(?U)^\s*$' or coalesce(line, 0) < 1, null, struct('place' as bundle, file as value, line as line, if(is_definition, 1, 0) as tier))"),
         ).alias("c"),
-    ).where("name != ''")
-    return (
-        known.select("project", "name", "types", "record_id", "newest", F.explode(F.filter("c", lambda c: c.isNotNull())).alias("c"))
-        .select("project", "name", "types", "c.*", "record_id", "newest")
-        .groupBy("project", "name", "types", "bundle", "value", "line")
-        .agg(F.min("record_id").alias("first"), F.max(F.struct("tier", "newest.at", "newest.id")).alias("best"), F.count("*").alias("n"))
     )
-
-
-def _full_names(candidates: DataFrame) -> DataFrame:
-    """The same rows with `full`: a name that is the only full name of the project without its outermost namespace becomes that."""
-    names = candidates.where("bundle = 'name'").select(F.col("project").alias("p"), "name").distinct()
-    ends = names.where("name like '%::%'").groupBy("p", F.expr(r"regexp_replace(name, '^[^:]+::', '')").alias("short")).agg(F.count("*").alias("k"), F.min("name").alias("long")).where("k = 1")
-    used = ends.join(names.withColumnRenamed("name", "short"), ["p", "short"], "left_semi")
-    joined = candidates.join(used, (F.col("project").eqNullSafe(F.col("p"))) & (F.col("name") == F.col("short")), "left")
     return (
-        joined.withColumn("full", F.coalesce("long", "name"))
+        known.select(*_GROUP, "record_id", "newest", F.explode(F.filter("c", lambda c: c.isNotNull())).alias("c"))
+        .select(*_GROUP, "c.*", "record_id", "newest")
         .groupBy(*_GROUP, "bundle", "value", "line")
-        .agg(F.min("first").alias("first"), F.max("best").alias("best"), F.sum("n").alias("n"))
+        .agg(F.min("record_id").alias("first"), F.max(F.struct("tier", "newest.at", "newest.id")).alias("best"), F.count("*").alias("n"))
     )
 
 
@@ -131,15 +132,18 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def best_records(records: DataFrame) -> DataFrame:
     """One row per function with two records or more: `project`, `qualified_name`, `param_types`, `n_records`,
     `first_id`, and the surviving `comment`, `file` and `line` with the smallest records that hold each value."""
-    values = cut(_full_names(_candidates(records)))
-    counted = values.where("bundle = 'name'").groupBy(*_GROUP).agg(F.sum("n").alias("n_records"), F.min("first").alias("first_id"))
+    values = cut(_values(_named(records)))
     kept = values.where("bundle != 'comment'").unionByName(_whole_comments(values.where("bundle = 'comment'")))
 
-    # what the dependencies look at: whether a name is the full one, and whether a place is a definition
-    allowed: Column = F.expr("bundle != 'name' or value = full")
-    best = kept.groupBy(*_GROUP, "bundle", allowed.alias("allowed"), F.col("best.tier").alias("tier")).agg(F.max(F.struct("best", "value", "line", "first")).alias("b"))
-    # equal trust at the newest record can't be: the record is part of it
-    groups = best.groupBy(*_GROUP).agg(F.collect_list(F.struct("bundle", "allowed", "tier", "b.value", "b.line", "b.first")).alias("candidates"))
-    joined = counted.where("n_records > 1").join(groups.withColumnsRenamed({c: f"g_{c}" for c in _GROUP}), F.expr(" and ".join(f"{c} <=> g_{c}" for c in _GROUP))).select(*_GROUP, "n_records", "first_id", "candidates")
-    picked = joined.mapInArrow(_pick, "project string, full string, types string, n_records long, first_id long, picked struct<name_id:long,comment_id:long,comment:string,place_id:long,file:string,line:int>")
+    # of candidates that agree in what the dependencies look at, whether a name is the full one and whether a place is a
+    # definition, only the most trusted is kept
+    def best(bundle: str, tier: int, allowed: bool = True) -> Column:
+        here = (F.col("bundle") == bundle) & (F.col("best.tier") == tier) & (F.coalesce(F.col("value") == F.col("full"), F.lit(False)) == allowed if bundle == "name" else F.lit(True))
+        row = F.max(F.when(here, F.struct("best", "value", "line", "first")))
+        return F.when(row.isNotNull(), F.struct(F.lit(bundle).alias("bundle"), F.lit(allowed).alias("allowed"), F.lit(tier).alias("tier"), row["value"].alias("value"), row["line"].alias("line"), row["first"].alias("first")))
+
+    sides = F.array(best("name", 0), best("name", 0, False), best("comment", 0), best("place", 0), best("place", 1))
+    named = F.col("bundle") == "name"
+    groups = kept.groupBy(*_GROUP).agg(F.sum(F.when(named, F.col("n"))).alias("n_records"), F.min(F.when(named, F.col("first"))).alias("first_id"), F.filter(sides, lambda c: c.isNotNull()).alias("candidates"))
+    picked = groups.where("n_records > 1").select(*_GROUP, "n_records", "first_id", "candidates").mapInArrow(_pick, "project string, full string, types string, n_records long, first_id long, picked struct<name_id:long,comment_id:long,comment:string,place_id:long,file:string,line:int>")
     return picked.select("project", F.col("full").alias("qualified_name"), F.col("types").alias("param_types"), "n_records", "first_id", "picked.*")
