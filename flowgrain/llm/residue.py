@@ -401,7 +401,16 @@ _SPAN = re.compile(r"`[^`\n]*`")
 _CHART = re.compile(r"^\s*(?:(?:flowchart|graph) (?:TD|LR|TB|BT|RL)\b.*|\w+(?:\(\[|\[\[|\{|\[|\().*|\w+ -->.*)$", re.M)
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|&nbsp;|&amp;")
 _UNIT = re.compile(r"[^\n.!?。！？]+(?:[.!?。！？]+(?=\s|$|[^\x00-\x7f])|[.!?](?=\S)[^\n.!?。！？]*)*[.!?。！？]*")
-_LOOSE = re.compile(r"(?:\d+[\s.,]*){3,}|(?:\b(\w{1,12})\b[\s.,]*)(?:\b\1\b[\s.,]*){2,}|(?:(\w)\2+[\s.,]*){2,}|\[?text about [^\]\n]*\]?")
+_HINT = re.compile(r"[{<\[]|%[A-Z]|__[A-Z]|@@|XXX|\$\(|\((?:enter|insert|your|fill|Enter|Insert|Your|Fill)")
+
+
+def loose(unit: str) -> bool:
+    """Whether most words are numbers, one letter over and over, or the word before once more."""
+    words = unit.lower().strip(" .!?").split()
+    if len(words) < 3 or len(set(words)) > 0.75 * len(words) and not words[0].isdigit() and len(set(words[0])) > 1:
+        return False
+    odd = sum(w.isdigit() or (len(w) > 1 and len(set(w)) == 1) or w == before for before, w in zip(["", *words], words))
+    return odd > 0.5 * len(words)
 
 
 @lru_cache(maxsize=1)
@@ -429,13 +438,13 @@ def judge(text: str | None) -> str | None:
         seen = low
         hits = [(end - n + 1, end, kind) for end, (kind, n) in automaton().iter(low)]
     about = [s for s, _, k in hits if k == "A"]
-    for m in PLACEHOLDER.finditer(seen):
+    for m in PLACEHOLDER.finditer(seen) if _HINT.search(seen) else ():
         begin = max(seen.rfind(". ", 0, m.start()), seen.rfind("\n", 0, m.start())) + 1
         stops = [x for x in (seen.find(". ", m.end()), seen.find("\n", m.end())) if x >= 0]
         if not any(begin <= s < min([len(seen), *stops]) for s in about):
             return "placeholder"
     kinds: dict[str, int] = {}
-    residue, rest = 0, sum(len(m.group()) for p in (_FENCE, _CHART) for m in p.finditer(text))
+    residue, rest = 0, max(0, len(text) - len(seen))  # code and charts are content
     clean = _TAG.sub(lambda m: "\n" * len(m.group()), seen)
     marks = [h for h in hits if h[2] != "A"]
     k, first = 0, True
@@ -450,9 +459,8 @@ def judge(text: str | None) -> str | None:
             j += 1
         if len(own) < 2:
             continue
-        loose = "F" if (m := _LOOSE.search(own)) and len(m.group()) > 0.5 * len(own) else ""
         told = "T" in found or (own != own.upper() and _MACRO.search(own))
-        strong = [] if told else [x for x in found if x != "N"] or ([loose] if loose else [])
+        strong = [] if told else [x for x in found if x != "N"] or (["F"] if not found and loose(own) else [])
         title = first and not strong and len(own) <= 80 and own[-1] not in ".!?。"
         first = False
         if strong:
@@ -460,6 +468,8 @@ def judge(text: str | None) -> str | None:
             kinds[strong[0]] = kinds.get(strong[0], 0) + len(own)
         elif not title and not ("N" in found and len(own) <= 60):
             rest += len(own)
+            if rest > (1 - COVERED) * (rest + residue + len(clean) - stop):
+                return None  # whatever follows, residue can't cover enough
     if residue and residue >= COVERED * (residue + rest):
         return {"E": "error", "S": "script", "F": "filler"}[max(kinds, key=lambda x: kinds[x])]
     return None
