@@ -19,6 +19,10 @@ _TOKEN = re.compile(
 )
 
 
+#: Skips a body: only what can hide a bracket is told apart.
+_BRACKET = re.compile(r"""[{}]|//(?:\\\n|[^\n])*|/\*.*?(?:\*/|\Z)|(?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"|"(?:\\.|[^"\\\n])*"?|(?<![0-9A-Fa-f])'(?:\\.|[^'\\\n])*'?""", re.S)
+
+
 class Declaration(NamedTuple):
     """`kind`: function, class, enum, macro or typedef; `comment`: the one directly before; `inline`: those at line ends."""
 
@@ -125,27 +129,36 @@ def declarations(text: str | None) -> list[Declaration]:
     text = clean_lines(text)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     line = lambda at: bisect.bisect_right(starts, at)
-    tokens, skipping = [], 0
-    for m in _TOKEN.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "d" else "raw"
-        if kind == "pre":
-            word = re.match(r"\s*#\s*(\w*)\s*(.*)", m.group(), re.S)
-            if skipping:
-                skipping += word[1].startswith("if") - (word[1] == "endif")
-                if skipping == 1 and word[1] in ("else", "elif"):
-                    skipping = 0
+    tokens: list[_Token] = []
+    source, skipping = _TOKEN.finditer(text), 0
+
+    def have(i: int) -> bool:
+        """Reads on until there is a token i; whether there is one."""
+        nonlocal skipping
+        while len(tokens) <= i:
+            m = next(source, None)
+            if m is None:
+                return False
+            kind = m.lastgroup if m.lastgroup != "d" else "raw"
+            if kind == "pre":
+                word = re.match(r"\s*#\s*(\w*)\s*(.*)", m.group(), re.S)
+                if skipping:
+                    skipping += word[1].startswith("if") - (word[1] == "endif")
+                    if skipping == 1 and word[1] in ("else", "elif"):
+                        skipping = 0
+                    continue
+                skipping = int(word[1] == "if" and re.match(r"(0|false)\b", word[2]) is not None)
+            elif skipping:
                 continue
-            skipping = int(word[1] == "if" and re.match(r"(0|false)\b", word[2]) is not None)
-        elif skipping:
-            continue
-        tokens.append(_Token(kind, m.group(), m.start(), m.end()))
+            tokens.append(_Token(kind, m.group(), m.start(), m.end()))
+        return True
 
     out: list[Declaration] = []
     scopes: list[tuple[str, str]] = []
     head: list[_Token] = []
     before: list[_Token] = []  # comments directly before the head
     inside: list[_Token] = []  # comments within it
-    last_line, i, n = 0, 0, len(tokens)
+    last_line, i = 0, 0
 
     def qualified(name: str) -> str:
         return "::".join([s for k, s in scopes if s] + [name])
@@ -161,16 +174,21 @@ def declarations(text: str | None) -> list[Declaration]:
             at = line(t.start)
         return "\n".join(block)
 
-    def skip(i: int) -> int:
-        """The place of the bracket that closes the one at i."""
-        depth = 0
-        while i < n:
-            if tokens[i].kind == "op":
-                depth += (tokens[i].text == "{") - (tokens[i].text == "}")
+    def skip(opened: _Token, i: int) -> int:
+        """Makes the bracket that closes `opened` token i, and reads on behind it."""
+        nonlocal source
+        depth, end = 0, len(text)
+        for m in _BRACKET.finditer(text, opened.start):
+            c = m.group()
+            if c in "{}":
+                depth += 1 if c == "{" else -1
                 if not depth:
-                    return i
-            i += 1
-        return n - 1
+                    end = m.end()
+                    break
+        del tokens[i:]
+        tokens.append(_Token("op", "}", max(opened.end, end - 1), end))
+        source = _TOKEN.finditer(text, end)
+        return i
 
     def add(kind: str, name: str, at: int, end: int, signature: str, definition: bool, bases: str = "", detail: str = "") -> None:
         ends = "\n".join(t.text for t in inside if text[t.end : t.end + 1] in ("\n", "") or t.text.startswith("//"))
@@ -178,7 +196,7 @@ def declarations(text: str | None) -> list[Declaration]:
 
     def trailing(i: int) -> int:
         """Takes the comments in the rest of the line of token i as part of the head; gives the place before the next token."""
-        while i + 1 < n and tokens[i + 1].kind == "comment" and line(tokens[i + 1].start) == line(tokens[i].end - 1):
+        while have(i + 1) and tokens[i + 1].kind == "comment" and line(tokens[i + 1].start) == line(tokens[i].end - 1):
             i += 1
             inside.append(tokens[i])
         return i
@@ -188,7 +206,7 @@ def declarations(text: str | None) -> list[Declaration]:
         head.clear(), before.clear(), inside.clear()
         last_line = line(at)
 
-    while i < n:
+    while have(i):
         t = tokens[i]
         if t.kind == "comment":
             if head:
@@ -230,7 +248,7 @@ def declarations(text: str | None) -> list[Declaration]:
                 scopes.append(("extern", ""))
                 reset(t.end - 1)
             elif "enum" in words[:2]:
-                close = skip(i)
+                close = skip(t, i + 1)
                 names = [w for w in words[words.index("enum") + 1 :] if w not in ("class", "struct")]
                 inner = text[t.end : tokens[close].start]
                 if names and names[0] != ":":
@@ -246,12 +264,12 @@ def declarations(text: str | None) -> list[Declaration]:
                         colon = k
                         break
                 if colon >= 0 and tokens[i - 1].kind in ("word",) or colon >= 0 and tokens[i - 1].text == ">":
-                    close = skip(i)  # a member initialised in braces
-                    head.extend(tokens[i : close + 1])
-                    i = close + 1
+                    i = skip(t, i + 1)  # a member initialised in braces
+                    head.extend(tokens[i - 1 : i + 1])
+                    i += 1
                     continue
                 i = trailing(i)
-                close = skip(tokens.index(t, max(0, i - len(inside) - 1)))
+                close = skip(t, i + 1)
                 sign = bare[: opened + colon] if colon >= 0 else bare
                 name_at = f[0][0] if f[0][0].text == "operator" or "operator" in [x.text for x in f[0]] else f[0][-1]
                 add("function", qualified(_spaced(f[0])), name_at.start, tokens[close].end - 1, _spaced(sign), True, "", text[t.start : tokens[close].end])
@@ -267,7 +285,7 @@ def declarations(text: str | None) -> list[Declaration]:
                 scopes.append(("class", name.split("<")[0]))
                 reset(t.end - 1)
             else:  # an initialiser or something unknown
-                i = skip(i)
+                i = skip(t, i + 1)
                 head.append(tokens[i])
         else:
             head.append(t)
