@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowgrain.sources.cpp import Declaration, _TOKEN, clean_lines, declarations
 
-NODE_SCHEMA = "file string, line int, qualified_name string, error string, nodes array<struct<node_id:string,node_seq:int,node_type:string,raw_code:string,start_line:int,end_line:int>>, edges array<struct<edge_ord:int,source:string,target:string,label:string>>"
+NODE_SCHEMA = "file string, ord int, line int, qualified_name string, error string, nodes array<struct<node_id:string,node_seq:int,node_type:string,raw_code:string,start_line:int,end_line:int>>, edges array<struct<edge_ord:int,source:string,target:string,label:string>>"
 _CONTROL = ("if", "for", "while", "do", "switch", "return", "break", "continue", "try")
 
 
@@ -273,7 +273,9 @@ def build(d: Declaration, most: int = 5, most_lines: int = 10, whole_cases: bool
 
 
 def graphs(files: DataFrame, most: int = 5, most_lines: int = 10, whole_cases: bool = False) -> DataFrame:
-    """One row per definition in `files` (file, source_text): its nodes and edges, or the error that kept it from having any.
+    """One row per definition in `files` (file, source_text; each file once): its nodes and edges, or the error that kept it from having any.
+
+    file and ord, the place of the declaration in it, are a key.
 
     whole_cases: statements after the first one of a case belong to it; if not, they are passed over, as is a case
     that stands directly in another.
@@ -283,18 +285,17 @@ def graphs(files: DataFrame, most: int = 5, most_lines: int = 10, whole_cases: b
         for b in batches:
             rows = []
             for file, text in zip(b["file"], b["source_text"]):
-                for d in declarations(clean_lines(text)):
+                for n, d in enumerate(declarations(clean_lines(text))):
                     if d.kind != "function" or not d.is_definition:
                         continue
                     try:
                         g = build(d, most, most_lines, whole_cases)
-                        rows.append((file, d.line, d.qualified_name, None, [dict(zip(("node_id", "node_seq", "node_type", "raw_code", "start_line", "end_line"), n)) for n in g.nodes], [dict(zip(("edge_ord", "source", "target", "label"), e)) for e in g.edges]))
+                        rows.append((file, n, d.line, d.qualified_name, None, [dict(zip(("node_id", "node_seq", "node_type", "raw_code", "start_line", "end_line"), n_)) for n_ in g.nodes], [dict(zip(("edge_ord", "source", "target", "label"), e)) for e in g.edges]))
                     except (IndexError, RecursionError, ValueError) as e:
-                        rows.append((file, d.line, d.qualified_name, f"{type(e).__name__}: {e}", [], []))
-            yield pd.DataFrame(rows, columns=["file", "line", "qualified_name", "error", "nodes", "edges"])
+                        rows.append((file, n, d.line, d.qualified_name, f"{type(e).__name__}: {e}", [], []))
+            yield pd.DataFrame(rows, columns=["file", "ord", "line", "qualified_name", "error", "nodes", "edges"])
 
-    built = files.where("source_text is not null").select("file", "source_text").mapInPandas(run, NODE_SCHEMA)
-    return built.dropDuplicates(["file", "line", "qualified_name"])
+    return files.where("source_text is not null").select("file", "source_text").mapInPandas(run, NODE_SCHEMA)
 
 
 def graph_nodes(built: DataFrame) -> DataFrame:

@@ -44,4 +44,4 @@ def resolve_cursors(entries: DataFrame, cursors: DataFrame, key: str = "function
     points = points + F.when((tier == 2) & ~around, LOOSE).when(tier == 3, BROAD).otherwise(0)
     ranked = pairs.withColumn("tier", tier).where("tier is not null").withColumn("score", points)
     best = Window.partitionBy(key).orderBy("tier", F.when(F.col("tier") == 1, -F.col("line")), F.col("score").desc(), "visit_ord")
-    return ranked.withColumn("n", F.row_number().over(best)).where("n = 1").select(key, "tier", "score", "file", "name", "line", "end_line", "is_definition")
+    return ranked.withColumn("n", F.row_number().over(best)).where("n = 1").select(key, "tier", "score", "file", "name", "line", "end_line", "is_definition", "visit_ord")

@@ -43,9 +43,9 @@ def charts(entries: DataFrame, files: DataFrame, settings: Settings | None = Non
     entries = entries.dropDuplicates(["function_key"])
     wanted = files.join(entries.select("file").distinct(), "file", "left_semi").dropDuplicates(["file"])
     built = cut(cfg.graphs(wanted, s.max_statements, s.max_lines, s.whole_cases))
-    cursors = built.select("file", F.col("qualified_name").alias("name"), "line", F.expr("coalesce(element_at(nodes, 2).end_line, line)").alias("end_line"), F.lit(True).alias("is_definition"), F.col("line").alias("visit_ord"))
-    found = resolver.resolve_cursors(entries, cursors).select("function_key", "file", "line")
-    own = found.join(built, ["file", "line"]).select("function_key", "file", "error", "nodes", "edges").dropDuplicates(["function_key"])
+    cursors = built.select("file", F.col("qualified_name").alias("name"), "line", F.expr("coalesce(element_at(nodes, 2).end_line, line)").alias("end_line"), F.lit(True).alias("is_definition"), F.col("ord").alias("visit_ord"))
+    found = resolver.resolve_cursors(entries, cursors).select("function_key", "file", F.col("visit_ord").alias("ord"))
+    own = found.join(built, ["file", "ord"]).select("function_key", "file", "error", "nodes", "edges")
     nodes = own.select("function_key", "file", F.explode("nodes").alias("n")).select("function_key", "file", "n.*").withColumn("label", F.lit(None).cast("string"))
     edges = own.select("function_key", F.explode("edges").alias("e")).select("function_key", "e.*")
     if s.client is not None:
