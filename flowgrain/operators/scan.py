@@ -29,7 +29,7 @@ def comment_text(comment: str) -> str:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """One row per declaration of `files` (file, source_text), in the order of each file; a file that can't be read gives a row of kind `error`."""
+    """One row per declaration of `files` (file, source_text; each file once), in the order of each file; a file that can't be read gives a row of kind `error`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -45,7 +45,7 @@ def symbols(files: DataFrame) -> DataFrame:
                     rows.append((file, n, d.kind, d.qualified_name, d.line, d.end_line, d.signature, d.is_definition, comment_text(d.comment), comment_text(d.inline), detail))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return files.where("source_text is not null").select("file", "source_text").mapInPandas(run, SCHEMA).dropDuplicates(["file", "ord"]).where(~is_system_path(F.col("file")))
+    return files.where("source_text is not null").select("file", "source_text").mapInPandas(run, SCHEMA).where(~is_system_path(F.col("file")))
 
 
 def _placed(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowgrain.functions.labels import enum_summary, macro_summary, parameters, typedef_summary
 from flowgrain.functions.text import lines, slice_lines
 from flowgrain.operators import cfg, comments, graph, labeling, lookups, resolver, scan
-from flowgrain.session import cut
+from flowgrain.session import by_key, cut
 
 
 @dataclass
@@ -41,7 +41,7 @@ def charts(entries: DataFrame, files: DataFrame, settings: Settings | None = Non
     """
     s = settings or Settings()
     entries = entries.dropDuplicates(["function_key"])
-    wanted = files.join(entries.select("file").distinct(), "file", "left_semi").dropDuplicates(["file"])
+    wanted = by_key(files, "file").join(entries.select("file").distinct(), "file", "left_semi").dropDuplicates(["file"])
     built = cut(cfg.graphs(wanted, s.max_statements, s.max_lines, s.whole_cases))
     cursors = built.select("file", F.col("qualified_name").alias("name"), "line", F.expr("coalesce(element_at(nodes, 2).end_line, line)").alias("end_line"), F.lit(True).alias("is_definition"), F.col("ord").alias("visit_ord"))
     found = resolver.resolve_cursors(entries, cursors).select("function_key", "file", F.col("visit_ord").alias("ord"))
@@ -96,5 +96,5 @@ def _ask(entries: DataFrame, files: DataFrame, nodes: DataFrame, knowledge: dict
 
 def knowledge(files: DataFrame) -> dict[str, DataFrame]:
     """The symbol tables of source files (file, source_text)."""
-    rows = scan.symbols(files.dropDuplicates(["file"]))
+    rows = cut(scan.symbols(by_key(files, "file").dropDuplicates(["file"])))
     return {"functions": scan.functions(rows), "enum_values": scan.enum_values(rows), "macros": scan.macros(rows), "typedefs": scan.typedefs(rows)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowgrain.functions import folds, labels, text
 from flowgrain.operators import cfg, comments, graph, labeling, lookups, resolver, scan
 from flowgrain.plans import pipeline
-from flowgrain.session import table
+from flowgrain.session import by_key, table
 from flowgrain.sources import documents, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +48,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "source_files").groupBy("file").agg(F.min("source_text").alias("source_text"))
+    return by_key(table(spark, d, "source_files"), "file").groupBy("file").agg(F.min("source_text").alias("source_text"))
 
 
 _F = "f as (select file, min(source_text) source_text from source_files group by file)"

@@ -35,6 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """A scan (no shuffle in its plan) before a step that is bound by computing: spread over all cores if it has fewer
+    partitions than there are, which only a small input has; else as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by keys into as many parts as the session's shuffles have, which adaptive execution leaves as they are.
+
+    For steps that are bound by computing and group by the keys anyway, so that it costs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def build_session(name: str = "flowgrain", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; `conf` overrides, with `__` for dots."""
     builder = SparkSession.builder.appName(name)
