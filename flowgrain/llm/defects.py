@@ -4,7 +4,7 @@ Method: a multi-label linear classifier on hashed n-grams and pair features. It
 the table's own pairs: as they are for good ones, and synthetically emptied, truncated, copied, refused or swapped for
 text in another language for bad ones. Pairs of the sample that a first model finds bad are left out of the second.
 Thresholds are calibrated on a held-out part. The model (fixed size) goes to all executors, which judge every pair; an
-exact check follows for empty answers, copies and language.
+exact check follows for empty answers and copies.
 
 Defined results: START and END nodes are no pairs; if the label is null or white space, the function's error message
 is judged instead, `empty` unless it reports a refused or broken-off reply; a null code is an empty text; repeated
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowgrain.session import widen
+
 CLASSES = ("empty", "truncated", "refusal", "copy", "language")
 #: Pairs that the classifier is trained on, at most; all pairs are judged.
 SAMPLE = 18_000
@@ -32,6 +34,7 @@ SAMPLE = 18_000
 DIMENSIONS = 1 << 17
 EPOCHS = 3
 RATE = 0.4
+BATCH = 512
 #: Score from which on a pair of the sample is left out of the good ones.
 DOUBT = -1.0
 #: A template or word is known from so many pairs of the sample on.
@@ -104,7 +107,7 @@ class Lexicon:
         out = [tags.get(t, t) for t in tokens]
         for i, t in enumerate(tokens):
             if t in self.both and not (out[i] == "ADJ" and out[i + 1 : i + 2] == ["NOUN"] or out[i] == "NOUN" and i and out[i - 1] == "ADJ"):
-                out[i] = out[i] if i and tokens[i - 1] in _DETERMINERS else "VERB"
+                out[i] = out[i] if i and tokens[i - 1] in _DETERMINERS else "NOUN" if i and out[i - 1] == "ADJ" else "VERB"
         return tuple(out)
 
 
@@ -243,9 +246,13 @@ def is_copy(code: str, label: str) -> bool:
     if not re.search(r"[^\w]", a) and a in ("default", "try", "break", "continue"):
         rest = re.sub(rf"(?i)\b{re.escape(a)}\b", " ", label)
         return not re.findall(r"\w+", rest) or bool(re.search(r"[:`;]", label)) and not set(re.findall(r"[^\W\d_]+", rest.lower())) - _EMPTY_WORDS
-    flexible = r"\s*".join(map(re.escape, squeeze(code).rstrip(";"))) + r"\s*;?"
-    rest = re.sub(flexible, " ", label, flags=re.I)
-    return not set(re.findall(r"[^\W\d_]+", rest.lower())) - _EMPTY_WORDS
+    places = [k for k, c in enumerate(label) for _ in c.lower() if not c.isspace()]  # of each character of b
+    rest, at = list(label), b.find(a)
+    while at >= 0:
+        for k in range(places[at], places[at + len(a) - 1] + 1):
+            rest[k] = " "
+        at = b.find(a, at + len(a))
+    return not set(re.findall(r"[^\W\d_]+", "".join(rest).lower())) - _EMPTY_WORDS
 
 
 _PERSON = re.compile(r"(?i)\b(I|I'm|I'd|my|me|you|your|sorry,|apologies|unfortunately)\b|\b(context|information)\b.*\b(needed|required|enough)|\bnot enough\b|\bcannot be (given|determined)|\bunable to\b")
@@ -288,25 +295,29 @@ class Model:
         return np.add.reduceat(self.weights[flat], starts, axis=0) + self.weights[DIMENSIONS]
 
 
-def _train(rows: list[list[int]], y: np.ndarray, seed: int = 7) -> np.ndarray:
+def _train(rows: list[list[int]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
     """Logistic regression of each class against the rest, by AdaGrad in small batches."""
     width = max(map(len, rows))
-    x = np.full((len(rows), width), DIMENSIONS + 1, dtype=np.int64)
+    x = np.full((len(rows), width), DIMENSIONS + 1, dtype=np.int32)
     for i, r in enumerate(rows):
         x[i, : len(r)] = r
     w = np.zeros((DIMENSIONS + 2, y.shape[1]), dtype=np.float32)  # the last but one is the bias, the last stays zero
     g2 = np.full_like(w, 0.1)
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for k in range(0, len(order), 256):
-            at = order[k : k + 256]
+        for k in range(0, len(order), BATCH):
+            at = order[k : k + BATCH]
             xb, yb = x[at], y[at]
             error = 1 / (1 + np.exp(-np.clip(w[xb].sum(axis=1) + w[DIMENSIONS], -30, 30))) - yb
-            ids, place = np.unique(xb, return_inverse=True)
-            rows_of = np.repeat(np.arange(len(at)), width)
-            g = np.stack([np.bincount(place.ravel(), error[rows_of, c], len(ids)) for c in range(y.shape[1])], axis=1).astype(np.float32)
-            g[ids == DIMENSIONS + 1] = 0
+            flat = xb.ravel()
+            order_of = np.argsort(flat, kind="stable")
+            sorted_ids = flat[order_of]
+            first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+            ids = sorted_ids[first]
+            g = np.add.reduceat(error[order_of // width], first, axis=0).astype(np.float32)
+            if ids[-1] == DIMENSIONS + 1:  # the filler
+                ids, g = ids[:-1], g[:-1]
             g2[ids] += g * g
             w[ids] -= RATE * g / np.sqrt(g2[ids])
             gb = error.sum(axis=0)
@@ -409,7 +420,7 @@ def fit(pairs: list[tuple[str, str, str]], seed: int = 7) -> Model:
                 y.append("refusal")
         goal = np.array([[c == k for k in CLASSES] for c in y], dtype=np.float32)
         held = np.array([i % 5 == 0 for i in range(len(rows))])
-        weights = _train([x for x, h in zip(rows, held) if not h], goal[~held])
+        weights = _train([x for x, h in zip(rows, held) if not h], goal[~held], EPOCHS if last else 2)
         model = Model(lex, weights, np.zeros(len(CLASSES), dtype=np.float32))
         if last:
             model.thresholds = _calibrate(model.scores([x for x, h in zip(rows, held) if h]), goal[held])
@@ -490,7 +501,7 @@ def defects(nodes: DataFrame, flowcharts: DataFrame, sample: int = SAMPLE) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), column], names=["e_key", "reply"]).filter(column.is_valid())
 
     blank = r"label is null or not label rlike r'(?U)[^\s]'"
-    spoken = pairs.where(f"not ({blank})").select("function_key", "node_id", "node_type", "raw_code", "label").mapInArrow(judge, "function_key string, node_id string, defect string")
+    spoken = widen(pairs.where(f"not ({blank})").select("function_key", "node_id", "node_type", "raw_code", "label")).mapInArrow(judge, "function_key string, node_id string, defect string")
     errors = flowcharts.where(r"error rlike r'(?U)[^\s]'").select("function_key", "error").distinct().mapInArrow(judge_errors, "e_key string, reply string").groupBy("e_key").agg(F.max("reply").alias("reply"))
     silent = pairs.where(blank).select("function_key", "node_id").distinct().join(errors, F.col("function_key") == F.col("e_key"), "left").select("function_key", "node_id", F.coalesce("reply", F.lit("empty")).alias("defect"))
     return spoken.unionByName(silent).groupBy("function_key", "node_id").agg(F.min("defect").alias("defect"))

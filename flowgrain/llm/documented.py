@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgrain.functions.names import parameter_types
-from flowgrain.session import cut
+from flowgrain.session import cut, widen
 from flowgrain.sources.cpp import declarations
 
 _MARKS = re.compile(r"^[ \t\f]*(?:/{2,}[!<]*|/\*+[!<]*|\*+(?!\w))?|\*+/[ \t]*$", re.M)
@@ -101,7 +101,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan(files: DataFrame) -> DataFrame:
     """One row per function and class declaration of `files` (project, file, source_text), repeated files once."""
-    rows = files.where("source_text is not null and source_text != ''").select("project", "file", "source_text").mapInPandas(_scan, _SCHEMA)
+    rows = widen(files.where("source_text is not null and source_text != ''").select("project", "file", "source_text")).mapInPandas(_scan, _SCHEMA)
     return rows.dropDuplicates(["file", "line", "qualified_name", "kind"])
 
 

@@ -19,6 +19,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from flowgrain.session import widen
+
 #: Residue needed, as a share of the text without title, navigation and markup.
 COVERED = 0.6
 
@@ -483,5 +485,5 @@ def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             kinds = pa.array([judge(t) for t in b.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), kinds], names=[key, "kind"]).filter(kinds.is_valid())
 
-    rows = docs.select(key, text).where(f"`{text}` is not null and `{text}` != ''")
+    rows = widen(docs.select(key, text).where(f"`{text}` is not null and `{text}` != ''"))
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, kind string")

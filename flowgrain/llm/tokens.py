@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from flowgrain.session import widen
+
 #: Where the public vocabulary lies on every machine; a parameter of each operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before merges.
@@ -160,7 +162,7 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
     def make(texts: pa.Array) -> pa.Array:
         return pa.array([encode(t, vocabulary) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    rows = docs.select(key, text)
+    rows = widen(docs.select(key, text))
     return rows.mapInArrow(_batches(make, "ids", vocabulary), f"`{key}` {rows.schema[key].dataType.simpleString()}, ids array<int>")
 
 
@@ -170,5 +172,5 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     def make(texts: pa.Array) -> pa.Array:
         return pa.array([len(encode(t, vocabulary)) for t in texts.to_pylist()], pa.int64())
 
-    rows = docs.select(key, text)
+    rows = widen(docs.select(key, text))
     return rows.mapInArrow(_batches(make, "n_tokens", vocabulary), f"`{key}` {rows.schema[key].dataType.simpleString()}, n_tokens long")
