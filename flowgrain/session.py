@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder that holds this package.
+_HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, wherever the driver was started.
+
+    On a cluster whose machines do not share that folder, ship the package with `--py-files`.
+    """
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "")
+    if _HOME not in paths.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_HOME, paths]))
+    return spark
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table `name` of a folder of parquet tables (a file or a directory each)."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return reach_workers(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -31,14 +47,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder, so that later jobs neither recompute nor lose them."""
-    checkpoint_folder(df.sparkSession)
+    checkpoint_folder(reach_workers(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def widen(scan: DataFrame) -> DataFrame:
     """A scan (no shuffle in its plan) before a step that is bound by computing: spread over all cores if it has fewer
     partitions than there are, which only a small input has; else as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
+    cores = reach_workers(scan.sparkSession).sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
@@ -47,7 +63,7 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 
     For steps that are bound by computing and group by the keys anyway, so that it costs no further shuffle.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(int(reach_workers(df.sparkSession).conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def build_session(name: str = "flowgrain", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,4 +81,4 @@ def build_session(name: str = "flowgrain", master: str | None = None, **conf: st
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return reach_workers(builder.getOrCreate())
