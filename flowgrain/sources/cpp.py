@@ -1,7 +1,7 @@
 """A light front end for C++ text: one row per declaration found at namespace or class level.
 
 It reads tokens, not types: comments, strings, raw strings, character literals and preprocessor lines are told apart,
-scopes are followed by braces, and bodies of functions are skipped. Lines end at CR LF, LF or CR. It never fails:
+scopes are followed by braces, and bodies of functions are skipped but for the macros defined in them. Lines end at CR LF, LF or CR. It never fails:
 what it can't read is skipped.
 """
 
@@ -20,7 +20,18 @@ _TOKEN = re.compile(
 
 
 #: Skips a body: only what can hide a bracket is told apart.
-_BRACKET = re.compile(r"""[{}]|//(?:\\\n|[^\n])*|/\*.*?(?:\*/|\Z)|(?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"|"(?:\\.|[^"\\\n])*"?|(?<![0-9A-Fa-f])'(?:\\.|[^'\\\n])*'?""", re.S)
+_BRACKET = re.compile(r"""[{}]|(?P<pre>^[ \t\f]*\#(?:\\\n|//(?:\\\n|[^\n])*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|[^\n])*)|//(?:\\\n|[^\n])*|/\*.*?(?:\*/|\Z)|(?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"|"(?:\\.|[^"\\\n])*"?|(?<![0-9A-Fa-f])'(?:\\.|[^'\\\n])*'?""", re.S | re.M)
+_DIRECTIVE = re.compile(r"\s*#\s*(\w*)\s*(.*)", re.S)
+_DEFINE = re.compile(r"\s*#\s*define\s+(\w+)(\(?)(.*)", re.S)
+
+
+def passed_over(depth: int, directive: str) -> int:
+    """How many conditions are open from an `#if 0` on, after a preprocessor line; 0 where the text counts."""
+    word = _DIRECTIVE.match(directive)
+    if not depth:
+        return int(word[1] == "if" and re.match(r"(0|false)\b", word[2]) is not None)
+    depth += word[1].startswith("if") - (word[1] == "endif")
+    return 0 if depth == 1 and word[1] in ("else", "elif") else depth
 
 
 class Declaration(NamedTuple):
@@ -141,13 +152,10 @@ def declarations(text: str | None) -> list[Declaration]:
                 return False
             kind = m.lastgroup if m.lastgroup != "d" else "raw"
             if kind == "pre":
-                word = re.match(r"\s*#\s*(\w*)\s*(.*)", m.group(), re.S)
-                if skipping:
-                    skipping += word[1].startswith("if") - (word[1] == "endif")
-                    if skipping == 1 and word[1] in ("else", "elif"):
-                        skipping = 0
+                was = skipping
+                skipping = passed_over(skipping, m.group())
+                if was:
                     continue
-                skipping = int(word[1] == "if" and re.match(r"(0|false)\b", word[2]) is not None)
             elif skipping:
                 continue
             tokens.append(_Token(kind, m.group(), m.start(), m.end()))
@@ -158,6 +166,7 @@ def declarations(text: str | None) -> list[Declaration]:
     head: list[_Token] = []
     before: list[_Token] = []  # comments directly before the head
     inside: list[_Token] = []  # comments within it
+    within: list[Declaration] = []  # macros of the body just skipped
     last_line, i = 0, 0
 
     def qualified(name: str) -> str:
@@ -176,11 +185,15 @@ def declarations(text: str | None) -> list[Declaration]:
 
     def skip(opened: _Token, i: int) -> int:
         """Makes the bracket that closes `opened` token i, and reads on behind it."""
-        nonlocal source
-        depth, end = 0, len(text)
+        nonlocal source, skipping
+        depth, end, skipping = 0, len(text), 0  # what was read ahead is read again
         for m in _BRACKET.finditer(text, opened.start):
             c = m.group()
-            if c in "{}":
+            if m.lastgroup == "pre":
+                if not skipping and (d := _DEFINE.match(c)):
+                    within.append(macro(d, m.start(), m.end(), ""))
+                skipping = passed_over(skipping, c)
+            elif c in "{}" and not skipping:
                 depth += 1 if c == "{" else -1
                 if not depth:
                     end = m.end()
@@ -190,6 +203,9 @@ def declarations(text: str | None) -> list[Declaration]:
         source = _TOKEN.finditer(text, end)
         return i
 
+    def macro(m: re.Match[str], at: int, end: int, comment: str) -> Declaration:
+        return Declaration("macro", m[1], line(at), line(end), "", True, comment, "", "", ("(" if m[2] else "") + re.sub(r"//.*|/\*.*?\*/", "", m[3], flags=re.S).strip())
+
     def add(kind: str, name: str, at: int, end: int, signature: str, definition: bool, bases: str = "", detail: str = "") -> None:
         ends = "\n".join(t.text for t in inside if text[t.end : t.end + 1] in ("\n", "") or t.text.startswith("//"))
         out.append(Declaration(kind, name, line(at), line(end), signature, definition, comment_before(), ends, bases, detail))
@@ -204,6 +220,7 @@ def declarations(text: str | None) -> list[Declaration]:
     def reset(at: int) -> None:
         nonlocal last_line
         head.clear(), before.clear(), inside.clear()
+        out.extend(within), within.clear()
         last_line = line(at)
 
     while have(i):
@@ -214,8 +231,8 @@ def declarations(text: str | None) -> list[Declaration]:
             elif line(t.start) != last_line:
                 before.append(t)
         elif t.kind == "pre":
-            if (m := re.match(r"\s*#\s*define\s+(\w+)(\(?)(.*)", t.text, re.S)) and not head:
-                add("macro", m[1], t.start, t.end, "", True, "", ("(" if m[2] else "") + re.sub(r"//.*|/\*.*?\*/", "", m[3], flags=re.S).strip())
+            if m := _DEFINE.match(t.text):
+                out.append(macro(m, t.start, t.end, "" if head else comment_before()))
             if not head:
                 reset(t.end - 1)
         elif t.text == "}" and t.kind == "op":
@@ -290,4 +307,4 @@ def declarations(text: str | None) -> list[Declaration]:
         else:
             head.append(t)
         i += 1
-    return out
+    return out + within

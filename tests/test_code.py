@@ -55,6 +55,41 @@ def test_line_ends(end):
     assert [d.line for d in declarations("﻿int x;\n\fint f()\n{\n}\n".replace("\n", end)) if d.is_definition and d.kind == "function"] == [2]
 
 
+BODIES = """namespace a {
+int first(int x) {
+#if 0
+  if (x) {
+#define GONE 1
+#endif
+#define OPEN { \\
+  {
+# define TEXT "{ /*"
+  return x;
+}
+int second() {  // beside
+#if 0
+  }
+#else
+  return 1;
+#endif
+}
+int held[] = { 1,
+#define INNER 3
+  2 };
+int third() { return 2; }
+}
+void last() {}
+"""
+
+
+def test_directives_in_bodies():
+    found = declarations(BODIES)
+    assert [(d.qualified_name, d.line, d.end_line) for d in found if d.kind == "function"] == [("a::first", 2, 11), ("a::second", 12, 18), ("a::third", 22, 22), ("last", 24, 24)]
+    assert [(d.qualified_name, d.line) for d in found if d.kind == "macro"] == [("OPEN", 7), ("TEXT", 9), ("INNER", 20)]
+    for n in range(len(BODIES)):
+        declarations(BODIES[:n])  # never fails
+
+
 def build(body, **kw):
     d = next(x for x in declarations("void f(int a) {\n" + body + "\n}") if x.kind == "function")
     g = cfg.build(d, **kw)
