@@ -1,6 +1,7 @@
 """Broken prompt and response pairs (problem 3).
 
-Method: a multi-label linear classifier on hashed n-grams and pair features. It is trained here on a bounded sample of
+Method: a multi-label linear classifier on hashed n-grams and pair features. Its lexicon (known words, parts of
+identifiers, label templates) is counted over all pairs; weights and thresholds are trained here on a bounded sample of
 the table's own pairs: as they are for good ones, and synthetically emptied, truncated, copied, refused or swapped for
 text in another language for bad ones. Pairs of the sample that a first model finds bad are left out of the second.
 Thresholds are calibrated on a held-out part. The model (fixed size) goes to all executors, which judge every pair; an
@@ -17,7 +18,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgrain.session import widen
+from flowgrain.session import cut, widen
 
 CLASSES = ("empty", "truncated", "refusal", "copy", "language")
 #: Pairs that the classifier is trained on, at most; all pairs are judged.
@@ -37,8 +38,10 @@ RATE = 0.4
 BATCH = 512
 #: Score from which on a pair of the sample is left out of the good ones.
 DOUBT = -1.0
-#: A template or word is known from so many pairs of the sample on.
+#: A template or word is known from so many pairs on.
 KNOWN = 4
+#: Below this share of a longer or shorter one, a word or template is taken for a broken-off one.
+BROKEN_OFF = 0.005
 
 # Answers that stand for nothing.
 STAND_INS = "n/a na none null nil undefined empty nothing unknown tbd tbc todo fixme xxx (empty) (none) [empty] <empty> <none> no label|no answer|no description|not available|not applicable|not set|no content|no output|blank|placeholder|label"
@@ -93,7 +96,7 @@ def squeeze(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """What the sample tells: parts of identifiers, frequent words, and label templates with their beginnings."""
+    """What the pairs tell: parts of identifiers, frequent words, and label templates with their beginnings."""
 
     tags: dict[str, str] = field(default_factory=dict)
     both: set[str] = field(default_factory=set)  # parts of identifiers that are names of their own, too
@@ -137,36 +140,132 @@ def tokenize(text: str) -> list[str]:
     return out
 
 
-def learn(pairs: list[tuple[str, str, str]]) -> Lexicon:
-    lex, first, last, single, words = Lexicon(), Counter(), Counter(), Counter(), Counter()
-    for _, code, label in pairs:
-        for name in re.findall(r"[A-Za-z_]\w*", code):
-            if name.isupper():
-                continue
-            parts = [p.lower() for p in _PARTS.findall(name)]
-            if len(parts) > 1 and not name.isupper():
-                first[parts[0]] += 1
-                last[parts[1]] += 1
-            elif parts:
-                single[parts[0]] += 1
-        words.update({t for t in tokenize(label) if t[0].isalpha()})
-    floor = max(KNOWN, len(pairs) // 2000)
-    lex.words = {w for w, n in words.most_common(20_000) if n >= floor}
+def _names(code: str) -> Iterator[tuple[str, str]]:
+    """The parts of a code's identifiers, each with its place, and the methods called."""
+    for name in re.findall(r"[A-Za-z_]\w*", code):
+        if name.isupper():
+            continue
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if len(parts) > 1:
+            yield "first", parts[0]
+            yield "last", parts[1]
+        elif parts:
+            yield "single", parts[0]
+    for m in re.findall(r"(?:\.|->)([a-z]+)\(", code):
+        yield "called", m
+
+
+def _words(tokens: list[str]) -> set[str]:
+    return {t for t in tokens if t[0].isalpha()}
+
+
+def _lexicon(counts: dict[str, Counter], known: set[str]) -> Lexicon:
+    """A lexicon without templates."""
+    lex, first, last = Lexicon(words=known), counts["first"], counts["last"]
     for w, _ in (first + last).most_common(5_000):
         f, la = first[w], last[w]
         if f + la >= KNOWN and w not in ("count", "mutex"):
             lex.tags[w] = "ADJ" if f > la else "NOUN"
-            if single[w] >= KNOWN:
+            if counts["single"][w] >= KNOWN:
                 lex.both.add(w)
-    called = Counter(m for _, code, _ in pairs for m in re.findall(r"(?:\.|->)([a-z]+)\(", code))
-    lex.tags |= {w: "VERB" for w, n in called.most_common(5_000) if n >= KNOWN and w not in lex.tags}
+    lex.tags |= {w: "VERB" for w, n in counts["called"].most_common(5_000) if n >= KNOWN and w not in lex.tags}
     lex.stubs = {w[:k] for w in lex.words | set(lex.tags) for k in range(1, len(w))} - lex.words - set(lex.tags)
-    counts = Counter(lex.template(tokenize(label)) for _, _, label in pairs)
-    lex.templates = {t: n for t, n in counts.items() if n >= KNOWN}
-    lex.starts = {t[:k] for t in lex.templates for k in range(1, len(t))}
     return lex
 
 
+def _with_templates(lex: Lexicon, templates: dict[tuple[str, ...], int]) -> Lexicon:
+    lex.templates = templates
+    lex.starts = {t[:k] for t in templates for k in range(1, len(t))}
+    return lex
+
+
+def learn(pairs: list[tuple[str, str, str]]) -> Lexicon:
+    """The lexicon of pairs in memory."""
+    counts = {k: Counter() for k in ("first", "last", "single", "called", "word")}
+    for _, code, label in pairs:
+        for k, w in _names(code):
+            counts[k][w] += 1
+        counts["word"].update(_words(tokenize(label)))
+    floor = max(KNOWN, len(pairs) // 2000)
+    lex = _lexicon(counts, {w for w, n in counts["word"].most_common(20_000) if n >= floor})
+    found = Counter(lex.template(tokenize(label)) for _, _, label in pairs)
+    return _with_templates(lex, {t: n for t, n in found.items() if n >= KNOWN})
+
+
+def _own_words(counts: Counter) -> set[str]:
+    """Words that are not just beginnings of a far more frequent one, as in broken-off labels."""
+    longest: Counter = Counter()
+    for w, n in counts.items():
+        for k in range(1, len(w)):
+            longest[w[:k]] = max(longest[w[:k]], n)
+    return {w for w, n in counts.items() if n >= BROKEN_OFF * longest[w]}
+
+
+def _own_templates(counts: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], int]:
+    """Templates that are not just beginnings of far more frequent ones, or such a one with something begun after it."""
+    longer: Counter = Counter()
+    for t, n in counts.items():
+        for k in range(1, len(t)):
+            longer[t[:k]] += n
+    return {t: n for t, n in counts.items() if n >= BROKEN_OFF * max([longer[t], *(counts.get(t[:k], 0) for k in range(1, len(t)))])}
+
+
+def _sums(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    return rows.mapInArrow(run, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+
+
+def _flushed(counts: Counter) -> pa.RecordBatch:
+    kinds, items = zip(*counts) if counts else ((), ())
+    batch = pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(items, pa.string()), pa.array(counts.values(), pa.int64())], names=["kind", "item", "n"])
+    counts.clear()
+    return batch
+
+
+def _top(sums: DataFrame, kind: str, size: int) -> Counter:
+    rows = sums.where((F.col("kind") == kind) & (F.col("n") >= KNOWN)).orderBy(F.col("n").desc(), "item").limit(size).select("item", "n").toPandas()
+    return Counter(dict(zip(rows["item"], rows["n"].tolist())))
+
+
+def learn_all(pairs: DataFrame, examples: list[tuple[str, str, str]], longest: int) -> Lexicon:
+    """The lexicon of all pairs without signs of a defect, counted in Spark; lists of bounded size come to the driver.
+
+    The examples only tell which words of other languages are words of this one, too; labels with several others don't count.
+    """
+    first = learn(examples)
+    strange = _FOREIGN_WORDS - learn([p for p in examples if not doubtful(*p[1:], first, longest)] or examples).words
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for b in batches:
+            for code, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tokens = tokenize(label)
+                if sum(t in strange for t in tokens) > 1 or doubtful(code, label, None, longest):
+                    continue
+                counts.update(_names(code))
+                counts.update(("word", w) for w in _words(tokens))
+                counts["label", "\n".join(tokens)] += 1
+            if len(counts) > 100_000:
+                yield _flushed(counts)
+        yield _flushed(counts)
+
+    sums = cut(_sums(widen(pairs.where("trim(label) != ''").select(F.coalesce("raw_code", F.lit("")).alias("raw_code"), "label")), count))
+    sizes = {"first": 20_000, "last": 20_000, "single": 20_000, "called": 5_000, "word": 20_000}
+    counts = {k: _top(sums, k, n) for k, n in sizes.items()}
+    lex = _lexicon(counts, _own_words(counts["word"]))
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in batches:
+            for item, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found["template", "\n".join(lex.template(item.split("\n")))] += n
+            if len(found) > 100_000:
+                yield _flushed(found)
+        yield _flushed(found)
+
+    templates = _top(_sums(sums.where("kind = 'label'").select("item", "n"), shape), "template", 20_000)
+    return _with_templates(lex, _own_templates({tuple(t.split("\n")): n for t, n in templates.items()}))
+
+
 class Features:
     """Hashed features of a pair; indices of recurring features are remembered in a table of bounded size."""
 
@@ -259,8 +358,8 @@ _PERSON = re.compile(r"(?i)\b(I|I'm|I'd|my|me|you|your|sorry,|apologies|unfortun
 _FOREIGN_WORDS = frozenset(_FOREIGN.split())
 
 
-def doubtful(code: str, label: str, lex: Lexicon, longest: int) -> bool:
-    """Whether a pair shows a sign of some defect, so that it is no example of a good one. It is judged all the same."""
+def doubtful(code: str, label: str, lex: Lexicon | None, longest: int) -> bool:
+    """Whether a pair shows a sign of some defect, so that it is no example of a good one. It is judged all the same. Without a lexicon no word is unknown."""
     bare = _QUOTED.sub(" ", label)
     tokens = tokenize(label)
     words = [w for w in tokenize(bare) if w[0].isalpha() and w not in ("ID", "MACRO")]
@@ -270,7 +369,7 @@ def doubtful(code: str, label: str, lex: Lexicon, longest: int) -> bool:
         or any(c > "\x7f" and c.isalpha() for c in bare)
         or sum(w in _FOREIGN_WORDS for w in words) > 0.34 * len(words)
         or bool(_PERSON.search(label.replace("’", "'")))
-        or sum(w not in lex.words and w not in lex.tags for w in words) > 0.5 * len(words)
+        or lex is not None and sum(w not in lex.words and w not in lex.tags for w in words) > 0.5 * len(words)
         or (len(label) >= 0.95 * longest > 120)
         or tokens.count("(") > tokens.count(")")
         or tokens.count("[") > tokens.count("]")
@@ -395,17 +494,17 @@ def _examples(pairs: list[tuple[str, str, str]], lex: Lexicon, r: random.Random)
     return out
 
 
-def fit(pairs: list[tuple[str, str, str]], seed: int = 7) -> Model:
-    """The calibrated model of a sample of (node type, code, label).
+def fit(pairs: list[tuple[str, str, str]], seed: int = 7, whole: Lexicon | None = None, longest: int | None = None) -> Model:
+    """The calibrated model of a sample of (node type, code, label); `whole` and `longest` are what all pairs tell, else the sample's own.
 
     Pairs with signs of a defect are no good examples; a first round on half of the sample serves to find more of them.
     """
     r = random.Random(seed)
-    first, longest = learn(pairs), max((len(p[2]) for p in pairs), default=0)
+    first, longest = whole or learn(pairs), longest or max((len(p[2]) for p in pairs), default=0)
     pairs = [p for p in pairs if not doubtful(*p[1:], first, longest)] or pairs
     model = None
     for last in (False, True):
-        lex = learn(pairs)
+        lex = whole or learn(pairs)
         features = Features(lex)
         made = _examples(pairs if last else pairs[: len(pairs) // 2], lex, r)
         rows = [features.of(*e[1:]) for e in made]
@@ -463,9 +562,8 @@ def verdicts(model: Model, features: Features, rows: list[tuple[str, str, str]])
     return out
 
 
-def _sample(pairs: DataFrame, size: int) -> list[tuple[str, str, str]]:
-    """About `size` pairs, at most twice as many, chosen by a hash of their key."""
-    total = pairs.count()
+def _sample(pairs: DataFrame, size: int, total: int) -> list[tuple[str, str, str]]:
+    """About `size` of `total` pairs, at most twice as many, chosen by a hash of their key."""
     share = min(1.0, size / max(1, total))
     chosen = pairs.where(F.pmod(F.xxhash64("function_key", "node_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     picked = chosen.where("trim(label) != ''").select("function_key", "node_id", "node_type", F.coalesce("raw_code", F.lit("")).alias("raw_code"), "label").limit(2 * size).toPandas()
@@ -476,8 +574,9 @@ def _sample(pairs: DataFrame, size: int) -> list[tuple[str, str, str]]:
 def defects(nodes: DataFrame, flowcharts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """`function_key`, `node_id`, `defect` of each defective pair."""
     pairs = nodes.where("node_type is null or node_type not in ('START', 'END')")
-    examples = _sample(pairs, sample)
-    model = fit(examples) if examples else None
+    total, longest = pairs.agg(F.count("*"), F.max(F.length("label"))).first()
+    examples = _sample(pairs, sample, total)
+    model = fit(examples, whole=learn_all(pairs, examples, longest), longest=longest) if examples else None
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(model)  # DIMENSIONS weights a class and a lexicon of bounded size
 

@@ -56,3 +56,17 @@ def test_tables(spark, sf):
     assert defects.defects(empty, charts).count() == 0
     only_blank = {r.function_key: r.defect for r in defects.defects(extra.where("label is null"), charts.where("false")).collect()}
     assert only_blank == {"x": "empty", "z": "empty", "v": "empty"}
+
+
+def test_lexicon_of_all_pairs(spark, monkeypatch):
+    """Words, templates and identifier parts of a small project count, whether or not they are in the sample; broken-off ones don't."""
+    rows = [(f"k{i}", "N1", "ACTION", f"rawCount = {i};", f"Set the counter to {i}", "") for i in range(3000)]
+    rows += [(f"z{i}", "N1", "ACTION", "quuxGizmo.frobnicate();", "Frobnicate every gizmo twice", "") for i in range(40)]
+    rows += [(f"y{i}", "N1", "ACTION", "f();", "Set the coun", "") for i in range(6)]
+    models, fit = [], defects.fit
+    monkeypatch.setattr(defects, "fit", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    defects.defects(spark.createDataFrame(rows, NODES), spark.createDataFrame([], CHARTS), sample=60)
+    lex = models[0].lex
+    assert {"frobnicate", "twice", "counter"} <= lex.words and "coun" not in lex.words and "coun" in lex.stubs
+    assert lex.tags["quux"] == "ADJ" and lex.tags["frobnicate"] == "VERB"
+    assert lex.template(defects.tokenize("Frobnicate every gizmo twice")) in lex.templates
