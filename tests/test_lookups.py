@@ -50,3 +50,13 @@ def test_last_writer_and_index(spark):
     hit, miss = lookups.split_keys(e, spark.createDataFrame([("k1",), ("k9",)], "function_key string"))
     assert [r.function_key for r in hit.collect()] == ["k1"] and [r.function_key for r in miss.collect()] == ["k9"]
     assert lookups.last_writer(df.where(F.lit(False)), "name").count() == 0
+
+
+def test_cursor_far_above(spark):
+    """A long function around a stale line is found, however far above it starts; others only within 25 lines."""
+    from flowgrain.operators.resolver import resolve_cursors
+
+    entries = spark.createDataFrame([("a", "S.cpp", 500, 510, "n::run"), ("b", "s.cpp", 300, None, "n::walk"), ("c", "s.cpp", 900, 905, "n::far"), ("d", "s.cpp", 900, 905, "n::gone"), ("e", "s.cpp", 124, 126, "n::edge")], "function_key string, file string, line int, end_line int, qualified_name string")
+    cursors = spark.createDataFrame([("s.cpp", "n::run", 401, 600, True, 1), ("s.cpp", "n::walk", 275, 280, True, 2), ("s.cpp", "n::far", 925, 926, True, 3), ("s.cpp", "n::gone", 874, 880, True, 4), ("s.cpp", "n::edge", 149, 160, True, 5)], "file string, name string, line int, end_line int, is_definition boolean, visit_ord int")
+    got = {r.function_key: (r.tier, r.line) for r in resolve_cursors(entries, cursors).collect()}
+    assert got == {"a": (2, 401), "b": (3, 275), "c": (3, 925), "e": (3, 149)}
