@@ -1,10 +1,13 @@
 """Best representative of each duplicate group (problem 1).
 
-Method: consistent bundles. The fields of a record form bundles that are only taken whole: the full name, the
-comment, and the place (file and line together). Equal values are first counted together, so that a function with
-very many records shuffles few rows; of candidates that agree in all that a dependency looks at, only the most trusted
-is kept. Branch and bound then picks one candidate of each bundle so that the trust is largest and the dependencies
-hold: a function has one full name, and its place is where it is defined if any record knows that.
+Method: consistent bundles. The fields of a record form bundles that are only taken whole: the function's key, the full
+name, the state (declared or defined), the comment, and the place (file and line together). Equal values are first
+counted together, so that a function with very many records shuffles few rows; of the candidates of a bundle that agree in
+all attributes the dependencies look at, only the most trusted can be part of the best choice, so only it is kept. Branch
+and bound then picks at most one candidate of each bundle so that the total trust is largest and all functional
+dependencies between bundles hold. `DEPENDENCIES` states them as data: the key determines the name, and the state
+determines where the place comes from. The most trusted state (defined) and the most trusted place can exclude each other,
+as where a definition is known but its place isn't; then the search takes the declared state with its place.
 
 Defined results: records without a name belong to no function; a missing signature counts as the parameter list
 in the name, or as none; null times are oldest, ties go to the smaller record; 0 stands for no value; exact copies
@@ -14,7 +17,9 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,44 +34,46 @@ _CUT_MARK = r"(?U)\s*(\[\s*(\.{3}|…)\s*\]|\(\s*(\.{3}|…)\s*\)|…|\.{3,})\s*
 #: Comments are compared within blocks of their first characters; shorter ones take a way of their own.
 BLOCK = 12
 _GROUP = ["project", "full", "types"]
+#: Functional dependencies between bundles: (bundle, attribute, bundle, attribute) of which chosen candidates have the same
+#: value. A candidate that lacks the attribute depends on nothing.
+DEPENDENCIES = (("function", "names", "name", "names"), ("state", "kind", "place", "kind"))
 
 
-def _named(records: DataFrame) -> DataFrame:
-    """The records with their group: `project`, `full`, `types`.
-
-    A name that is the only full name of the project without its outermost namespace becomes that; those are few, so
-    that the table of them is small against the records.
-    """
+def _values(records: DataFrame) -> DataFrame:
+    """One row per project, plain name, parameter types, bundle and value: smallest record, newest record, number of records."""
     known = records.select(
-        "project", plain_name(F.col("qualified_name")).alias("name"), parameter_types(F.coalesce("signature", "qualified_name")).alias("types"), "record_id", "qualified_name", "comment", "file", "line", "is_definition", "scanned_at"
-    ).where("name != ''")
-    names = known.select(F.col("project").alias("p"), "name").distinct()
-    tagged = names.select("p", F.col("name").alias("short"), F.lit(None).cast("string").alias("long")).unionByName(names.where("name like '%::%'").select("p", F.expr(r"regexp_replace(name, '^[^:]+::', '')").alias("short"), F.col("name").alias("long")))
-    used = cut(tagged.groupBy("p", "short").agg(F.count("long").alias("k"), F.count_if(F.col("long").isNull()).alias("own"), F.min("long").alias("long")).where("k = 1 and own > 0").select("p", "short", "long"))
-    joined = known.join(used, F.col("project").eqNullSafe(F.col("p")) & (F.col("name") == F.col("short")), "left")
-    return joined.withColumn("full", F.coalesce("long", "name")).drop("p", "short", "long", "name")
-
-
-def _values(named: DataFrame) -> DataFrame:
-    """One row per group, bundle and value: smallest record, newest record, number of records."""
-    known = named.select(
-        *_GROUP,
+        "project",
+        plain_name(F.col("qualified_name")).alias("name"),
+        parameter_types(F.coalesce("signature", "qualified_name")).alias("types"),
         "record_id",
         F.struct(F.col("scanned_at").alias("at"), (-F.col("record_id")).alias("id")).alias("newest"),  # null sorts first
         F.array(
-            F.struct(F.lit("name").alias("bundle"), F.col("qualified_name").alias("value"), F.lit(0).alias("line"), F.lit(0).alias("tier")),
+            F.struct(F.lit("name").alias("bundle"), F.col("qualified_name").alias("value"), F.lit(0).alias("line"), F.expr("if(is_definition, 1, 0)").alias("tier")),
             F.expr(f"if(comment is null or comment rlike r'{STAND_INS}', null, struct('comment' as bundle, comment as value, 0 as line, 0 as tier))"),
             F.expr(r"if(file is null or file rlike r'(?U)^\s*$' or coalesce(line, 0) < 1, null, struct('place' as bundle, file as value, line as line, if(is_definition, 1, 0) as tier))"),
         ).alias("c"),
-    )
+    ).where("name != ''")
     return (
-        known.select(*_GROUP, "record_id", "newest", F.explode(F.filter("c", lambda c: c.isNotNull())).alias("c"))
-        .select(*_GROUP, "c.*", "record_id", "newest")
-        .groupBy(*_GROUP, "bundle", "value", "line")
+        known.select("project", "name", "types", "record_id", "newest", F.explode(F.filter("c", lambda c: c.isNotNull())).alias("c"))
+        .select("project", "name", "types", "c.*", "record_id", "newest")
+        .groupBy("project", "name", "types", "bundle", "value", "line")
         .agg(F.min("record_id").alias("first"), F.max(F.struct("tier", "newest.at", "newest.id")).alias("best"), F.count("*").alias("n"))
     )
 
 
+def _named(values: DataFrame) -> DataFrame:
+    """The values with their group: `project`, `full`, `types`; equal values of one group are counted together again.
+
+    A name that is the only full name of the project without its outermost namespace becomes that. They are looked up for
+    the values, which are fewer than the records.
+    """
+    names = values.where("bundle = 'name'").select(F.col("project").alias("p"), "name")
+    short = names.select("p", F.col("name").alias("short"), F.lit(None).cast("string").alias("long")).unionByName(names.where("name like '%::%'").select("p", F.expr(r"regexp_replace(name, '^[^:]+::', '')").alias("short"), F.col("name").alias("long")))
+    used = short.groupBy("p", "short").agg(F.count_if(F.col("long").isNull()).alias("own"), F.min("long").alias("long"), F.max("long").alias("other")).where("own > 0 and long = other").select("p", "short", "long")
+    joined = values.join(used, F.col("project").eqNullSafe(F.col("p")) & (F.col("name") == F.col("short")), "left").withColumn("full", F.coalesce("long", "name"))
+    return joined.groupBy(*_GROUP, "bundle", "value", "line").agg(F.min("first").alias("first"), F.max("best").alias("best"), F.sum("n").alias("n"))
+
+
 def _whole_comments(comments: DataFrame) -> DataFrame:
     """The comments that are no cut copy: none of the group goes on where they end.
 
@@ -79,71 +86,110 @@ def _whole_comments(comments: DataFrame) -> DataFrame:
     long = stems.withColumn("cut", F.coalesce(after.startswith(F.col("stem")) & ((after != F.col("stem")) | F.col("marked")), F.lit(False)))
     # an equal stem may stand between a text and the one that goes on from it
     long = long.withColumn("cut", F.max(F.col("cut") & (after != F.col("stem"))).over(Window.partitionBy(*_GROUP, F.substring("stem", 1, BLOCK), "stem")) | F.col("cut"))
-    short = long.where(f"not cut and length(stem) < {BLOCK}").select(*_GROUP, "stem").distinct()
-    begun = (
-        stems.join(short.select(*_GROUP).distinct(), _GROUP, "left_semi")
-        .select(*_GROUP, F.explode(F.expr(f"transform(sequence(1, {BLOCK - 1}), k -> if(k < length(stem), substring(stem, 1, k), null))")).alias("stem"))
-        .where("stem is not null")
-        .distinct()
-        .withColumn("begun", F.lit(True))
-    )
-    return long.where("not cut").join(begun, [*_GROUP, "stem"], "left").where("begun is null").drop("stem", "marked", "cut", "begun")
+    # stems shorter than a block: only in groups that have one, the beginnings of the other stems are looked at
+    short = stems.where(f"length(stem) < {BLOCK}").select(*_GROUP)
+    begun = stems.join(short, _GROUP, "left_semi").select(*_GROUP, F.explode(F.expr(f"filter(transform(sequence(1, {BLOCK - 1}), k -> if(k < length(stem), substring(stem, 1, k), null)), x -> x is not null)")).alias("stem"))
+    return long.where("not cut").join(begun, [*_GROUP, "stem"], "left_anti").drop("stem", "marked", "cut")
+
+
+class Candidate(NamedTuple):
+    """What may be taken for a bundle: its trust, the attributes that dependencies look at, and its place in the input."""
 
+    trust: int
+    attributes: dict[str, str]
+    at: int
 
-def choose(bundles: list[list[tuple[float, bool, int]]]) -> tuple[float, list[int]]:
-    """Branch and bound: one candidate (trust, allowed, position) of each bundle, or -1, with the largest total trust.
 
-    Candidates that break a dependency are no branches; a branch is left when even the best rest can't win.
+def choose(bundles: dict[str, list[Candidate]], dependencies: Sequence[tuple[str, str, str, str]] = DEPENDENCIES) -> tuple[int, dict[str, int], int]:
+    """Branch and bound: at most one candidate of each bundle, so that the total trust is largest and all dependencies hold.
+
+    Gives the trust, the place taken in each bundle (-1: none), and the number of branches looked at. Bundles with the
+    fewest candidates come first, candidates by falling trust; a branch is left as soon as the best of all further bundles,
+    whatever the dependencies, can't win against the best choice so far.
     """
-    order = [sorted((c for c in b if c[1]), key=lambda c: -c[0]) for b in bundles]
-    rest = [0.0] * (len(order) + 1)
+    names = sorted(bundles, key=lambda b: len(bundles[b]))
+    order = [sorted(bundles[b], key=lambda c: -c.trust) for b in names]
+    rest = [0] * (len(order) + 1)
     for i in range(len(order) - 1, -1, -1):
-        rest[i] = rest[i + 1] + (order[i][0][0] if order[i] else 0.0)
-    best: tuple[float, list[int]] = (-1.0, [])
-
-    def branch(i: int, trust: float, taken: list[int]) -> None:
-        nonlocal best
-        if trust + rest[i] <= best[0]:
+        rest[i] = rest[i + 1] + (order[i][0].trust if order[i] else 0)
+    rules: dict[str, list[tuple[str, str, str]]] = {}
+    for a, x, b, y in dependencies:
+        rules.setdefault(a, []).append((x, b, y))
+        rules.setdefault(b, []).append((y, a, x))
+    best, best_taken, looked_at = -1, {}, 0
+
+    def agrees(bundle: str, c: Candidate, taken: dict[str, Candidate | None]) -> bool:
+        for own, other, theirs in rules.get(bundle, ()):
+            o = taken.get(other)
+            if o is not None and own in c.attributes and theirs in o.attributes and c.attributes[own] != o.attributes[theirs]:
+                return False
+        return True
+
+    def branch(i: int, trust: int, taken: dict[str, Candidate | None]) -> None:
+        nonlocal best, best_taken, looked_at
+        looked_at += 1
+        if trust + rest[i] <= best:
             return
         if i == len(order):
-            best = (trust, taken)
+            best, best_taken = trust, {b: c.at if c else -1 for b, c in taken.items()}
             return
         for c in order[i]:
-            branch(i + 1, trust + c[0], [*taken, c[2]])
-        if not order[i]:
-            branch(i + 1, trust, [*taken, -1])
+            if agrees(names[i], c, taken):
+                branch(i + 1, trust + c.trust, {**taken, names[i]: c})
+        branch(i + 1, trust, {**taken, names[i]: None})
 
-    branch(0, 0.0, [])
-    return best
+    branch(0, 0, {})
+    return best, best_taken, looked_at
+
+
+#: Trust of a group's key: more than all else together, so that it is always taken.
+KEY = 1 << 192
+_EPOCH = datetime(1970, 1, 1)
+_MICROSECOND = timedelta(microseconds=1)
+
+
+def trust(source: int, at: datetime | None, record: int) -> int:
+    """Completeness, source, recency and order of records as one number; the sums over bundles compare part by part."""
+    recency = 0 if at is None else (at.replace(tzinfo=None) - _EPOCH) // _MICROSECOND + (1 << 62)
+    return ((1 << 8 | source) << 72 | recency) << 72 | ((1 << 64) - record)
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         picked = []
-        for candidates in b.column(b.schema.get_field_index("candidates")).to_pylist():
-            sides = [[(1.0 + c["tier"], c["allowed"], k) for k, c in enumerate(candidates) if c["bundle"] == name] for name in ("name", "comment", "place")]
-            _, taken = choose(sides)
-            chosen = [candidates[k] if k >= 0 else {} for k in taken]
-            picked.append({"name_id": chosen[0].get("first", 0), "comment_id": chosen[1].get("first", 0), "comment": chosen[1].get("value"), "place_id": chosen[2].get("first", 0), "file": chosen[2].get("value"), "line": chosen[2].get("line")})
-        kind = pa.struct([("name_id", pa.int64()), ("comment_id", pa.int64()), ("comment", pa.string()), ("place_id", pa.int64()), ("file", pa.string()), ("line", pa.int32())])
+        for full, candidates in zip(b.column(1).to_pylist(), b.column(b.schema.get_field_index("candidates")).to_pylist()):
+            bundles: dict[str, list[Candidate]] = {"function": [Candidate(KEY, {"names": full}, -1)], "state": [], "name": [], "comment": [], "place": []}
+            for k, c in enumerate(candidates):
+                seen = {"name": {"names": c["value"]}, "state": {"kind": c["value"]}, "place": {"kind": "defined" if c["tier"] else "declared"}}.get(c["bundle"], {})
+                bundles[c["bundle"]].append(Candidate(trust(c["tier"], c["at"], -c["id"]), seen, k))
+            _, taken, _ = choose(bundles)
+            chosen = {name: candidates[k] if k >= 0 else {} for name, k in taken.items()}
+            name, comment, place = chosen["name"], chosen["comment"], chosen["place"]
+            picked.append({"name_id": name.get("first", 0), "comment_id": comment.get("first", 0), "comment": comment.get("value"), "place_id": place.get("first", 0), "file": place.get("value"), "line": place.get("line"), "state": chosen["state"].get("value")})
+        kind = pa.struct([("name_id", pa.int64()), ("comment_id", pa.int64()), ("comment", pa.string()), ("place_id", pa.int64()), ("file", pa.string()), ("line", pa.int32()), ("state", pa.string())])
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(picked, kind)], names=[*b.schema.names[:5], "picked"])
 
 
 def best_records(records: DataFrame) -> DataFrame:
     """One row per function with two records or more: `project`, `qualified_name`, `param_types`, `n_records`,
-    `first_id`, and the surviving `comment`, `file` and `line` with the smallest records that hold each value."""
-    values = cut(_values(_named(records)))
+    `first_id`, and the surviving `comment`, `file`, `line` and `state` with the smallest records that hold each value."""
+    values = cut(_named(_values(records)))
     kept = values.where("bundle != 'comment'").unionByName(_whole_comments(values.where("bundle = 'comment'")))
 
-    # of candidates that agree in what the dependencies look at, whether a name is the full one and whether a place is a
-    # definition, only the most trusted is kept
-    def best(bundle: str, tier: int, allowed: bool = True) -> Column:
-        here = (F.col("bundle") == bundle) & (F.col("best.tier") == tier) & (F.coalesce(F.col("value") == F.col("full"), F.lit(False)) == allowed if bundle == "name" else F.lit(True))
-        row = F.max(F.when(here, F.struct("best", "value", "line", "first")))
-        return F.when(row.isNotNull(), F.struct(F.lit(bundle).alias("bundle"), F.lit(allowed).alias("allowed"), F.lit(tier).alias("tier"), row["value"].alias("value"), row["line"].alias("line"), row["first"].alias("first")))
-
-    sides = F.array(best("name", 0), best("name", 0, False), best("comment", 0), best("place", 0), best("place", 1))
-    named = F.col("bundle") == "name"
-    groups = kept.groupBy(*_GROUP).agg(F.sum(F.when(named, F.col("n"))).alias("n_records"), F.min(F.when(named, F.col("first"))).alias("first_id"), F.filter(sides, lambda c: c.isNotNull()).alias("candidates"))
-    picked = groups.where("n_records > 1").select(*_GROUP, "n_records", "first_id", "candidates").mapInArrow(_pick, "project string, full string, types string, n_records long, first_id long, picked struct<name_id:long,comment_id:long,comment:string,place_id:long,file:string,line:int>")
+    # of the candidates that agree in the attributes of the dependencies only the most trusted is kept: names by whether
+    # they are the full one, places by whether a definition stands there
+    def row(bundle: str, here: Column, value: Column | None, tier: int) -> Column:
+        r = F.max(F.when((F.col("bundle") == bundle) & here, F.struct("best", "value", "line", "first")))
+        as_value = r["value"] if value is None else value
+        return F.when(r.isNotNull(), F.struct(F.lit("state" if value is not None else bundle).alias("bundle"), as_value.alias("value"), r["line"].alias("line"), r["first"].alias("first"), F.lit(tier).alias("tier"), r["best"]["at"].alias("at"), r["best"]["id"].alias("id")))
+
+    full = F.coalesce(F.col("value") == F.col("full"), F.lit(False))
+    defined = F.col("best.tier") == 1
+    always, is_name = F.lit(True), F.col("bundle") == "name"
+    sides = F.array(
+        row("name", full, None, 0), row("name", ~full, None, 0), row("comment", always, None, 0), row("place", ~defined, None, 0), row("place", defined, None, 1),
+        row("name", always, F.lit("declared"), 0), row("name", defined, F.lit("defined"), 1),
+    )
+    groups = kept.groupBy(*_GROUP).agg(F.sum(F.when(is_name, F.col("n"))).alias("n_records"), F.min(F.when(is_name, F.col("first"))).alias("first_id"), F.filter(sides, lambda c: c.isNotNull()).alias("candidates"))
+    picked = groups.where("n_records > 1").select(*_GROUP, "n_records", "first_id", "candidates").mapInArrow(_pick, "project string, full string, types string, n_records long, first_id long, picked struct<name_id:long,comment_id:long,comment:string,place_id:long,file:string,line:int,state:string>")
     return picked.select("project", F.col("full").alias("qualified_name"), F.col("types").alias("param_types"), "n_records", "first_id", "picked.*")

@@ -1,6 +1,8 @@
+import random
 from datetime import datetime
+from itertools import product
 
-from flowgrain.llm.best_record import best_records, choose
+from flowgrain.llm.best_record import Candidate, best_records, choose, trust
 
 SCHEMA = "record_id long, project string, qualified_name string, signature string, file string, line int, comment string, is_definition boolean, scanned_at timestamp, full string"
 
@@ -48,6 +50,43 @@ def test_odd_tables(spark):
     assert found(spark, {"signature": None, "qualified_name": "a::f(int)"}, {"signature": "void f(int y)", "qualified_name": "a::f"}) == [(1, 2, 1, 1)]
 
 
-def test_branch_and_bound():
-    assert choose([[(1, True, 0), (3, False, 1)], [], [(2, True, 4), (5, True, 5)]]) == (6.0, [0, -1, 5])
-    assert choose([]) == (0.0, [])
+def test_the_best_state_may_exclude_every_place(spark):
+    """Taken one by one, the bundles would give the state `defined` and a declared place, which breaks a dependency."""
+    given = rows({"is_definition": True, "file": None}, {"is_definition": False, "line": 7}, {"is_definition": False, "line": 8, "scanned_at": None})
+    r = best_records(spark.createDataFrame(given, SCHEMA)).first()
+    assert (r.state, r.file, r.line, r.place_id) == ("declared", "f.cpp", 7, 2)
+    given = rows({"is_definition": True, "scanned_at": None}, {"is_definition": False, "line": 7})
+    r = best_records(spark.createDataFrame(given, SCHEMA)).first()
+    assert (r.state, r.line, r.place_id) == ("defined", 3, 1)
+
+
+def brute_force(bundles, dependencies):
+    best = 0
+    names = list(bundles)
+    for taken in product(*([None, *bundles[b]] for b in names)):
+        of = dict(zip(names, taken))
+        if all(of.get(a) is None or of.get(b) is None or x not in of[a].attributes or y not in of[b].attributes or of[a].attributes[x] == of[b].attributes[y] for a, x, b, y in dependencies):
+            best = max(best, sum(c.trust for c in taken if c))
+    return best
+
+
+def test_branch_and_bound_against_all_choices():
+    r = random.Random(3)
+    dependencies = (("a", "x", "b", "x"), ("b", "y", "c", "y"), ("a", "z", "d", "z"))
+    differs = fewer = 0
+    for _ in range(300):
+        bundles = {b: [Candidate(r.randint(1, 50), {k: r.choice("pqr") for k in "xyz" if r.random() < 0.8}, i) for i in range(r.randint(0, 5))] for b in "abcd"}
+        total, taken, looked_at = choose(bundles, dependencies)
+        assert total == brute_force(bundles, dependencies) == sum(bundles[b][k].trust for b, k in taken.items() if k >= 0)
+        differs += total < sum(max((c.trust for c in v), default=0) for v in bundles.values())
+        everything = 1
+        for v in bundles.values():
+            everything *= len(v) + 1
+        fewer += looked_at < everything
+    assert differs > 150 and fewer > 200
+    assert choose({}) == (0, {}, 1)
+
+
+def test_trust_compares_part_by_part():
+    assert trust(1, None, 5) > trust(0, day(9), 1) > trust(0, day(8), 1) > trust(0, day(8), 2) > trust(0, None, 1) > trust(0, None, 2)
+    assert 2 * trust(0, None, 9) > trust(1, day(9), 1)  # two bundles filled before one of a better source
