@@ -18,10 +18,10 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from datetime import datetime, timedelta
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,39 +39,55 @@ _GROUP = ["project", "full", "types"]
 DEPENDENCIES = (("function", "names", "name", "names"), ("state", "kind", "place", "kind"))
 
 
+def _micros(records: DataFrame, name: str) -> Column:
+    """A time as a number that orders alike, 0 for null; without a zone, whatever zone the session has."""
+    c = F.col(name)
+    if records.schema[name].dataType.simpleString() == "timestamp_ntz":
+        n = F.unix_date(F.to_date(c)).cast("long") * 86_400_000_000 + (F.hour(c) * 3_600 + F.minute(c) * 60).cast("long") * 1_000_000 + (F.expr(f"extract(second from {name})") * 1_000_000).cast("long")
+    else:
+        n = F.unix_micros(c)
+    return F.coalesce(n + (1 << 61), F.lit(0).cast("long"))
+
+
+def _long_names(records: DataFrame) -> DataFrame:
+    """`p`, `short`, `long`: a project's plain names that lack the outermost namespace of the only full name that ends so.
+
+    Each spelling is read once; each name stands for itself and for its end, in one grouping.
+    """
+    spelled = records.select(F.col("project").alias("p"), "qualified_name").where("qualified_name is not null").distinct()
+    names = spelled.select("p", plain_name(F.col("qualified_name")).alias("name")).where("name != ''")
+    as_short = F.struct(F.col("name").alias("short"), F.lit(None).cast("string").alias("long"))
+    as_long = F.when(F.col("name").contains("::"), F.struct(F.regexp_replace("name", "^[^:]+::", "").alias("short"), F.col("name").alias("long")))
+    ends = names.select("p", F.explode(F.filter(F.array(as_short, as_long), lambda x: x.isNotNull())).alias("x")).select("p", "x.*")
+    return ends.groupBy("p", "short").agg(F.count_if(F.col("long").isNull()).alias("own"), F.min("long").alias("long"), F.max("long").alias("other")).where("own > 0 and long = other").select("p", "short", "long")
+
+
 def _values(records: DataFrame) -> DataFrame:
-    """One row per project, plain name, parameter types, bundle and value: smallest record, newest record, number of records."""
+    """One row per group (`project`, `full`, `types`), bundle and value: smallest record, newest record, number of records.
+
+    Names are completed on the values, which are fewer than the records; equal values of one group are then counted
+    together again.
+    """
     known = records.select(
         "project",
         plain_name(F.col("qualified_name")).alias("name"),
         parameter_types(F.coalesce("signature", "qualified_name")).alias("types"),
         "record_id",
-        F.struct(F.col("scanned_at").alias("at"), (-F.col("record_id")).alias("id")).alias("newest"),  # null sorts first
+        _micros(records, "scanned_at").alias("at"),
         F.array(
             F.struct(F.lit("name").alias("bundle"), F.col("qualified_name").alias("value"), F.lit(0).alias("line"), F.expr("if(is_definition, 1, 0)").alias("tier")),
             F.expr(f"if(comment is null or comment rlike r'{STAND_INS}', null, struct('comment' as bundle, comment as value, 0 as line, 0 as tier))"),
             F.expr(r"if(file is null or file rlike r'(?U)^\s*$' or coalesce(line, 0) < 1, null, struct('place' as bundle, file as value, line as line, if(is_definition, 1, 0) as tier))"),
         ).alias("c"),
     ).where("name != ''")
-    return (
-        known.select("project", "name", "types", "record_id", "newest", F.explode(F.filter("c", lambda c: c.isNotNull())).alias("c"))
-        .select("project", "name", "types", "c.*", "record_id", "newest")
+    by_name = (
+        known.select("project", "name", "types", "record_id", "at", F.explode(F.filter("c", lambda c: c.isNotNull())).alias("c"))
+        .select("project", "name", "types", "c.*", "record_id", "at")
         .groupBy("project", "name", "types", "bundle", "value", "line")
-        .agg(F.min("record_id").alias("first"), F.max(F.struct("tier", "newest.at", "newest.id")).alias("best"), F.count("*").alias("n"))
+        .agg(F.min("record_id").alias("first"), F.max(F.struct("tier", "at", (-F.col("record_id")).alias("id"))).alias("best"), F.count("*").alias("n"))
     )
-
-
-def _named(values: DataFrame) -> DataFrame:
-    """The values with their group: `project`, `full`, `types`; equal values of one group are counted together again.
-
-    A name that is the only full name of the project without its outermost namespace becomes that. They are looked up for
-    the values, which are fewer than the records.
-    """
-    names = values.where("bundle = 'name'").select(F.col("project").alias("p"), "name")
-    short = names.select("p", F.col("name").alias("short"), F.lit(None).cast("string").alias("long")).unionByName(names.where("name like '%::%'").select("p", F.expr(r"regexp_replace(name, '^[^:]+::', '')").alias("short"), F.col("name").alias("long")))
-    used = short.groupBy("p", "short").agg(F.count_if(F.col("long").isNull()).alias("own"), F.min("long").alias("long"), F.max("long").alias("other")).where("own > 0 and long = other").select("p", "short", "long")
-    joined = values.join(used, F.col("project").eqNullSafe(F.col("p")) & (F.col("name") == F.col("short")), "left").withColumn("full", F.coalesce("long", "name"))
-    return joined.groupBy(*_GROUP, "bundle", "value", "line").agg(F.min("first").alias("first"), F.max("best").alias("best"), F.sum("n").alias("n"))
+    named = by_name.join(_long_names(records), F.col("project").eqNullSafe(F.col("p")) & (F.col("name") == F.col("short")), "left").withColumn("full", F.coalesce("long", "name"))
+    return named.groupBy(*_GROUP, "bundle", "value", "line").agg(F.min("first").alias("first"), F.max("best").alias("best"), F.sum("n").alias("n"))
 
 
 def _whole_comments(comments: DataFrame) -> DataFrame:
@@ -116,64 +132,66 @@ def choose(bundles: dict[str, list[Candidate]], dependencies: Sequence[tuple[str
     for a, x, b, y in dependencies:
         rules.setdefault(a, []).append((x, b, y))
         rules.setdefault(b, []).append((y, a, x))
-    best, best_taken, looked_at = -1, {}, 0
-
-    def agrees(bundle: str, c: Candidate, taken: dict[str, Candidate | None]) -> bool:
-        for own, other, theirs in rules.get(bundle, ()):
-            o = taken.get(other)
-            if o is not None and own in c.attributes and theirs in o.attributes and c.attributes[own] != o.attributes[theirs]:
-                return False
-        return True
+    of_name = {b: i for i, b in enumerate(names)}
+    before = [[(own, of_name[other], theirs) for own, other, theirs in rules.get(b, ()) if of_name.get(other, len(names)) < i] for i, b in enumerate(names)]
+    best, best_taken, looked_at = -1, [], 0
+    taken: list[Candidate | None] = [None] * len(order)
 
-    def branch(i: int, trust: int, taken: dict[str, Candidate | None]) -> None:
+    def branch(i: int, total: int) -> None:
         nonlocal best, best_taken, looked_at
         looked_at += 1
-        if trust + rest[i] <= best:
-            return
         if i == len(order):
-            best, best_taken = trust, {b: c.at if c else -1 for b, c in taken.items()}
+            best, best_taken = total, taken.copy()
             return
         for c in order[i]:
-            if agrees(names[i], c, taken):
-                branch(i + 1, trust + c.trust, {**taken, names[i]: c})
-        branch(i + 1, trust, {**taken, names[i]: None})
-
-    branch(0, 0, {})
-    return best, best_taken, looked_at
+            if total + c.trust + rest[i + 1] <= best:
+                return
+            for own, j, theirs in before[i]:
+                o = taken[j]
+                if o is not None and own in c.attributes and theirs in o.attributes and c.attributes[own] != o.attributes[theirs]:
+                    break
+            else:
+                taken[i] = c
+                branch(i + 1, total + c.trust)
+                taken[i] = None
+        if total + rest[i + 1] > best:
+            branch(i + 1, total)
+
+    branch(0, 0)
+    return best, {b: c.at if c else -1 for b, c in zip(names, best_taken)}, looked_at
 
 
 #: Trust of a group's key: more than all else together, so that it is always taken.
 KEY = 1 << 192
-_EPOCH = datetime(1970, 1, 1)
-_MICROSECOND = timedelta(microseconds=1)
-
-
-def trust(source: int, at: datetime | None, record: int) -> int:
+def trust(source: int, at: int, record: int) -> int:
     """Completeness, source, recency and order of records as one number; the sums over bundles compare part by part."""
-    recency = 0 if at is None else (at.replace(tzinfo=None) - _EPOCH) // _MICROSECOND + (1 << 62)
-    return ((1 << 8 | source) << 72 | recency) << 72 | ((1 << 64) - record)
+    return ((1 << 8 | source) << 72 | at) << 72 | ((1 << 64) - record)
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.struct([("name_id", pa.int64()), ("comment_id", pa.int64()), ("comment", pa.string()), ("place_id", pa.int64()), ("file", pa.string()), ("line", pa.int32()), ("state", pa.string())])
     for b in batches:
-        picked = []
-        for full, candidates in zip(b.column(1).to_pylist(), b.column(b.schema.get_field_index("candidates")).to_pylist()):
+        lists = b.column(b.schema.get_field_index("candidates"))
+        bundle, value, line, first, tier, at, record = (x.to_pylist() for x in lists.flatten().flatten())
+        ends, picked, k = pa.compute.list_value_length(lists).to_pylist(), [], 0
+        for full, size in zip(b.column(1).to_pylist(), ends):
             bundles: dict[str, list[Candidate]] = {"function": [Candidate(KEY, {"names": full}, -1)], "state": [], "name": [], "comment": [], "place": []}
-            for k, c in enumerate(candidates):
-                seen = {"name": {"names": c["value"]}, "state": {"kind": c["value"]}, "place": {"kind": "defined" if c["tier"] else "declared"}}.get(c["bundle"], {})
-                bundles[c["bundle"]].append(Candidate(trust(c["tier"], c["at"], -c["id"]), seen, k))
-            _, taken, _ = choose(bundles)
-            chosen = {name: candidates[k] if k >= 0 else {} for name, k in taken.items()}
-            name, comment, place = chosen["name"], chosen["comment"], chosen["place"]
-            picked.append({"name_id": name.get("first", 0), "comment_id": comment.get("first", 0), "comment": comment.get("value"), "place_id": place.get("first", 0), "file": place.get("value"), "line": place.get("line"), "state": chosen["state"].get("value")})
-        kind = pa.struct([("name_id", pa.int64()), ("comment_id", pa.int64()), ("comment", pa.string()), ("place_id", pa.int64()), ("file", pa.string()), ("line", pa.int32()), ("state", pa.string())])
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(picked, kind)], names=[*b.schema.names[:5], "picked"])
+            for k in range(k, k + size):
+                name = bundle[k]
+                seen = {} if name == "comment" else {"names": value[k]} if name == "name" else {"kind": value[k] if name == "state" else "defined" if tier[k] else "declared"}
+                bundles[name].append(Candidate(trust(tier[k], at[k], -record[k]), seen, k))
+            k += 1
+            taken = choose(bundles)[1]
+            of = lambda name, field, none=None: field[taken[name]] if taken[name] >= 0 else none  # noqa: B023, E731
+            picked.append((of("name", first, 0), of("comment", first, 0), of("comment", value), of("place", first, 0), of("place", value), of("place", line), of("state", value)))
+        fields = [pa.array(x, kind.field(i).type) for i, x in enumerate(zip(*picked))] if picked else [pa.array([], f.type) for f in kind]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.StructArray.from_arrays(fields, fields=list(kind))], names=[*b.schema.names[:5], "picked"])
 
 
 def best_records(records: DataFrame) -> DataFrame:
     """One row per function with two records or more: `project`, `qualified_name`, `param_types`, `n_records`,
     `first_id`, and the surviving `comment`, `file`, `line` and `state` with the smallest records that hold each value."""
-    values = cut(_named(_values(records)))
+    values = cut(_values(records))
     kept = values.where("bundle != 'comment'").unionByName(_whole_comments(values.where("bundle = 'comment'")))
 
     # of the candidates that agree in the attributes of the dependencies only the most trusted is kept: names by whether

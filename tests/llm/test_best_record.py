@@ -84,9 +84,9 @@ def test_branch_and_bound_against_all_choices():
             everything *= len(v) + 1
         fewer += looked_at < everything
     assert differs > 150 and fewer > 200
-    assert choose({}) == (0, {}, 1)
+    assert choose({})[:2] == (0, {})
 
 
 def test_trust_compares_part_by_part():
-    assert trust(1, None, 5) > trust(0, day(9), 1) > trust(0, day(8), 1) > trust(0, day(8), 2) > trust(0, None, 1) > trust(0, None, 2)
-    assert 2 * trust(0, None, 9) > trust(1, day(9), 1)  # two bundles filled before one of a better source
+    assert trust(1, 0, 5) > trust(0, 9, 1) > trust(0, 8, 1) > trust(0, 8, 2) > trust(0, 0, 1) > trust(0, 0, 2)
+    assert 2 * trust(0, 0, 9) > trust(1, 9, 1)  # two bundles filled before one of a better source
