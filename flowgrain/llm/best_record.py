@@ -18,6 +18,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -46,7 +47,12 @@ def _micros(records: DataFrame, name: str) -> Column:
         n = F.unix_date(F.to_date(c)).cast("long") * 86_400_000_000 + (F.hour(c) * 3_600 + F.minute(c) * 60).cast("long") * 1_000_000 + (F.expr(f"extract(second from {name})") * 1_000_000).cast("long")
     else:
         n = F.unix_micros(c)
-    return F.coalesce(n + (1 << 61), F.lit(0).cast("long"))
+    return F.coalesce(n + (1 << 59), F.lit(0).cast("long"))
+
+
+def _rank(tier: Column, at: Column, record: Column) -> Column:
+    """Source, recency and order of records as one number of fixed width, so that its maximum needs no sorting."""
+    return (tier.cast("long") * (1 << 61) + at).cast("decimal(19,0)") * F.lit(Decimal(2 * 10**19)) + (F.lit(Decimal((1 << 63) - 1)) - record.cast("decimal(19,0)"))
 
 
 def _long_names(records: DataFrame) -> DataFrame:
@@ -81,13 +87,14 @@ def _values(records: DataFrame) -> DataFrame:
         ).alias("c"),
     ).where("name != ''")
     by_name = (
-        known.select("project", "name", "types", "record_id", "at", F.explode(F.filter("c", lambda c: c.isNotNull())).alias("c"))
-        .select("project", "name", "types", "c.*", "record_id", "at")
+        known.select("project", "name", "types", "record_id", "at", F.explode("c").alias("c"))
+        .where("c is not null")
+        .select("project", "name", "types", "c.bundle", "c.value", "c.line", "record_id", _rank(F.col("c.tier"), F.col("at"), F.col("record_id")).alias("rank"))
         .groupBy("project", "name", "types", "bundle", "value", "line")
-        .agg(F.min("record_id").alias("first"), F.max(F.struct("tier", "at", (-F.col("record_id")).alias("id"))).alias("best"), F.count("*").alias("n"))
+        .agg(F.min("record_id").alias("first"), F.max("rank").alias("rank"), F.count("*").alias("n"))
     )
     named = by_name.join(_long_names(records), F.col("project").eqNullSafe(F.col("p")) & (F.col("name") == F.col("short")), "left").withColumn("full", F.coalesce("long", "name"))
-    return named.groupBy(*_GROUP, "bundle", "value", "line").agg(F.min("first").alias("first"), F.max("best").alias("best"), F.sum("n").alias("n"))
+    return named.groupBy(*_GROUP, "bundle", "value", "line").agg(F.min("first").alias("first"), F.max("rank").alias("rank"), F.sum("n").alias("n"))
 
 
 def _whole_comments(comments: DataFrame) -> DataFrame:
@@ -163,23 +170,23 @@ def choose(bundles: dict[str, list[Candidate]], dependencies: Sequence[tuple[str
 
 #: Trust of a group's key: more than all else together, so that it is always taken.
 KEY = 1 << 192
-def trust(source: int, at: int, record: int) -> int:
-    """Completeness, source, recency and order of records as one number; the sums over bundles compare part by part."""
-    return ((1 << 8 | source) << 72 | at) << 72 | ((1 << 64) - record)
+def trust(rank: int) -> int:
+    """Completeness before source, recency and order of records, as one number that adds up over bundles."""
+    return (1 << 130) + rank
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct([("name_id", pa.int64()), ("comment_id", pa.int64()), ("comment", pa.string()), ("place_id", pa.int64()), ("file", pa.string()), ("line", pa.int32()), ("state", pa.string())])
     for b in batches:
         lists = b.column(b.schema.get_field_index("candidates"))
-        bundle, value, line, first, tier, at, record = (x.to_pylist() for x in lists.flatten().flatten())
+        bundle, value, line, first, tier, rank = (x.to_pylist() for x in lists.flatten().flatten())
         ends, picked, k = pa.compute.list_value_length(lists).to_pylist(), [], 0
         for full, size in zip(b.column(1).to_pylist(), ends):
             bundles: dict[str, list[Candidate]] = {"function": [Candidate(KEY, {"names": full}, -1)], "state": [], "name": [], "comment": [], "place": []}
             for k in range(k, k + size):
                 name = bundle[k]
                 seen = {} if name == "comment" else {"names": value[k]} if name == "name" else {"kind": value[k] if name == "state" else "defined" if tier[k] else "declared"}
-                bundles[name].append(Candidate(trust(tier[k], at[k], -record[k]), seen, k))
+                bundles[name].append(Candidate(trust(int(rank[k])), seen, k))
             k += 1
             taken = choose(bundles)[1]
             of = lambda name, field, none=None: field[taken[name]] if taken[name] >= 0 else none  # noqa: B023, E731
@@ -197,12 +204,12 @@ def best_records(records: DataFrame) -> DataFrame:
     # of the candidates that agree in the attributes of the dependencies only the most trusted is kept: names by whether
     # they are the full one, places by whether a definition stands there
     def row(bundle: str, here: Column, value: Column | None, tier: int) -> Column:
-        r = F.max(F.when((F.col("bundle") == bundle) & here, F.struct("best", "value", "line", "first")))
+        r = F.max(F.when((F.col("bundle") == bundle) & here, F.struct("rank", "value", "line", "first")))
         as_value = r["value"] if value is None else value
-        return F.when(r.isNotNull(), F.struct(F.lit("state" if value is not None else bundle).alias("bundle"), as_value.alias("value"), r["line"].alias("line"), r["first"].alias("first"), F.lit(tier).alias("tier"), r["best"]["at"].alias("at"), r["best"]["id"].alias("id")))
+        return F.when(r.isNotNull(), F.struct(F.lit("state" if value is not None else bundle).alias("bundle"), as_value.alias("value"), r["line"].alias("line"), r["first"].alias("first"), F.lit(tier).alias("tier"), r["rank"].alias("rank")))
 
     full = F.coalesce(F.col("value") == F.col("full"), F.lit(False))
-    defined = F.col("best.tier") == 1
+    defined = F.col("rank") >= F.lit(Decimal((1 << 61) * 2 * 10**19))
     always, is_name = F.lit(True), F.col("bundle") == "name"
     sides = F.array(
         row("name", full, None, 0), row("name", ~full, None, 0), row("comment", always, None, 0), row("place", ~defined, None, 0), row("place", defined, None, 1),

@@ -2,7 +2,9 @@ import random
 from datetime import datetime
 from itertools import product
 
-from flowgrain.llm.best_record import Candidate, best_records, choose, trust
+from pyspark.sql import functions as F
+
+from flowgrain.llm.best_record import Candidate, _rank, best_records, choose, trust
 
 SCHEMA = "record_id long, project string, qualified_name string, signature string, file string, line int, comment string, is_definition boolean, scanned_at timestamp, full string"
 
@@ -87,6 +89,10 @@ def test_branch_and_bound_against_all_choices():
     assert choose({})[:2] == (0, {})
 
 
-def test_trust_compares_part_by_part():
-    assert trust(1, 0, 5) > trust(0, 9, 1) > trust(0, 8, 1) > trust(0, 8, 2) > trust(0, 0, 1) > trust(0, 0, 2)
-    assert 2 * trust(0, 0, 9) > trust(1, 9, 1)  # two bundles filled before one of a better source
+def test_ranks(spark):
+    def rank(defined, at, record):
+        return spark.sql(f"select {int(defined)} as t, {at} as a, {record}L as r").select(_rank(F.col("t"), F.col("a").cast("long"), F.col("r")).alias("x")).first().x
+
+    order = [rank(True, 0, 5), rank(False, 9, -4), rank(False, 9, 1), rank(False, 8, 1), rank(False, 8, 2), rank(False, 0, 1), rank(False, 0, (1 << 63) - 1)]
+    assert order == sorted(order, reverse=True) and len(set(order)) == len(order)
+    assert 2 * trust(0) > trust(int(order[0]))  # two bundles filled before one of a better source
