@@ -11,26 +11,76 @@ def pairs(spark):
     return [(r.node_type, r.raw_code or "", r.label) for r in rows]
 
 
-def test_held_out(pairs):
+@pytest.fixture(scope="module")
+def model(pairs):
+    random.Random(3).shuffle(pairs)
+    return defects.fit(pairs[: len(pairs) // 2])
+
+
+def test_held_out(pairs, model):
     """Trained on one half, judged on broken pairs made from the other."""
-    r = random.Random(3)
-    r.shuffle(pairs)
-    half = len(pairs) // 2
-    model = defects.fit(pairs[:half])
     lex, longest = defects.learn(pairs), max(len(p[2]) for p in pairs)
-    good = [p for p in pairs[half:] if p[2].strip() and not defects.doubtful(*p[1:], lex, longest)][:1500]
-    made = defects._examples(good, model.lex, random.Random(9))
+    good = [p for p in pairs[len(pairs) // 2 :] if p[2].strip() and not defects.doubtful(*p[1:], lex, longest)][:1500]
+    made = [m for m in defects._examples(good, model.lex, random.Random(9)) if m[0] != ("swapped",)]
     got = defects.verdicts(model, defects.Features(model.lex), [m[1:] for m in made])
     for name in defects.CLASSES:
-        of = [g for m, g in zip(made, got) if m[0] == name]
+        of = [g for m, g in zip(made, got) if m[0] == (name,)]
         assert sum(g == name for g in of) > (0.93 if name == "truncated" else 0.97) * len(of), name
+    twice = [(m[0], g) for m, g in zip(made, got) if sum(k in defects.CLASSES for k in m[0]) > 1]
+    assert sum(g in k for k, g in twice) > 0.9 * len(twice) > 20
     fine = [g for m, g in zip(made, got) if not m[0]]
     assert sum(g is not None for g in fine) < 0.02 * len(fine)
 
 
-@pytest.mark.parametrize(("code", "label", "out"), [("f(a);", "`f(a);`", True), ("f(a);", "This code does: F(A)", True), ("x.empty()", "Is x.empty() true for the caller", False), ("default", "Default case", False), ("break;", "break;", True), ("return x;", "return x", True), ("", "x", False), ("a > b", "Check: a>b?", True)])
-def test_copies(code, label, out):
-    assert defects.is_copy(code, label) is out
+#: Answers for `pool.release(h);` that share no pattern with those that the classifier is trained on; written after the patterns
+#: were settled.
+WORDED = {
+    "refusal": """I lack the background to describe this line.|Sorry, nothing can be said about this by me.|I'd prefer not to label it.|There's too little here for me to go on.|My terms of use rule out an answer.|Would you mind showing me the calling code?|I have no idea what this is supposed to do.|I'm afraid this isn't something I can label.|I can't be of help here.|As a chatbot I cannot judge that.
+Sorry, I'm not in a position to explain this.|I need additional context, please share the class.""",
+    "language": """Devuelve el mango a la reserva|Legt den Griff in den Vorrat zurück|Rimette la maniglia nel gruppo|Rend la poignée à la réserve|Возвращает дескриптор в пул|Oddaje uchwyt do puli|把句柄还给池|Geeft de greep terug aan de voorraad|Devolve a alça ao conjunto|ハンドルをプールに戻す|핸들을 풀에 돌려준다|Lämnar tillbaka handtaget till poolen""",
+    "copy": """Original: pool.release(h);|pool.release(h); // unchanged|The call pool.release(h)|Just pool.release(h);|pool.release( h ) ;|C++: pool.release(h);|`pool.release(h)`;|Here: pool.release(h)|"pool.release(h);"|>> pool.release(h);|Pool.Release(H);|[12] pool.release(h);""",
+    "truncated": """Hand back the handle to|Release the resource that was|Decrease the number of us|Unlock the door and|Give the object to its ow|Drop the item from the|Put h into the (|Make the slot free bec|Let the pool know that|Return the handle, then the|Push the handle onto the fr|Give h back if it is no""",
+    "empty": """--|n/a.|<none>|To be done|nothing|....|{ }|?|NULL|tbd.|(unknown)|No text""",
+    "": """Hand h back to the pool|Surrender the handle|Mark the slot as vacant|Finish with the handle|Push the handle onto the free list|Let another caller have the handle|Drop our claim on the handle|Dispose of the handle|Unlock the door|Refund the customer|Reboot the machine|Publish the article|Blink the lamp twice|Dim the display|Wake the sleeping thread|Post the result on the board|Weigh each candidate
+Is the battery low?|Did the upload succeed?|Can the pump start?|Have all votes been cast?|Are both sides equal?|Is it winter?|Does the owner agree?|Walk the tree from its root|Visit the neighbours of the node|Round the price to two digits|Invert the matrix|Pad the text with blanks|Strip the trailing comma|Rename the column|Tag the photo with its place|Cancel the order|Pay the invoice|Subscribe to the topic
+Estimate the remaining distance|Choose a seed at random|Prefer the cheaper offer|Avoid a division by zero|Guard against a second call|Undo the last change|Report the temperature|Warn the driver|Escalate to a person|Take the next ticket|Return the smaller of both|Return true|Return nothing|Break out of the search|Proceed with the next day|Use the default colour|Case of a single guest|When the light is red
+For each neighbour|While guests remain|As long as fuel is left|Catch a missing key|Handle bad input|Try to reach the station|Otherwise go home""",
+}
+ERRORS = {
+    "truncated": "reply broken off after 900 tokens|answer stopped before the end of the object|JSON was cut off|response truncated by the length limit|the label map has no closing brace|output ended early: max tokens|model reply incomplete, ended inside a string|token limit hit before the object was closed|reply cut after 2048 tokens|generation stopped at the length limit",
+    "refusal": "model said: I can't do that|reply: 'I am not able to help'|the answer was: Sorry, I cannot describe this|reply was 'I must decline'|answer: As an AI I cannot label this|got text instead of JSON: I'm unable to help with this|bad reply (Please provide more context)|server sent: Sorry, I can't answer that|label text: I won't label this code|no labels: This goes against my guidelines",
+    "": "unable to open socket|file is locked|no route to host|could not start worker|retried after a cut-off reply, second one fine|disk failure|cannot load the configuration|header has a syntax error|cursor lost at line 12|server busy|host unreachable|first try timed out, second answer used|second reply accepted after an incomplete first one|unknown compiler flag|request too slow",
+}
+
+
+def test_other_wording(model):
+    """Recall of 0.9 at least for each class on wording of no training pattern. Good answers of no known wording at all are the hardest: up to a fifth is called defective (of the table's own good answers, far below 2 %)."""
+    features, shown = defects.Features(model.lex), {}
+    for name, texts in WORDED.items():
+        texts = texts.replace("\n", "|").split("|")
+        got = defects.verdicts(model, features, [("ACTION", "pool.release(h);", x) for x in texts])
+        shown[name] = [(x, g) for x, g in zip(texts, got) if (g or "") != name]
+    assert all(len(v) <= (0.2 if not k else 0.1) * len(WORDED[k].replace("\n", "|").split("|")) for k, v in shown.items()), shown
+    for name, texts in ERRORS.items():
+        texts = texts.split("|")
+        margin = model.scores([features.of_error(x) for x in texts]) - model.thresholds
+        got = [max(((m[c], defects.CLASSES[c]) for c in (1, 2) if m[c] >= 0), default=(0, ""))[1] for m in margin]
+        wrong = [(x, g) for x, g in zip(texts, got) if g != name]
+        assert len(wrong) <= 0.1 * len(texts), wrong
+
+
+def test_swapped_answers(pairs, model):
+    """The score for swapped answers, which is not among the reported defects, tells own answers from those of others."""
+    some = [p for p in pairs[len(pairs) // 2 :] if len(defects._PARTS.findall(p[1])) > 2 and p[2].strip()][:600]
+    other = [(k, c, q[2]) for (k, c, _), q in zip(some, some[1:])]
+    features = defects.Features(model.lex)
+    scores = [model.scores([features.of(*p) for p in x])[:, defects.TRAINED.index("swapped")] for x in (some[:-1], other)]
+    assert (scores[1] > scores[0]).mean() > 0.9
+
+
+@pytest.mark.parametrize(("code", "label", "out"), [("f(a);", "`f(a);`", []), ("f(a);", "This code does: F(A)", ["this", "code", "does"]), ("default", "Default case", ["case"]), ("a", "an apple", None), ("", "x", None), ("a > b", "Check: a>b?", ["check"])])
+def test_words_beside(code, label, out):
+    assert defects.words_beside(code, label) == out
 
 
 def test_stand_ins():
