@@ -1,4 +1,4 @@
-"""Labels, conditions, calls and signatures of flowchart nodes as column expressions."""
+"""Labels, conditions, calls and signatures of chart nodes as column expressions."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from flowgrain.functions.text import strip
 
-# Entities of characters that have a meaning in a flowchart script. The semicolon comes first, since the
+#: Fixed value: the first line of a chart script.
+CHART_HEADER = "flowchart TD"
+# Entities of characters that have a meaning in a chart script. The semicolon comes first, since the
 # entities themselves bring in semicolons.
 NODE_ENTITIES = {";": "#59;", "&": "#38;", '"': "#quot;", "[": "#91;", "]": "#93;", "(": "#40;", ")": "#41;", "{": "#123;", "}": "#125;", "|": "#124;", "%": "#37;", "^": "#94;", "~": "#126;", "<": "#60;", ">": "#62;"}
 EDGE_ENTITIES = {c: e for c, e in NODE_ENTITIES.items() if c not in "%^~"}
