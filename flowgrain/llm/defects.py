@@ -88,7 +88,7 @@ Are there (more|any|further) (entries|records|packets|items|files|events)( left|
 (Turn|Make|Let|Keep|Bring|Take|Leave|Mark|Raise|Pick|Look for|Ask for|Get rid of|Give up|Move on to|Run|Try) (the|an|all|only the) (alarm|handle|screen|rest|slot|device|smallest element|newest entries|lease|next row|user|server|worker|text|transaction) (into lower case|go|off|back|again|as unused|available|if the limit is passed|where it came from|in the table|to half its size|over|out|free|once|until then)
 Check (whether|that|if) the (user|file|value|packet|list|device) (may log in|exists|is valid|fits into the buffer|is not empty|is known)"""
 # Messages about replies that broke off, about something else, and about a second attempt, by their parts.
-_BROKEN = """(reply|response|answer|output|completion|model output|generation|text|the reply|the answer) (stops|ends|ended|stopped|breaks off|broke off|was cut|is cut off|was cut off|was cut short|was truncated|is truncated|truncated|is incomplete|was left unfinished) (after # tokens|after N#|at char #|in the middle of node N#|in the middle of a label|in the middle of a string|mid-sentence|at the token limit|at token limit|at the output limit|before the closing brace|without its end|)(, closing brace missing|, closing bracket missing|, object not closed|)
+_BROKEN = """(reply|response|answer|output|completion|model output|generation|text|the reply|the answer) (stops|ends|ended|stopped|breaks off|broke off|broken off|was broken off|ended inside a string|was cut|is cut off|was cut off|was cut short|was truncated|is truncated|truncated|is incomplete|was left unfinished) (after # tokens|after N#|at char #|in the middle of node N#|in the middle of a label|in the middle of a string|mid-sentence|at the token limit|at token limit|at the output limit|before the closing brace|without its end|)(, closing brace missing|, closing bracket missing|, object not closed|)
 (JSON|JSON object|object|label map|map|array|string|list of labels) (not closed|never closed|incomplete|unterminated|unfinished|cut off|left open)( in reply|)(: output limit reached after N#|: token limit reached|: closing brace missing|, length limit hit| ‹finish_reason=length›| at char #|)
 incomplete (JSON|object|label map|answer|reply) in (reply|response|output): (closing brace|closing quote|last bracket|end of object) (missing|not found|absent)
 (Unterminated|Unclosed|Unfinished) (string|object|array|value) (starting at|at|from): line # column #

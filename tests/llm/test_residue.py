@@ -1,6 +1,6 @@
 import pytest
 
-from flowgrain.llm.residue import judge, residue
+from flowgrain.llm.residue import expand, judge, residue
 
 REAL = "The function `drain` takes the queue from the caller and hands it to the next step without copying."
 
@@ -20,6 +20,49 @@ def test_judge(text, kind):
     assert judge(text) == kind
 
 
+# Notices in wording that was written without looking at the phrases.
+NOTICES = """Bad Gateway. The web server reported a bad gateway error.|This site can't be reached.|The page you are looking for has moved or no longer exists.|Your connection was interrupted. Reload the page.|Sorry, this page isn't available right now.|You don't have access to this document.|Error 500: the server had a problem, please retry.|The service is down for maintenance, check back soon.|We're sorry, an unexpected error has happened.|Your session timed out, log in again.
+Für diese Seite muss JavaScript aktiviert sein.|Bitte schalten Sie JavaScript in Ihrem Browser ein.|Die angeforderte Seite existiert nicht mehr.|Der Server ist nicht erreichbar, bitte später erneut versuchen.|Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an.|Zugriff auf diese Seite verweigert.
+Se necesita JavaScript para ver esta página.|La página no existe.|No tiene permiso para acceder a este documento.|El servidor no responde, inténtelo de nuevo más tarde.|Active las cookies en su navegador.
+Veuillez activer JavaScript dans votre navigateur.|Cette page n'existe plus.|Une erreur interne est survenue, réessayez plus tard.|Accès interdit.|Votre session a expiré, connectez-vous à nouveau.
+O servidor encontrou um erro interno.|A página não existe.|Ative o JavaScript para continuar.|Acesso negado.|Ocorreu um erro, tente novamente.
+Pagina non trovata.|Si è verificato un errore del server, riprova più tardi.|Per continuare attiva JavaScript nel browser.|Accesso negato a questa pagina.|La sessione è scaduta.
+Страница не существует или была удалена.|Включите JavaScript в настройках браузера.|Произошла внутренняя ошибка сервера.|Доступ к странице запрещён.|Сервер временно недоступен, попробуйте позже.
+页面不存在或已被删除。|请在浏览器中启用 JavaScript。|服务器内部错误，请稍后重试。|您没有权限访问此页面。|会话已过期，请重新登录。
+You need a newer browser to use this site.|Please turn your cookies on to continue.|Checking that you are not a robot.|Scripts are blocked. Allow them and reload.|Please complete the security check.
+Enter your text here.|Content will be added soon.|This is placeholder content.|Text folgt in Kürze.|Contenu à venir.|Texto de ejemplo.|Testo di esempio.|Здесь будет текст.|Replace this with a description.""".replace("\n", "|").split("|")
+# Real content about the same things.
+CONTENT = """The server keeps one connection per client and closes it when the reply was sent.|An error of the parser is returned as a status, so that the caller can decide what to do.|If the page is missing the reader allocates a new one and marks it dirty.|The script is run once a night and removes files that nobody has opened for a month.|JavaScript and Python bindings are generated from the same description.|Access to the table is guarded by a lock that readers share.
+The request is sent again after two seconds, then after four, and given up after the third time.|Cookies of the session are signed with the key of the host.|The text of the label goes into the box to the right of the node.|A sample is taken every ten minutes and added to the summary of the hour.|Write the header first, then the body, and leave the checksum for last.|The function returns 404 when the key is unknown and 503 while the index is being built.
+Der Server hält eine Verbindung je Teilnehmer und schließt sie nach der Antwort.|Fehler des Lesers werden als Zustand gemeldet, nicht als Ausnahme.|La page est lue en mémoire puis rendue au cache quand le compteur tombe à zéro.|Le serveur garde une trace de chaque demande pendant un jour.|El servidor guarda cada solicitud durante un día y luego la borra.|La página se lee en memoria y se marca como limpia.
+A página é lida para a memória e fica presa até o fim da chamada.|Il server tiene aperta una connessione per ogni client.|Сервер хранит каждое обращение один день и потом удаляет его.|服务器为每个客户端保留一个连接，并在回复后关闭。|The chart shows the page as a box and the access as an arrow.|Search starts at the root and follows the smaller key.|Home position is reached when both switches are closed.|The error rate fell by half after the cache was added.
+The placeholder node is drawn with a dashed border.|Loading starts with the newest segment and goes back in time.|The browser of symbols lists every name with its file.|A timeout of the pump is handled by the watchdog.|The gateway forwards each packet to two neighbours.|Not found is an ordinary result of this lookup and no error.""".replace("\n", "|").split("|")
+
+
+def test_other_wording():
+    """Recall of 0.9 and precision of 0.95 at least on notices in eight languages and on real content that is near to them."""
+    missed = [x for x in NOTICES if judge(x) in (None, "placeholder")]
+    wrong = [(x, judge(x)) for x in CONTENT if judge(x)]
+    print(missed, wrong)
+    assert len(missed) <= 0.1 * len(NOTICES), missed
+    assert len(wrong) <= 0.05 * (len(NOTICES) - len(missed)), wrong
+
+
+@pytest.mark.parametrize("hole", ["{{" + "a_long_name." * 20 + "x}}", "[Insert " + "a description of what the function does and of its parameters, " * 4 + "here]", "<%= @title %>", "$PROJECT_NAME$", "<your " + "very " * 50 + "long title>", "%" + "LONG_" * 20 + "NAME%"])
+def test_holes_of_any_length(hole):
+    assert judge(f"The report of {hole} is ready for the reader.") == "placeholder"
+
+
+def test_charts_are_passed_over_only_after_their_header():
+    assert judge("parse_frame() returns {{return_value}} to the caller.") == "placeholder"
+    assert judge("Notes[insert summary here]") == "placeholder"
+    assert judge(f"{REAL}\n\nflowchart TD\n    N1([Start])\n    N2[enter your name here]\n    N1 --> N2\n") is None
+
+
+def test_expanded_patterns():
+    assert expand("(a|b) (c|)d;x\n") == {"a cd", "a d", "b cd", "b d", "x"}
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, REAL, "x"), (2, "Coming soon.", "x"), (2, "Coming soon.", "x"), (3, None, "x"), (None, "Oops!", "x")], "doc_id long, text string, kind string")
     assert sorted((r.doc_id or 0, r.kind) for r in residue(df).collect()) == [(0, "error"), (2, "filler"), (2, "filler")]
