@@ -374,7 +374,10 @@ class Features:
 
     def __init__(self, lex: Lexicon):
         self.lex, self.known = lex, {}
+        self.remembered: dict[tuple, list[int]] = {}
+        self.codes: dict[str, frozenset[str]] = {}
         self.foreign = _FOREIGN_WORDS - lex.words - _ENGLISH_WORDS
+        self.words = frozenset({*lex.words, *lex.tags, "ADJ", "NOUN", "VERB", "ID", "MACRO", "0"})
 
     def index(self, key: tuple) -> int:
         i = self.known.get(key)
@@ -397,69 +400,92 @@ class Features:
         seen = lex.templates.get(body, 0) or lex.templates.get((*body, "."), 0) or lex.templates.get((*body, "?"), 0)
         return "known" if seen else "begun" if body in lex.starts else "middle" if body[:-1] in lex.starts else "other"
 
-    def of(self, kind: str, code: str, label: str, mask: int = 0) -> list[int]:
-        """The features of a pair; with a mask, a number, templates and some words and n-grams are hidden."""
-        lex, tokens = self.lex, tokenize(label)
+    def wording(self, kind: str, label: str, tokens: list[str], t: tuple[str, ...], mask: int) -> list[int]:
+        """The features of an answer by itself: n-grams, how it ends, its language, and whether it declines."""
+        lex, words_known = self.lex, self.words
         r = random.Random(mask) if mask else None
         level = HIDDEN + (1 - HIDDEN) * r.random() if r else 0.0
         hidden = {w for w in sorted(set(tokens)) if r.random() < level} if r else ()
-        t = lex.template(tokens)
         if hidden:
-            t = tuple(b if a in hidden else c for a, b, c in zip(tokens, tokens, t))
-        knows = lambda w: (w in lex.words or w in lex.tags or w in ("ADJ", "NOUN", "VERB", "ID", "MACRO", "0")) and w not in hidden
-        n = len(t)
-        words = [w for w in tokens if w[0].isalpha()]
-        end = label.rstrip()[-1:]
+            t = tuple(a if a in hidden else b for a, b in zip(tokens, t))
+            words_known = words_known - hidden
+        n, end = len(t), label.rstrip()[-1:]
+        mark = "x" if end.isalnum() else end
         body = t[:-1] if n and t[-1] in (".", "?", "!") else t
-        m = len(body)
         said: list[tuple] = [(w,) for w in set(t)]
         said += zip(t, t[1:])
         said += [("first", body[:1]), ("start", body[:2]), ("n", min(n, 12), body[:1]), ("last", body[-1:]), ("last2", body[-2:]), ("last3", body[-3:]), ("around", body[-4:-2]), ("last4", body[-4:]), ("ask", body[:1], end == "?")]
         if r:
             said = [k for k in said if r.random() >= level]
         state = "other" if r else "known" if t in lex.templates else self.state(body)
-        last = body[-1] if m else ""
-        in_words = knows(last) or not last[:1].isalpha()
+        last = body[-1] if body else ""
+        in_words = last in words_known or not last[:1].isalpha()
         stub = not in_words and last in lex.stubs
         asked = not r and (*body, "?") in lex.templates and end != "?" and body not in lex.templates
-        keys = [*said, ("kind", kind), ("end", end if not end.isalnum() else "x"), ("state", state), ("state", state, "last", last), ("whole word", in_words), ("stub", stub, in_words), ("stub", stub, kind), ("whole", state, in_words), ("open", t.count("(") > t.count(")"), t.count("[") > t.count("]"), '"' in t, label.count("`") % 2), ("asked", asked)]
         dangling = last in _ENGLISH_WORDS
-        keys += [("dangling", dangling, end.isalnum()), ("long", min(len(label) // 60, 6))]
+        keys = [*said, ("kind", kind), ("end", mark), ("state", state), ("state", state, "last", last), ("whole word", in_words), ("stub", stub, in_words), ("stub", stub, kind), ("whole", state, in_words), ("asked", asked), ("dangling", dangling, end.isalnum()), ("long", min(len(label) // 60, 6))]
+        keys.append(("open", t.count("(") > t.count(")"), t.count("[") > t.count("]"), '"' in t, label.count("`") % 2))
         if state == "other":
             familiar = not r and body[: FAMILIAR + 1] in lex.starts
             clause = self.state(tuple(lex.template(tokenize(_CLAUSE.split(label.rstrip(" ?!.)"))[-1])))) if familiar else ""
-            keys += [("familiar", familiar), ("familiar", familiar, in_words), ("familiar", familiar, dangling), ("familiar", familiar, stub, min(len(last), 4)), ("familiar", familiar, end if not end.isalnum() else "x"), ("clause", clause), ("clause", clause, in_words)]
+            keys += [("familiar", familiar), ("familiar", familiar, in_words), ("familiar", familiar, dangling), ("familiar", familiar, stub, min(len(last), 4)), ("familiar", familiar, mark), ("clause", clause), ("clause", clause, in_words)]
+        # the language; what stands in quotes may be in any
+        own = [w for w in (tokenize(_QUOTED.sub(" ", label)) if '"' in label or "`" in label or "“" in label else t) if w[0].isalpha() and w not in ("ID", "MACRO")]
+        odd = sum(1 for w in own if not w.isascii())
+        share = sum(w in words_known for w in own) / len(own) if own else -1
+        foreign = sum(w in self.foreign for w in own)
+        english = sum(w in _ENGLISH_WORDS for w in own)
+        keys += [("odd", min(odd, 4)), ("known", int(share * 5)), ("foreign", min(foreign, 3), english > foreign), ("tongue", min(foreign, 3), int(share * 5), odd > 0), ("english", min(english, 3), min(len(own), 5))]
+        keys += {("c3", f"<{w}>"[k : k + 3]) for w in own[:24] if w not in words_known and w not in _ENGLISH_WORDS for k in range(len(w))}
+        # refusals
+        said_i, to_you, no, ask = (len(x.intersection(t)) for x in (_I, _YOU, _NOT, _ASK))
+        keys += [("person", min(said_i, 2), min(no, 2)), ("you", min(to_you, 2), end == "?"), ("no", min(no, 2), min(ask, 3)), ("ask", min(ask, 3), to_you > 0)]
+        return list(map(self.index, keys))
+
+    def of(self, kind: str, code: str, label: str, mask: int = 0) -> list[int]:
+        """The features of a pair; with a mask, a number, templates and some words and n-grams are hidden.
+
+        What an answer tells by itself is the same for all answers of one template, and remembered within a bound.
+        """
+        tokens = tokenize(label)
+        t = self.lex.template(tokens)
+        words = [w for w in tokens if w[0].isalpha()]
+        if mask or '"' in label or "`" in label or "“" in label:
+            out = self.wording(kind, label, tokens, t, mask)
+        else:
+            key = (kind, t, label.rstrip()[-1:], len(label) // 60)
+            out = self.remembered.get(key)
+            if out is None:
+                if len(self.remembered) > 50_000:
+                    self.remembered.clear()
+                out = self.remembered[key] = self.wording(kind, label, tokens, t, 0)
         # the pair
         a, b = squeeze(code).rstrip(";"), squeeze(label).rstrip(";.")
         inside = bool(a) and a in b
         beside = words_beside(code, label) if inside else None
-        code_marks = sum(1 for c in t if c in _MARKS)
-        in_code = sum(1 for w in words if w in a) / len(words) if words else 0
-        parts = {p.lower() for p in _PARTS.findall(code) if len(p) > 2}
+        code_marks = sum(c in _MARKS for c in t)
+        in_code = sum(w in a for w in words) / len(words) if words else 0
+        parts = self.parts(code)
         shared = len(parts.intersection(tokens)) / len(parts) if parts else -1
         single = a.isalnum()
-        keys += [("same", a == b.strip("`\"'?!")), ("inside", beside is not None, len(a) > 6), ("marks", min(code_marks, 6)), ("in code", int(in_code * 4), min(len(words), 4)), ("shared", int(shared * 3), len(parts) > 1)]
+        keys: list[tuple] = [("same", inside and a == b.strip("`\"'?!")), ("inside", beside is not None, len(a) > 6), ("marks", min(code_marks, 6)), ("in code", int(in_code * 4), min(len(words), 4)), ("shared", int(shared * 3), len(parts) > 1), ("few", min(len(words), 3), single)]
         if beside is not None:
-            telling = sum(knows(w) and w not in _ENGLISH_WORDS for w in beside)
+            telling = sum(w in self.words and w not in _ENGLISH_WORDS for w in beside)
             keys += [("beside", min(len(beside), 6)), ("beside", min(len(beside), 6), single, ":" in label or "`" in label), ("telling", min(telling, 4)), ("telling", min(telling, 4), single)]
             keys += [("beside", w) for w in set(beside)]
-        # the language
-        bare = _QUOTED.sub(" ", label) if ('"' in label or "`" in label or "“" in label) else label
-        odd = sum(1 for c in bare if c > "\x7f" and c.isalpha()) if not bare.isascii() else 0
-        own = [w for w in (tokenize(bare) if bare is not label else tokens) if w[0].isalpha() and w not in ("ID", "MACRO")]
-        share = sum(map(knows, own)) / len(own) if own else -1
-        foreign = sum(w in self.foreign for w in own)
-        english = sum(w in _ENGLISH_WORDS for w in own)
-        keys += [("odd", min(odd, 4)), ("known", int(share * 5)), ("foreign", min(foreign, 3), english > foreign), ("tongue", min(foreign, 3), int(share * 5), odd > 0), ("english", min(english, 3), min(len(own), 5))]
-        strange = [w for w in own[:24] if not knows(w) and w not in _ENGLISH_WORDS]
-        keys += {("c3", f"<{w}>"[k : k + 3]) for w in strange for k in range(len(w))}
-        # refusals
-        said_i, to_you, no, ask = (len(x.intersection(tokens)) for x in (_I, _YOU, _NOT, _ASK))
-        keys += [("person", min(said_i, 2), min(no, 2)), ("you", min(to_you, 2), end == "?"), ("no", min(no, 2), min(ask, 3)), ("ask", min(ask, 3), to_you > 0)]
         short = len(label) < 24
-        keys += [("letters", sum(1 for c in label if c.isalnum()) if short and len(label) < 6 else 5), ("stand-in", short and is_empty(label)), ("few", min(len(words), 3), single)]
+        keys += [("letters", sum(1 for c in label if c.isalnum()) if short and len(label) < 6 else 5), ("stand-in", short and is_empty(label))]
         known, index = self.known, self.index
-        return [known[k] if k in known else index(k) for k in keys]
+        return [*out, *(known[k] if k in known else index(k) for k in keys)]
+
+    def parts(self, code: str) -> frozenset[str]:
+        """The parts of a code's identifiers; codes recur."""
+        found = self.codes.get(code)
+        if found is None:
+            if len(self.codes) > 50_000:
+                self.codes.clear()
+            found = self.codes[code] = frozenset(p.lower() for p in _PARTS.findall(code) if len(p) > 2)
+        return found
 
 
 _STAND = {squeeze(x) for part in STAND_INS.split("|") for x in ([part] if " " in part and part.startswith(("no ", "not ")) else part.split())}
