@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
-
-from pyspark.sql import functions as F
 
+from flowgrain.operators import scan
 from flowgrain.operators.labeling import http_client
 from flowgrain.plans import pipeline
 from flowgrain.session import build_session
@@ -18,13 +16,17 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="flowgrain", description=__doc__)
     top.add_argument("--master")
     commands = top.add_subparsers(dest="command", required=True)
-    one = commands.add_parser("charts", help="flowcharts of the functions of an index")
+    one = commands.add_parser("charts", help="charts of the functions of an index")
     one.add_argument("functions")
     one.add_argument("--metadata")
     one.add_argument("--knowledge")
     one.add_argument("--base-path")
     one.add_argument("--out", required=True)
     one.add_argument("--cache")
+    one.add_argument("--no-cache", action="store_true")
+    one.add_argument("--std", default="c++17", help="taken for compatibility: text is read alike for all versions of the language")
+    one.add_argument("--clang-arg", action="append", default=[], help="taken for compatibility: no compiler is run")
+    one.add_argument("--verbose", action="store_true", help="show what Spark logs")
     one.add_argument("--function-key", action="append", default=[])
     one.add_argument("--max-stmts", type=int, default=5)
     one.add_argument("--max-lines", type=int, default=10)
@@ -47,15 +49,18 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> int:
     args = arguments(argv)
     spark = build_session("flowgrain", args.master)
+    spark.sparkContext.setLogLevel("INFO" if getattr(args, "verbose", False) else "WARN")
     if args.command == "scan":
         files = documents.read_sources(spark, args.project_dir, args.ext or documents.EXTENSIONS, [*documents.EXCLUDED, *args.exclude])
         tables = pipeline.knowledge(files)
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{args.out}/{name}")
-        sinks.write_documents(sinks.knowledge_document(tables, args.project_name, args.project_dir).select(F.lit("project_knowledge.json").alias("name"), "document"), args.out)
+        sinks.write_documents(sinks.knowledge_items(tables, args.project_name, args.project_dir), args.out, "dictionary")
+        for r in scan.stats(tables).collect():  # four rows
+            print(f"{r['kind']}: {r['n']}", file=sys.stderr)
         return 0
-    content = Path(args.functions).read_text(encoding="utf-8")
-    cache = sinks.IndexCache(spark, args.cache) if args.cache else None
+    cache = sinks.IndexCache(spark, args.cache) if args.cache and not args.no_cache else None
+    content = documents.read_text(spark, args.functions).first()["value"] if cache else ""
     entries = cache.load(content) if cache else None
     if entries is None or entries.isEmpty():
         entries = documents.read_functions(spark, args.functions)
@@ -73,8 +78,8 @@ def main(argv: list[str] | None = None) -> int:
     client = http_client(args.llm_url, args.llm_model, args.llm_chat, args.llm_timeout) if args.llm_url else None
     made = pipeline.charts(entries, files, pipeline.Settings(args.max_stmts, args.max_lines, args.llm_retries, args.whole_cases, client), symbols)
     results = made.results.cache()
-    sinks.write_documents(sinks.file_documents(results, args.by_stem), args.out)
-    sinks.write_documents(sinks.summary_document(results).select(F.lit("_summary.json").alias("name"), "document"), args.out)
+    sinks.write_documents(sinks.file_items(results, args.by_stem), args.out)
+    sinks.write_documents(sinks.summary_items(results), args.out, "summary")
     return 0
 
 

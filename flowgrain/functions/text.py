@@ -96,12 +96,19 @@ def relative_path(path: Column, base: Column) -> Column:
 
 
 def plain_path(path: Column) -> Column:
-    """Without `.` segments, doubled slashes, and `name/..` pairs of three levels at most, as lower case."""
-    p = F.regexp_replace(lower_path(path), r"/(\./)+|//+", "/")
-    p = F.regexp_replace(p, r"^\./", "")
-    for _ in range(3):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return p
+    """Without `.` segments, doubled slashes, and `name/..` pairs however deep, as lower case.
+
+    A fold over the segments keeps those that stay; `..` takes the last of them away, but neither the root nor another `..`.
+    """
+    p = lower_path(path)
+    step = lambda kept, x: (
+        F.when(x.isin(".", ""), kept)
+        .when((x == "..") & (F.size(kept) > 0) & (F.coalesce(F.element_at(kept, -1), F.lit("")) != ".."), F.slice(kept, 1, F.size(kept) - 1))
+        .when((x == "..") & p.startswith("/") & (F.size(kept) == 0), kept)
+        .otherwise(F.concat(kept, F.array(x)))
+    )
+    parts = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(p.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
 
 
 def stem(path: Column) -> Column:

@@ -285,7 +285,12 @@ def graphs(files: DataFrame, most: int = 5, most_lines: int = 10, whole_cases: b
         for b in batches:
             rows = []
             for file, text in zip(b["file"], b["source_text"]):
-                for n, d in enumerate(declarations(clean_lines(text))):
+                try:
+                    found = declarations(clean_lines(text))
+                except (IndexError, RecursionError, ValueError) as e:
+                    rows.append((file, 0, 0, "", f"{type(e).__name__}: {e}", [], []))
+                    continue
+                for n, d in enumerate(found):
                     if d.kind != "function" or not d.is_definition:
                         continue
                     try:

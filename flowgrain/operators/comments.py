@@ -51,16 +51,33 @@ def _island(rows: DataFrame, wanted: Column) -> DataFrame:
     return rows.withColumn("run", F.sum(F.when(wanted, 0).otherwise(1)).over(w))
 
 
-def preceding_line_comments(line_rows: DataFrame, targets: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """`file`, `line_no`, `comment`: the run of `//` lines that ends above each wanted line, blank lines between them passed over.
+def preceding_comments(line_rows: DataFrame, targets: DataFrame, keep_empty: bool = False, opener: bool = True) -> DataFrame:
+    """`file`, `line_no`, `comment`: the comment that ends above each wanted line, blank lines between them passed over.
 
-    Runs are gaps and islands: a running count of other lines numbers them.
+    That is a run of `//` lines or a block from the line with `/*` down to the one that ends with `*/`. keep_empty keeps the
+    empty ones of `//` lines; opener takes the words beside `/*` too. The last line of a block of several lines gives a `/`, as
+    in the original. Runs are gaps and islands: a running count of other lines numbers them; a block is numbered by
+    the last line with `/*` so far. Lines above which there is no comment are left out.
     """
     s = strip(F.col("text"))
-    rows = line_rows.withColumn("is_comment", s.startswith("//")).withColumn("said", F.regexp_replace(s, "^[/ ]+", ""))
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = _island(rows, F.col("is_comment")).withColumn("last_text", F.max(F.when(s != "", F.col("line_no"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    words = F.col("said") if keep_empty else F.when(F.col("said") != "", F.col("said"))
-    runs = rows.where("is_comment").groupBy("file", "run").agg(F.max("line_no").alias("last_text"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", words.alias("said")))), lambda x: x["said"]), " ").alias("comment"))
-    at = rows.select("file", "line_no", "last_text").join(targets.select("file", "line_no").distinct(), ["file", "line_no"], "left_semi")
-    return at.join(runs.select("file", "last_text", "comment"), ["file", "last_text"]).select("file", "line_no", "comment")
+    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = line_rows.withColumn("is_comment", s.startswith("//")).withColumn("s", s)
+    rows = _island(rows, F.col("is_comment")).withColumn("opened", F.max(F.when(F.col("text").contains("/*"), F.col("line_no"))).over(w))
+    rows = rows.withColumn("last_text", F.max(F.when(s != "", F.col("line_no"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    wanted = rows.select("file", "line_no", "last_text").join(targets.select("file", "line_no").distinct(), ["file", "line_no"], "left_semi").where("last_text is not null")
+    ends = rows.select("file", F.col("line_no").alias("last_text"), "is_comment", "run", F.coalesce("opened", F.lit(0)).alias("opened"), F.col("s").alias("end"))
+    at = wanted.join(ends, ["file", "last_text"])
+    lines_of = lambda said: F.array_sort(F.collect_list(F.struct("line_no", said.alias("said"))))
+    joined = lambda found: F.array_join(F.transform(found, lambda x: x["said"]), " ")
+
+    said = F.regexp_replace("s", "^[/ ]+", "")
+    runs = rows.where("is_comment").groupBy("file", "run").agg(lines_of(said if keep_empty else F.when(said != "", said)).alias("l"))
+    beside_lines = at.where("is_comment").join(runs, ["file", "run"]).select("file", "line_no", joined(F.filter("l", lambda x: x["line_no"] <= F.col("last_text"))).alias("comment"))
+
+    blocks = at.where(~F.col("is_comment") & F.col("end").endswith("*/")).select("file", "opened", "last_text").distinct()
+    inner = rows.select("file", F.coalesce("opened", F.lit(0)).alias("opened"), "line_no", "text", "s").join(blocks, ["file", "opened"]).where("line_no <= last_text")
+    first = strip(F.regexp_replace(strip(F.regexp_replace("text", r"/\*+\s*", "")), r"[*/]+$", ""))
+    words = F.when(F.col("line_no") == F.col("opened"), first if opener else F.lit(None)).otherwise(F.regexp_replace("s", r"^[* ]+", ""))
+    told = inner.groupBy("file", "opened", "last_text").agg(joined(lines_of(F.when(words != "", words))).alias("comment"))
+    above = at.where(~F.col("is_comment") & F.col("end").endswith("*/")).join(told, ["file", "opened", "last_text"]).select("file", "line_no", "comment")
+    return beside_lines.unionByName(above)

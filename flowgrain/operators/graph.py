@@ -1,4 +1,4 @@
-"""Flowchart graphs: edges of scripts, order, reachability, findings and rendering.
+"""Graphs of charts: edges of scripts, order, reachability, findings and rendering.
 
 Nodes (function_key, node_id, node_seq, node_type, raw_code, label) and edges (function_key, edge_ord, source, target, label)
 are tables; a graph is all rows of one function_key, whose size a function's source bounds. Repeated nodes count once.
@@ -9,18 +9,19 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowgrain.functions.labels import edge_line, node_line, rule_label
+from flowgrain.functions.labels import CHART_HEADER, edge_line, node_line, rule_label
 from flowgrain.functions.text import strip
-from flowgrain.session import cut
+from flowgrain.session import by_key, cut
 
 _EDGE = r"^\s*(\w+) -->(?:\|(.*)\|)? (\w+)\s*$"
 
 
 def distinct_nodes(nodes: DataFrame) -> DataFrame:
-    return nodes.dropDuplicates(["function_key", "node_id"])
+    """Each node once, partitioned by graph, so that what is grouped by graph afterwards needs no further shuffle."""
+    return by_key(nodes, "function_key").dropDuplicates(["function_key", "node_id"])
 
 
 def script_edges(charts: DataFrame, key: str = "function_key", script: str = "mermaid_script") -> DataFrame:
@@ -30,47 +31,62 @@ def script_edges(charts: DataFrame, key: str = "function_key", script: str = "me
     return rows.select("function_key", "edge_ord", F.regexp_extract("line", _EDGE, 1).alias("source"), F.regexp_extract("line", _EDGE, 3).alias("target"), F.nullif(F.regexp_extract("line", _EDGE, 2), F.lit("")).alias("label")).where("source != ''")
 
 
-def _orders(ids: pd.Series, sources: pd.Series, targets: pd.Series, entry: pd.Series) -> pd.DataFrame:
-    """Breadth-first order of each graph from its entry, then the other nodes as they come; how many were reached."""
-    out, reached = [], []
-    for own, src, dst, first in zip(ids, sources, targets, entry):
-        known, ways = set(own), {}
-        for a, b in zip(src, dst):
+_WALK = "nodes array<int>, reached int, unknown array<struct<edge_ord:int,side:string,node_id:string>>"
+
+
+def _walks(ids: pd.Series, ords: pd.Series, sources: pd.Series, targets: pd.Series, entry: pd.Series) -> pd.DataFrame:
+    """Of each graph: the places of its nodes breadth first from its entry, then of the others as they come; how many were reached; edge ends that are no node."""
+    out, reached, unknown = [], [], []
+    for own, numbers, src, dst, first in zip(ids, ords, sources, targets, entry):
+        place, ways = {n: i for i, n in reversed(list(enumerate(own)))}, {}
+        odd = []
+        for k, a, b in zip(numbers, src, dst):
             ways.setdefault(a, []).append(b)
+            odd += [{"edge_ord": k, "side": side, "node_id": n} for side, n in (("source", a), ("target", b)) if n not in place]
         seen, order = set(), []
-        queue = deque([first] if first in known else list(own[:1]))
+        queue = deque([first] if first in place else list(own[:1]))
         while queue:
             n = queue.popleft()
             if n in seen:
                 continue
             seen.add(n)
-            if n in known:
-                order.append(n)
+            if n in place:
+                order.append(place[n])
             queue.extend(b for b in ways.get(n, []) if b not in seen)
-        out.append([*order, *(n for n in own if n not in seen)])
+        out.append([*order, *(i for i, n in enumerate(own) if n not in seen)])
         reached.append(len(order))
-    return pd.DataFrame({"nodes": out, "reached": reached})
+        unknown.append(odd)
+    return pd.DataFrame({"nodes": out, "reached": reached, "unknown": unknown})
+
+
+def _walked(nodes: DataFrame, edges: DataFrame, *more: Column) -> DataFrame:
+    """One row a graph: `function_key`, `n` (node_seq, node_id, node_type and more, by node_seq), `e` (edge_ord, source, target, label), `entry`, `w`.
+
+    Many graphs go to Python in one batch; nodes and edges are each shuffled once, by graph.
+    """
+    walk = F.pandas_udf(_walks, _WALK)
+    own = distinct_nodes(nodes).groupBy("function_key").agg(F.array_sort(F.collect_list(F.struct("node_seq", "node_id", "node_type", *more))).alias("n"), F.min_by("node_id", F.when(F.col("node_type") == "START", F.col("node_seq"))).alias("entry"))
+    ways = by_key(edges, "function_key").groupBy("function_key").agg(F.array_sort(F.collect_list(F.struct("edge_ord", "source", "target", "label"))).alias("e"))
+    both = own.join(ways, "function_key", "full")
+    both = both.select("function_key", F.coalesce("n", F.array().cast(own.schema["n"].dataType)).alias("n"), F.coalesce("e", F.array().cast(ways.schema["e"].dataType)).alias("e"), "entry")
+    return both.withColumn("w", walk(F.col("n.node_id"), F.col("e.edge_ord"), F.col("e.source"), F.col("e.target"), F.coalesce("entry", F.lit(""))))
 
 
-def _walked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`function_key`, `ord`, `node_id`, `reached`. A graph is one row of arrays; many graphs go to Python in one batch."""
-    walk = F.pandas_udf(_orders, "nodes array<string>, reached int")
-    own = distinct_nodes(nodes).groupBy("function_key").agg(F.array_sort(F.collect_list(F.struct("node_seq", "node_id"))).alias("n"), F.min_by("node_id", F.when(F.col("node_type") == "START", F.col("node_seq"))).alias("entry"))
-    ways = edges.groupBy("function_key").agg(F.array_sort(F.collect_list(F.struct("edge_ord", "source", "target"))).alias("e"))
-    both = own.join(ways, "function_key", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<edge_ord:int,source:string,target:string>>")))
-    order = both.select("function_key", walk(F.col("n.node_id"), F.col("e.source"), F.col("e.target"), F.coalesce("entry", F.lit(""))).alias("w"))
-    return order.select("function_key", "w.reached", F.posexplode("w.nodes").alias("ord", "node_id"))
+def _in_order(walked: DataFrame) -> Column:
+    """The nodes of each graph in the order of the walk."""
+    return F.transform("w.nodes", lambda i: F.get("n", i))
 
 
 def breadth_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`function_key`, `node_id`, `ord`: each graph's nodes from its START (or first node), breadth first, edges in their order."""
-    return _walked(nodes, edges).select("function_key", "node_id", "ord")
+    w = _walked(nodes, edges)
+    return w.select("function_key", F.posexplode(_in_order(w)).alias("ord", "x")).select("function_key", "x.node_id", "ord")
 
 
 def reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`function_key`, `node_id` of the nodes that can be reached from START."""
-    started = nodes.where("node_type = 'START'").select("function_key").distinct()
-    return _walked(nodes, edges).where("ord < reached").join(started, "function_key", "left_semi").select("function_key", "node_id")
+    w = _walked(nodes, edges).where("entry is not null")
+    return w.select("function_key", F.explode(F.slice(_in_order(w), F.lit(1), F.col("w.reached"))).alias("x")).select("function_key", "x.node_id")
 
 
 def reachable_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,32 +101,40 @@ def reachable_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found
 
 
+def _lost() -> Column:
+    """The nodes that no way from START leads to; all of them where there is no START."""
+    return F.slice(F.transform("w.nodes", lambda i: F.get("n", i)), F.when(F.col("entry").isNull(), 1).otherwise(F.col("w.reached") + 1), F.greatest(F.size("n"), F.lit(1)))
+
+
 def unreachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The nodes that no way from START leads to."""
-    return distinct_nodes(nodes).select("function_key", "node_id").join(reachable(nodes, edges), ["function_key", "node_id"], "left_anti")
+    return _walked(nodes, edges).select("function_key", F.explode(_lost()).alias("x")).select("function_key", "x.node_id")
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`function_key`, `edge_ord`, `side`, `node_id` of edge ends that are no node."""
-    ends = edges.select("function_key", "edge_ord", F.expr("stack(2, 'source', source, 'target', target) as (side, node_id)"))
-    return ends.join(distinct_nodes(nodes).select("function_key", "node_id"), ["function_key", "node_id"], "left_anti").select("function_key", "edge_ord", "side", "node_id")
+    return _walked(nodes, edges).select("function_key", F.explode("w.unknown").alias("x")).select("function_key", "x.*")
 
 
 def graph_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`function_key`, `severity`, `code`, `detail` of what is wrong with a graph."""
-    own = distinct_nodes(nodes)
-    ends = own.groupBy("function_key").agg(F.count_if(F.col("node_type") == "START").alias("starts"), F.count_if(F.col("node_type") == "END").alias("stops"))
-    note = lambda df, severity, code, detail: df.select("function_key", F.lit(severity).alias("severity"), F.lit(code).alias("code"), detail.alias("detail"))
-    blank = own.where(~F.col("node_type").isin("START", "END") & (strip(F.coalesce("label", F.lit(""))) == ""))
-    lost = unreachable(nodes, edges).groupBy("function_key").agg(F.array_join(F.array_sort(F.collect_list("node_id")), ", ").alias("ids"))
-    return (
-        note(ends.where("starts = 0"), "ERROR", "no_start", F.lit(""))
-        .unionByName(note(ends.where("starts > 1"), "WARNING", "many_starts", F.col("starts").cast("string")))
-        .unionByName(note(ends.where("stops = 0"), "ERROR", "no_end", F.lit("")))
-        .unionByName(note(dangling(nodes, edges), "ERROR", "unknown_node", F.concat_ws(" ", "side", "node_id")))
-        .unionByName(note(blank, "WARNING", "empty_label", F.col("node_id")))
-        .unionByName(note(lost, "WARNING", "unreachable", F.col("ids")))
+    """`function_key`, `severity`, `code`, `detail` of what is wrong with a graph, all from one row a graph."""
+    blank = strip(F.coalesce("label", F.lit(""))) == ""
+    w = _walked(nodes, edges, blank.alias("blank"))
+    note = lambda severity, code, detail: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), detail.alias("detail"))
+    one = lambda here, x: F.when(here, F.array(x)).otherwise(F.array().cast("array<struct<severity:string,code:string,detail:string>>"))
+    count = lambda kind: F.size(F.filter("n", lambda x: x["node_type"] == kind))
+    starts, stops = count("START"), count("END")
+    labelled = F.filter("n", lambda x: ~F.coalesce(x["node_type"], F.lit("")).isin("START", "END") & x["blank"])
+    has = F.size("n") > 0
+    found = F.concat(
+        one(has & (starts == 0), note("ERROR", "no_start", F.lit(""))),
+        one(starts > 1, note("WARNING", "many_starts", starts.cast("string"))),
+        one(has & (stops == 0), note("ERROR", "no_end", F.lit(""))),
+        F.transform("w.unknown", lambda x: note("ERROR", "unknown_node", F.concat_ws(" ", x["side"], x["node_id"]))),
+        F.transform(labelled, lambda x: note("WARNING", "empty_label", x["node_id"])),
+        one(F.size(_lost()) > 0, note("WARNING", "unreachable", F.array_join(F.array_sort(F.transform(_lost(), lambda x: x["node_id"])), ", "))),
     )
+    return w.select("function_key", F.explode(found).alias("f")).select("function_key", "f.*")
 
 
 def script_findings(charts: DataFrame, key: str = "function_key", script: str = "mermaid_script") -> DataFrame:
@@ -122,7 +146,7 @@ def script_findings(charts: DataFrame, key: str = "function_key", script: str =
     note = lambda df, severity, code, detail: df.select("function_key", F.lit(severity).alias("severity"), F.lit(code).alias("code"), detail.alias("detail"))
     return (
         note(rows.where(strip(F.col("s")) == ""), "ERROR", "empty_script", F.lit(""))
-        .unionByName(note(some.where(~strip(F.col("s")).startswith("flowchart")), "ERROR", "no_flowchart", F.lit("")))
+        .unionByName(note(some.where(~strip(F.col("s")).startswith(CHART_HEADER.split()[0])), "ERROR", "no_header", F.lit("")))
         .unionByName(note(odd, "WARNING", "odd_quotes", (F.col("n") + 1).cast("string")))
     )
 
@@ -140,10 +164,9 @@ def with_rule_labels(nodes: DataFrame, names: DataFrame | None = None) -> DataFr
 
 
 def render(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`function_key`, `mermaid_script`: node lines breadth first, a blank line, edge lines in their order."""
-    order = breadth_first(nodes, edges)
-    node_text = distinct_nodes(nodes).select("function_key", "node_id", F.concat(F.lit("    "), node_line(F.col("node_id"), F.col("node_type"), F.col("label"), F.col("raw_code"))).alias("line")).join(order, ["function_key", "node_id"])
-    lines_of = lambda df, by: df.groupBy("function_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "line"))), lambda x: x["line"]), "\n").alias("t"))
-    top = lines_of(node_text, "ord").withColumnRenamed("t", "node_lines")
-    bottom = lines_of(edges.select("function_key", "edge_ord", F.concat(F.lit("    "), edge_line(F.col("source"), F.col("target"), F.col("label"))).alias("line")), "edge_ord").withColumnRenamed("t", "edge_lines")
-    return top.join(bottom, "function_key", "left").select("function_key", F.concat_ws("\n", F.lit("flowchart TD"), "node_lines", F.lit(""), "edge_lines").alias("mermaid_script"))
+    """`function_key`, `mermaid_script`: node lines breadth first, a blank line, edge lines in their order; built within the row of each graph."""
+    line = node_line(F.col("node_id"), F.col("node_type"), F.col("label"), F.col("raw_code"))
+    w = _walked(nodes, edges, line.alias("line")).where(F.size("n") > 0)
+    node_lines = F.array_join(F.transform(_in_order(w), lambda x: F.concat(F.lit("    "), x["line"])), "\n")
+    edge_lines = F.array_join(F.transform("e", lambda x: F.concat(F.lit("    "), edge_line(x["source"], x["target"], x["label"]))), "\n")
+    return w.select("function_key", F.concat_ws("\n", F.lit(CHART_HEADER), node_lines, F.lit(""), F.when(F.size("e") > 0, edge_lines)).alias("mermaid_script"))

@@ -7,6 +7,7 @@ through a factory. There is one prompt per function. Without a factory all label
 from __future__ import annotations
 
 import json
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -21,7 +22,7 @@ SHOWN, LONGEST = 300, 300
 UNLABELLED = ("START", "END")
 Client = Callable[[str, str], "str | None"]
 
-SYSTEM = """You label the nodes of a flowchart of C++ code for technical documentation.
+SYSTEM = """You label the nodes of a chart of C++ code for technical documentation.
 Say in plain, short English what each node does: questions for decisions and loops, imperatives for steps.
 Keep the names of functions as they are and add nothing that is not in the code.
 Answer only with one JSON object that maps every node_id to its label."""
@@ -98,6 +99,17 @@ def reply_labels(replies: DataFrame) -> DataFrame:
     return good.select("function_key", F.explode(F.from_json(first_json_object(F.col("reply")), "map<string,string>")).alias("node_id", "label")).withColumn("label", F.regexp_replace("label", r"(?U)^\s+|\s+$", ""))
 
 
+def first_object(reply: str) -> str | None:
+    """The first `{` to the bracket that closes it, as `first_json_object` finds it."""
+    bare = re.sub(r"```(?:json)?\s*", "", reply).replace("```", "")
+    start, depth = bare.find("{"), 0
+    for m in re.finditer("[{}]", bare[start:] if start >= 0 else ""):
+        depth += 1 if m.group() == "{" else -1
+        if not depth:
+            return bare[start : start + m.end()]
+    return None
+
+
 def ask(prompts: DataFrame, factory: Callable[[], Client], retries: int = 2) -> DataFrame:
     """`function_key`, `reply`, `node_ids`: asks for each (function_key, prompt, node_ids), again with a note where a reply lacks ids.
 
@@ -106,7 +118,7 @@ def ask(prompts: DataFrame, factory: Callable[[], Client], retries: int = 2) ->
 
     def usable(reply: str | None, ids: list[str]) -> str:
         try:
-            data = json.loads(reply[reply.index("{") : reply.rindex("}") + 1]) if reply else None
+            data = json.loads(first_object(reply or "") or "null")
         except ValueError:
             return "no JSON object"
         if not isinstance(data, dict):

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowgrain.functions.labels import call_names, full_signature, identifiers, last_name, macro_names, simple_type
+from flowgrain.functions.text import strip
+from flowgrain.operators.comments import preceding_comments, source_lines
 
 
 def name_index(entries: DataFrame, name: str = "qualified_name", key: str = "function_key", order: str = "pos") -> DataFrame:
@@ -47,30 +49,33 @@ def split_keys(entries: DataFrame, wanted: DataFrame, key: str = "function_key")
     return entries.join(wanted.select(key).distinct(), key, "left_semi"), wanted.join(entries.select(key), key, "left_anti")
 
 
-def resolve_callees(entries: DataFrame, knowledge: DataFrame | None = None, key: str = "function_key") -> DataFrame:
+def resolve_callees(entries: DataFrame, knowledge: DataFrame | None = None, key: str = "function_key", files: DataFrame | None = None) -> DataFrame:
     """`function_key`, `ord`, `callee_id`, `signature`, `description` for every call that is known, in call order.
 
     An entry of that key is taken first (its comment in the dictionary before its description), then a dictionary
-    entry of the name in the key. Unknown callees are dropped.
+    entry of the name in the key, then, with `files` (file, source_text), the source that the key points to. Callees that are
+    in none of these are dropped. Each distinct callee is looked up once, and only then joined to its calls.
     """
     calls = entries.select(F.col(key).alias("caller"), F.posexplode("calls_ids").alias("ord", "callee_id")).where("callee_id is not null")
     known = entries.groupBy(F.col(key).alias("callee_id")).agg(F.min_by(F.struct("qualified_name", "params", "description"), F.struct("loaded_at", "description")).alias("e") if "loaded_at" in entries.columns else F.any_value(F.struct("qualified_name", "params", "description")).alias("e"))
-    joined = calls.join(known, "callee_id", "left")
+    ids = calls.select("callee_id").distinct().join(known, "callee_id", "left")
     part = F.when(F.col("callee_id").contains("|"), F.get(F.split("callee_id", r"\|"), F.lit(2))).otherwise(F.col("callee_id"))
-    joined = joined.withColumn("name", F.coalesce(F.col("e.qualified_name"), part))
+    ids = ids.withColumn("name", F.coalesce(F.col("e.qualified_name"), part))
     if knowledge is None:
-        joined = joined.withColumns({"k_sig": F.lit(None).cast("string"), "k_comment": F.lit(None).cast("string")})
+        ids = ids.withColumns({"k_sig": F.lit(None).cast("string"), "k_comment": F.lit(None).cast("string")})
     else:
         own = knowledge.groupBy(F.col("qualified_name").alias("name")).agg(F.min_by(F.struct("signature", "comment"), "pos").alias("k"))
-        joined = joined.join(own, "name", "left").withColumns({"k_sig": F.col("k.signature"), "k_comment": F.col("k.comment")})
+        ids = ids.join(own, "name", "left").withColumns({"k_sig": F.col("k.signature"), "k_comment": F.col("k.comment")})
     some = lambda c: F.when(c != "", c)
-    return joined.select(
-        F.col("caller").alias(key),
-        "ord",
+    told = ids.select(
         "callee_id",
         F.coalesce(F.when(F.col("e").isNotNull(), full_signature(F.col("e.qualified_name"), F.col("e.params"))), F.col("k_sig")).alias("signature"),
         F.coalesce(some(F.col("k_comment")), some(F.col("e.description")), F.lit("")).alias("description"),
-    ).where("signature is not null")
+    )
+    if files is not None:
+        lost = told.where("signature is null").select("callee_id")
+        told = told.where("signature is not null").unionByName(callees_in_sources(lost, files).drop("file"))
+    return calls.join(told.where("signature is not null"), "callee_id").select(F.col("caller").alias(key), "ord", "callee_id", "signature", "description")
 
 
 def calls_in_code(nodes: DataFrame, entries: DataFrame, key: str = "function_key") -> DataFrame:
@@ -127,12 +132,36 @@ def purpose(entries: DataFrame, knowledge: DataFrame, simple_names: bool = False
 
 
 def first_match(lines: DataFrame, names: DataFrame) -> DataFrame:
-    """`file`, `name`, `line_no`, `signature`: the first line of a file on which `name (` stands, and the text up to the `{`.
+    """`file`, `name`, `line_no`, `signature`, `comment`: the first line of a file on which `name (` stands, the text from there up
+    to the `{`, over however many lines, and the comment above.
 
-    Lines give the names that they call, which makes an equi-join of it.
+    Lines give the names that they call, which makes an equi-join of it; a match then names the lines of its head.
     """
     called = lines.select("file", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b(\w+)\s*\("), F.lit(1)))).alias("name"))
     hits = called.join(names.select("file", "name").distinct(), ["file", "name"], "left_semi").groupBy("file", "name").agg(F.min("line_no").alias("line_no"))
-    window = Window.partitionBy("file").orderBy("line_no").rowsBetween(0, 11)
-    heads = lines.select("file", "line_no", F.array_join(F.collect_list(F.trim("text")).over(window), " ").alias("ahead"))
-    return hits.join(heads, ["file", "line_no"]).select("file", "name", "line_no", F.trim(F.substring_index("ahead", "{", 1)).alias("signature"))
+    after = Window.partitionBy("file").orderBy("line_no").rowsBetween(0, Window.unboundedFollowing)
+    opened = lines.select("file", "line_no", F.coalesce(F.min(F.when(F.col("text").contains("{"), F.col("line_no"))).over(after), F.max("line_no").over(after)).alias("until"))
+    starts = hits.select("file", "line_no").distinct()
+    head = starts.join(opened, ["file", "line_no"]).select("file", "line_no", F.explode(F.sequence("line_no", "until")).alias("n"))
+    text = head.join(lines.select("file", F.col("line_no").alias("n"), strip(F.col("text")).alias("t")), ["file", "n"])
+    heads = text.groupBy("file", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), " ").alias("ahead"))
+    above = preceding_comments(lines, starts, keep_empty=True, opener=False)
+    found = hits.join(heads, ["file", "line_no"]).join(above, ["file", "line_no"], "left")
+    return found.select("file", "name", "line_no", strip(F.substring_index("ahead", "{", 1)).alias("signature"), F.coalesce("comment", F.lit("")).alias("comment"))
+
+
+#: Extensions of the files in which an unknown callee is looked for, in this order.
+PROBED = (".cpp", ".h", ".hpp", ".cc")
+
+
+def callees_in_sources(callees: DataFrame, files: DataFrame) -> DataFrame:
+    """`callee_id`, `signature`, `description`, `file` of callees (callee_id: folder|stem|name|...) found in source files (file, source_text).
+
+    Of the files folder/stem with the extensions of `PROBED`, the first that holds `name (` counts.
+    """
+    part = lambda n: F.get(F.split("callee_id", r"\|"), F.lit(n))
+    ids = callees.select("callee_id").distinct().where(F.size(F.split("callee_id", r"\|")) >= 3)
+    tried = ids.select("callee_id", last_name(part(2)).alias("name"), F.posexplode(F.array(*(F.concat(part(0), F.lit("/"), part(1), F.lit(x)) for x in PROBED))).alias("probe", "file"))
+    lines = source_lines(files.join(tried.select("file").distinct(), "file", "left_semi"))
+    found = tried.join(first_match(lines, tried.select("file", "name")), ["file", "name"]).where("signature != ''")
+    return found.groupBy("callee_id").agg(F.min_by(F.struct("signature", F.col("comment").alias("description"), "file"), "probe").alias("f")).select("callee_id", "f.*")

@@ -1,4 +1,4 @@
-"""The whole way from a function index and source files to flowcharts, and from source files to a symbol dictionary."""
+"""The whole way from a function index and source files to charts, and from source files to a symbol dictionary."""
 
 from __future__ import annotations
 
@@ -33,15 +33,21 @@ class Charts:
     findings: DataFrame
 
 
+def one_of_each(entries: DataFrame, key: str) -> DataFrame:
+    """One row per key: the smallest by its other columns, so that each run keeps the same."""
+    row = F.struct(*[c for c, kind in entries.dtypes if c != key and "map<" not in kind])
+    return entries.groupBy(key).agg(F.min(row).alias("r")).select(key, "r.*")
+
+
 def charts(entries: DataFrame, files: DataFrame, settings: Settings | None = None, knowledge: dict[str, DataFrame] | None = None) -> Charts:
-    """Flowcharts of all entries (function_key, qualified_name, file, line, end_line, params, calls_ids, description).
+    """Charts of all entries (function_key, qualified_name, file, line, end_line, params, calls_ids, description).
 
     Files meet entries on their path. An entry whose definition isn't found, or whose graph can't be built, comes out with
     an error and an empty script; the others are not touched by it.
     """
     s = settings or Settings()
-    entries = entries.dropDuplicates(["function_key"])
-    wanted = by_key(files, "file").join(entries.select("file").distinct(), "file", "left_semi").dropDuplicates(["file"])
+    entries = one_of_each(entries, "function_key")
+    wanted = by_key(files, "file").join(entries.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.min("source_text").alias("source_text"))
     built = cut(cfg.graphs(wanted, s.max_statements, s.max_lines, s.whole_cases))
     cursors = built.select("file", F.col("qualified_name").alias("name"), "line", F.expr("coalesce(element_at(nodes, 2).end_line, line)").alias("end_line"), F.lit(True).alias("is_definition"), F.col("ord").alias("visit_ord"))
     found = resolver.resolve_cursors(entries, cursors).select("function_key", "file", F.col("visit_ord").alias("ord"))
@@ -79,16 +85,27 @@ def node_context(entries: DataFrame, files: DataFrame, nodes: DataFrame, knowled
     return calls, beside, parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def type_context(entries: DataFrame, knowledge: dict[str, DataFrame]) -> DataFrame:
+    """`function_key`, `types`: a line for each parameter type that the dictionary knows, enumerations before typedefs."""
+    values = knowledge["enum_values"].groupBy("enum").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name", "value", "comment"))), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), x["comment"].alias("comment"))).alias("v"))
+    comments_of = knowledge["enums"].select(F.col("name").alias("enum"), "comment") if "enums" in knowledge else values.select("enum", F.lit("").alias("comment")).where("false")
+    told = values.join(comments_of, "enum", "left").select(F.col("enum").alias("name"), F.lit("enum").alias("kind"), F.concat(F.col("enum"), F.lit(" (enum): "), enum_summary(F.coalesce("comment", F.lit("")), F.col("v"))).alias("summary"))
+    typedefs = knowledge["typedefs"].select("name", F.lit("typedef").alias("kind"), typedef_summary(F.col("name"), F.col("underlying"), F.col("comment")).alias("summary"))
+    notes = lookups.parameter_type_notes(entries, told.unionByName(typedefs))
+    return notes.groupBy("function_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "summary"))), lambda x: F.concat(F.lit("  "), x["summary"])), "\n").alias("types"))
+
+
 def _ask(entries: DataFrame, files: DataFrame, nodes: DataFrame, knowledge: dict[str, DataFrame] | None, s: Settings) -> DataFrame:
     calls, beside, symbols = node_context(entries, files, nodes, knowledge)
     records = labeling.node_records(nodes, calls, beside, symbols)
-    called = lookups.resolve_callees(entries, knowledge["functions"] if knowledge else None)
+    called = lookups.resolve_callees(entries, knowledge["functions"] if knowledge else None, files=files)
     callees = called.groupBy("function_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(": ", "signature", F.nullif(F.col("description"), F.lit(""))).alias("t")))), lambda x: x["t"]), "\n").alias("callees"))
     purpose = lookups.purpose(entries, knowledge["functions"]) if knowledge else entries.select("function_key", F.coalesce("description", F.lit("")).alias("purpose"))
     source = files.select("file", lines(F.col("source_text")).alias("l"))
+    types = type_context(entries, knowledge) if knowledge else entries.select("function_key", F.lit(None).cast("string").alias("types")).where("false")
     asked = (
-        entries.join(records, "function_key").join(purpose, "function_key", "left").join(callees, "function_key", "left").join(source, "file", "left")
-        .withColumn("context", labeling.context_text(parameters(F.col("params")), F.lit(None).cast("string"), F.col("purpose"), F.col("callees")))
+        entries.join(types, "function_key", "left").join(records, "function_key").join(purpose, "function_key", "left").join(callees, "function_key", "left").join(source, "file", "left")
+        .withColumn("context", labeling.context_text(parameters(F.col("params")), F.col("types"), F.col("purpose"), F.col("callees")))
         .withColumn("prompt", labeling.prompt(F.col("qualified_name"), F.col("params"), F.col("purpose"), F.col("context"), slice_lines(F.col("l"), F.col("line"), F.col("end_line")), F.col("nodes_json")))
     )
     return labeling.apply_labels(nodes, labeling.reply_labels(labeling.ask(asked, s.client, s.retries)))
@@ -96,5 +113,5 @@ def _ask(entries: DataFrame, files: DataFrame, nodes: DataFrame, knowledge: dict
 
 def knowledge(files: DataFrame) -> dict[str, DataFrame]:
     """The symbol tables of source files (file, source_text)."""
-    rows = cut(scan.symbols(by_key(files, "file").dropDuplicates(["file"])))
-    return {"functions": scan.functions(rows), "enum_values": scan.enum_values(rows), "macros": scan.macros(rows), "typedefs": scan.typedefs(rows)}
+    rows = cut(scan.symbols(by_key(files, "file").groupBy("file").agg(F.min("source_text").alias("source_text"))))
+    return {"functions": scan.functions(rows), "enums": scan.enums(rows), "enum_values": scan.enum_values(rows), "macros": scan.macros(rows), "typedefs": scan.typedefs(rows)}

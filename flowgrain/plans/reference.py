@@ -42,7 +42,7 @@ _N = """nd as (select * exclude (n) from (select *, row_number() over (partition
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     """One row per node: of repeated rows the one with the smallest label."""
-    n = table(spark, d, "cfg_nodes")
+    n = by_key(table(spark, d, "cfg_nodes"), "function_key")
     row = F.struct(*[c for c in n.columns if c not in ("function_key", "node_id")])
     return n.groupBy("function_key", "node_id").agg(F.min_by(row, F.struct(F.coalesce("label", F.lit("\U0010ffff")), "raw_code")).alias("r")).select("function_key", "node_id", "r.*")
 
@@ -60,11 +60,10 @@ ln as (select file, unnest(range(1, len(l) + 1))::int line_no, unnest(l) as text
 # scans and sources
 
 
-@query("""select file, project from (select distinct file, project from source_files) where regexp_matches(lower(file), '\\.(cpp|cc)$') and not regexp_matches(lower(file), '(^|/)(build|_build|out|dist|third_party|external|vendor|test|tests|googletest|gtest)/')""")
+@query("""select file, project from (select distinct file, project from source_files) where regexp_matches(lower(file), '\\.(cpp|cc)$') and not regexp_matches(lower(file), '(^|/)(build|_build|out|dist|third_party|external|vendor|test|tests|googletest|gtest)/')
+and not regexp_matches(lower(file), '^(/usr/|/lib/|c:/windows/|c:/program files)|/clang/|/c\\+\\+/v1/|/include/c\\+\\+/')""")
 def scan_files(spark: SparkSession, d: str) -> DataFrame:
-    folders = F.slice(F.split("file", "/"), 1, F.size(F.split("file", "/")) - 1)
-    kept = table(spark, d, "source_files").select("file", "project").distinct()
-    return kept.where(F.lower(F.concat(F.lit("."), F.substring_index("file", ".", -1))).isin(".cpp", ".cc") & ~F.exists(folders, lambda p: p.isin(*documents.EXCLUDED)) & ~text.is_system_path(F.col("file")))
+    return documents.source_paths(table(spark, d, "source_files").select("file", "project").distinct(), (".cpp", ".cc"))
 
 
 @query(f"with {_LINES} select file, line_no, md5(text) as hash from ln")
@@ -137,30 +136,32 @@ def summary_totals(spark: SparkSession, d: str) -> DataFrame:
     return sinks.totals(_results(spark, d))
 
 
-@query(f"""with {_R}, n as (select count(*) n, count(*) filter (coalesce(error, '') != '') b, count(distinct source_file) f from res)
-select n as total, b as errors, f as files from n""")
+@query(f"""with {_R}, p as (select source_file, count(*) filter (coalesce(error, '') = '') ok, count(*) filter (coalesce(error, '') != '') errors from res group by 1)
+select 0 as ord, '' as key, sum(ok + errors)::bigint as ok, sum(errors)::bigint as errors from p union all select 1, source_file, ok, errors from p""")
 def summary_document(spark: SparkSession, d: str) -> DataFrame:
-    doc = sinks.summary_document(_results(spark, d))
-    s = F.from_json("document", "struct<totalFunctions:long,totalErrors:long,files:array<struct<sourceFile:string>>>")
-    return doc.select(s["totalFunctions"].alias("total"), s["totalErrors"].alias("errors"), F.size(s["files"]).cast("long").alias("files"))
+    """The rows of the summary, read back from their JSON."""
+    item = F.from_json("item", f"struct<totalFunctions:long,totalErrors:long,sourceFile:string,{sinks.COUNTED}:long,errors:long>")
+    return sinks.summary_items(_results(spark, d)).select("ord", F.coalesce(item["sourceFile"], F.lit("")).alias("key"), F.coalesce(item["totalFunctions"], item[sinks.COUNTED]).alias("ok"), F.coalesce(item["totalErrors"], item["errors"]).alias("errors"))
+
+
+_ITEM = "struct<functionKey:string,qualifiedName:string,mermaidScript:string,error:string>"
+
+
+def _read_back(items: DataFrame) -> DataFrame:
+    i = F.from_json("item", _ITEM)
+    return items.select("name", "ord", i["functionKey"].alias("function_key"), i["qualifiedName"].alias("qualified_name"), F.md5(i["mermaidScript"]).alias("script"), i["error"].alias("error"))
 
 
 @query(f"""with {_R}, st as (select *, regexp_replace(regexp_extract(source_file, '([^/]*)$', 1), '\\.[^.]*$', '') || '.json' as name from res),
 w as (select name, max(source_file) source_file from st group by 1)
-select st.name, st.source_file, count(*) as n from st join w on w.name = st.name and w.source_file = st.source_file group by 1, 2""")
+select st.name, ord, function_key, qualified_name, md5(mermaid_script) as script, nullif(error, '') as error from st join w on w.name = st.name and w.source_file = st.source_file""")
 def file_documents_by_stem(spark: SparkSession, d: str) -> DataFrame:
-    r = _results(spark, d)
-    docs = sinks.file_documents(r, by_stem=True)
-    n = F.size(F.from_json("document", "array<struct<functionKey:string>>")).cast("long")
-    first = F.from_json("document", "array<struct<functionKey:string>>")[0]["functionKey"]
-    return docs.select("name", n.alias("n"), first.alias("function_key")).join(r.select("function_key", "source_file"), "function_key").select("name", "source_file", "n")
+    return _read_back(sinks.file_items(_results(spark, d), by_stem=True))
 
 
-@query(f"with {_R} select source_file || '.json' as name, count(*) as n, count(error) as n_errors from res group by 1")
+@query(f"with {_R} select source_file || '.json' as name, ord, function_key, qualified_name, md5(mermaid_script) as script, nullif(error, '') as error from res")
 def file_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = sinks.file_documents(_results(spark, d))
-    items = F.from_json("document", "array<struct<functionKey:string,error:string>>")
-    return docs.select("name", F.size(items).cast("long").alias("n"), F.size(F.filter(items, lambda x: x["error"].isNotNull())).cast("long").alias("n_errors"))
+    return _read_back(sinks.file_items(_results(spark, d)))
 
 
 @query("""select qualified_name, min(record_id) as first_pos,
@@ -181,13 +182,39 @@ def knowledge_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "k_functions").groupBy("project").agg(F.count("*").alias("n"), F.count("comment").alias("n_comments"), F.countDistinct("file").alias("n_files"))
 
 
-@query("""with v as (select n_regionkey, n_name, n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) i, count(*) over (partition by n_regionkey) c from nation)
-select r.r_name as enum, r.r_name || '; values: ' || string_agg(n_name || '=' || n_nationkey, ', ' order by i) filter (i <= 3) || case when max(c) > 3 then ';   ... and ' || (max(c) - 3) || ' more' else '' end as summary
-from v join region r on r.r_regionkey = v.n_regionkey group by 1""")
+_CASES = "cs as (select distinct project, split_part(n, '_', 1) as prefix, n from (select project, regexp_extract(raw_code, '^case ([A-Z]+_[A-Z0-9_]+)', 1) as n from cfg_nodes where node_type = 'CASE') where n != '')"
+
+
+def _case_members(spark: SparkSession, d: str) -> DataFrame:
+    """`project`, `prefix`, `n`: the names of cases by what they begin with, as members of enumerations."""
+    n = table(spark, d, "cfg_nodes").where("node_type = 'CASE'").select("project", F.regexp_extract("raw_code", "^case ([A-Z]+_[A-Z0-9_]+)", 1).alias("n"))
+    return n.where("n != ''").select("project", F.substring_index("n", "_", 1).alias("prefix"), "n").distinct()
+
+
+@query(f"""with {_CASES}, v as (select *, row_number() over (partition by project, prefix order by n) i, count(*) over (partition by project, prefix) c from cs)
+select project, prefix as enum, prefix || '; values: ' || string_agg(n || '=' || length(n), ', ' order by i) filter (i <= 8) || case when max(c) > 8 then ';   ... and ' || (max(c) - 8) || ' more' else '' end as summary from v group by project, prefix""")
 def enum_summary(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("v"))
-    values = F.transform("v", lambda x: F.struct(x["n_name"].alias("name"), x["n_nationkey"].cast("string").alias("value"), F.lit("").alias("comment")))
-    return n.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("enum"), labels.enum_summary(F.col("r_name"), values, 3).alias("summary"))
+    v = _case_members(spark, d).groupBy("project", "prefix").agg(F.array_sort(F.collect_list("n")).alias("v"))
+    values = F.transform("v", lambda x: F.struct(x.alias("name"), F.length(x).cast("string").alias("value"), F.lit("").alias("comment")))
+    return v.select("project", F.col("prefix").alias("enum"), labels.enum_summary(F.col("prefix"), values).alias("summary"))
+
+
+@query(f"""with {_CASES}, o as (select *, row_number() over (partition by project, prefix order by n) - 1 as ord from cs),
+g as (select *, max(ord) filter (ord % 3 = 1) over (partition by project, prefix order by ord) as given_ord from o)
+select project || '.h' as file, project || '::' || prefix as enum, ord::int as ord, n as name, (case when given_ord is null then ord else 16 * given_ord + 2 + ord - given_ord end)::varchar as value,
+  case when ord % 3 = 2 then 'above ' || n else 'beside ' || ord end as comment from g""")
+def scanned_enums(spark: SparkSession, d: str) -> DataFrame:
+    """Enumerations of the names of cases, written as C++ with one member a line, with values and comments of several forms, and scanned."""
+    member = Window.partitionBy("project", "prefix").orderBy("n")
+    m = _case_members(spark, d).withColumn("ord", F.row_number().over(member) - 1)
+    value = F.when(F.col("ord") % 3 == 1, F.concat(F.lit(" = 0x"), F.lower(F.hex("ord")), F.lit("0 + (1 << 1)"))).otherwise("")
+    line = F.when(F.col("ord") % 3 == 2, F.concat(F.lit("  // above "), F.col("n"), F.lit("\n  "), F.col("n"), value, F.lit(","))).otherwise(F.concat(F.lit("  "), F.col("n"), value, F.lit(",  // beside "), F.col("ord")))
+    body = m.groupBy("project", "prefix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("b"))
+    one = F.concat(F.lit("enum class "), F.col("prefix"), F.lit(" : int {\n"), F.col("b"), F.lit("\n};\n"))
+    texts = body.groupBy("project").agg(F.array_join(F.array_sort(F.collect_list(one)), "\n").alias("t"))
+    files = texts.select(F.concat("project", F.lit(".h")).alias("file"), F.concat(F.lit("namespace "), F.col("project"), F.lit(" {\n"), F.col("t"), F.lit("}\n")).alias("source_text"))
+    e = scan.enums(scan.symbols(files)).where("name like '%::%'")
+    return e.select("file", F.col("name").alias("enum"), F.posexplode("members").alias("ord", "m")).select("file", "enum", "ord", "m.name", "m.value", "m.comment")
 
 
 # lookups
@@ -205,12 +232,30 @@ def resolve_callees(spark: SparkSession, d: str) -> DataFrame:
     return lookups.resolve_callees(_entries(spark, d), known)
 
 
-@query(rf"""with {_E}, {_N}, nm as (select function_key, node_id, unnest(list_distinct(regexp_extract_all(raw_code, '(\w[\w:~<>]*)\s*\(', 1))) as name from nd where node_type not in ('START', 'END', 'BREAK', 'CONTINUE')),
+@query(rf"""with {_E}, {_N}, {_F}, code as (select function_key, node_id, raw_code from nd where node_type not in ('START', 'END', 'BREAK', 'CONTINUE') union all select e.function_key, 'file', f.source_text from e join f using (file)),
+nm as (select function_key, node_id, unnest(list_distinct(regexp_extract_all(raw_code, '(\w[\w:~<>]*)\s*\(', 1))) as name from code),
 c as (select function_key, unnest(range(0, len(calls_ids))) ord, unnest(calls_ids) callee_id from e),
 p as (select function_key, split_part(split_part(qualified_name, '::', -1), '<', 1) as name, qualified_name || '(' || coalesce(array_to_string(list_transform(params, lambda x: trim(x.type || ' ' || x.name)), ', '), '') || ')' sig, coalesce(description, '') description from e)
 select c.function_key, nm.node_id, c.ord::int as ord, p.sig as signature, p.description from c join p on p.function_key = c.callee_id join nm on nm.function_key = c.function_key and nm.name = p.name""")
 def calls_in_code(spark: SparkSession, d: str) -> DataFrame:
-    return lookups.calls_in_code(_nodes(spark, d), _entries(spark, d))
+    """The callees that nodes name, and those that the file of a function names; nodes of the test tables name none."""
+    e, n = _entries(spark, d), _nodes(spark, d).select("function_key", "node_id", "node_type", "raw_code")
+    whole = e.join(_files(spark, d), "file").select("function_key", F.lit("file").alias("node_id"), F.lit("ACTION").alias("node_type"), F.col("source_text").alias("raw_code"))
+    return lookups.calls_in_code(n.unionByName(whole), e)
+
+
+@query(rf"""with {_E}, {_LINES}, ids as (select distinct c as callee_id from (select unnest(calls_ids) c from e) where c like '%|%|%'),
+tried as (select callee_id, split_part(split_part(split_part(callee_id, '|', 3), '::', -1), '<', 1) as name, probe, split_part(callee_id, '|', 1) || '/' || split_part(callee_id, '|', 2) || ext as file from ids, (values (0, '.cpp'), (1, '.h'), (2, '.hpp'), (3, '.cc')) x(probe, ext)),
+lt as (select file, line_no, text from ln where file in (select file from tried)),
+c as (select file, line_no, unnest(list_distinct(regexp_extract_all(text, '\b(\w+)\s*\(', 1))) as name from lt),
+hit as (select callee_id, file, probe, min(line_no) line_no from tried join c using (file, name) group by 1, 2, 3),
+best as (select callee_id, arg_min(file, probe) file, arg_min(line_no, probe) line_no from hit group by 1),
+u as (select file, line_no, coalesce(min(case when contains(text, '{{') then line_no end) over (partition by file order by line_no rows between current row and unbounded following), max(line_no) over (partition by file)) until from lt)
+select callee_id, file, trim(split_part(string_agg(trim(lt.text, ' ' || chr(9) || chr(12)), ' ' order by lt.line_no), '{{', 1)) as signature from best join u using (file, line_no) join lt on lt.file = best.file and lt.line_no between best.line_no and u.until group by 1, 2""")
+def callees_in_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Every callee whose key points to a source file, looked up there."""
+    ids = _entries(spark, d).select(F.explode("calls_ids").alias("callee_id")).where("callee_id is not null")
+    return lookups.callees_in_sources(ids, _files(spark, d)).select("callee_id", "file", "signature")
 
 
 _MACROS = "m as (select distinct regexp_extract(raw_code, '^case ([A-Z_][A-Z0-9_]{2,})', 1) as name from nd where node_type = 'CASE')"
@@ -249,10 +294,11 @@ def enums_in_code(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""with {_E}, t as (select function_key, list_transform(params, lambda x: regexp_replace(split_part(x.type, '::', -1), '[*&<> ].*', '')) l from e),
 u as (select function_key, unnest(l) as type_name, unnest(range(0, len(l))) i from t), g as (select function_key, type_name, min(i) i from u group by 1, 2),
 o as (select *, (row_number() over (partition by function_key order by i) - 1)::int as ord from g)
-select function_key, ord, type_name, 'type ' || type_name as summary from o where type_name in ('Mode', 'Handle', 'Frame', 'Buffer', 'Tick')""")
+select function_key, ord, type_name, 'type ' || type_name as summary from o where regexp_matches(type_name, '^[A-Z]')""")
 def parameter_type_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The parameter types of the project's own, which begin with a capital."""
     e = _entries(spark, d)
-    types = e.select(F.explode("params").alias("p")).select(labels.simple_type(F.col("p.type")).alias("name")).distinct().where(F.col("name").isin("Mode", "Handle", "Frame", "Buffer", "Tick"))
+    types = e.select(F.explode("params").alias("p")).select(labels.simple_type(F.col("p.type")).alias("name")).distinct().where(F.col("name").rlike("^[A-Z]"))
     return lookups.parameter_type_notes(e, types.select("name", F.lit("enum").alias("kind"), F.concat(F.lit("type "), F.col("name")).alias("summary")))
 
 
@@ -263,11 +309,13 @@ def purpose(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""with {_E}, {_LINES}, w as (select distinct file, split_part(split_part(qualified_name, '::', -1), '<', 1) as name from e),
-c as (select file, line_no, unnest(list_distinct(regexp_extract_all(text, '\b(\w+)\s*\(', 1))) as name from ln)
-select file, name, min(line_no) as line_no from c join w using (file, name) group by 1, 2""")
+c as (select file, line_no, unnest(list_distinct(regexp_extract_all(text, '\b(\w+)\s*\(', 1))) as name from ln),
+hit as (select file, name, min(line_no) as line_no from c join w using (file, name) group by 1, 2),
+u as (select file, line_no, coalesce(min(case when contains(text, '{{') then line_no end) over (partition by file order by line_no rows between current row and unbounded following), max(line_no) over (partition by file)) until from ln)
+select hit.file, name, hit.line_no, trim(split_part(string_agg(trim(ln.text, ' ' || chr(9) || chr(12)), ' ' order by ln.line_no), '{{', 1)) as signature from hit join u using (file, line_no) join ln on ln.file = hit.file and ln.line_no between hit.line_no and u.until group by 1, 2, 3""")
 def first_match(spark: SparkSession, d: str) -> DataFrame:
     names = _entries(spark, d).select("file", labels.last_name(F.col("qualified_name")).alias("name"))
-    return lookups.first_match(comments.source_lines(_files(spark, d)), names).select("file", "name", "line_no")
+    return lookups.first_match(comments.source_lines(_files(spark, d)), names).select("file", "name", "line_no", "signature")
 
 
 @query(rf"""with {_E}, c as (select record_id, lower(replace(file, chr(92), '/')) file_id, lower(split_part(split_part(qualified_name, '<', 1), '::', -1)) c_name, line, line + 10 as end_line, is_definition from k_functions where file is not null and line >= 1),
@@ -292,19 +340,34 @@ def inline_comments(spark: SparkSession, d: str) -> DataFrame:
     return comments.inline_comments(comments.source_lines(_files(spark, d)))
 
 
-@query()
+_NEAR = r"""nb as (select w.*, x.text as own_text from w join ln x on x.file = w.file and x.line_no = w.line_no),
+own as (select *, trim(regexp_extract(own_text, '^(?:[^"/]|"(?:[^"\\]|\\.)*"|/[^/])*//(.*)$', 1), ' ' || chr(9) || chr(12)) as o from nb),
+pre as (select own.file, own.line_no, x.line_no as n, trim(x.text, ' ' || chr(9) || chr(12)) as t from own join ln x on x.file = own.file and x.line_no between own.line_no - 4 and own.line_no - 1),
+kd as (select *, case when t = '' then 'blank' when starts_with(t, '//') then 'line' when ends_with(t, '*/') or starts_with(t, '*') then 'block' else 'code' end as kind from pre),
+lim as (select file, line_no, coalesce(max(case when kind = 'code' then n end), 0) as stop from kd group by 1, 2),
+sd as (select kd.file, kd.line_no, kd.n, nullif(case kind when 'line' then regexp_replace(t, '^[/ ]+', '') when 'block' then regexp_replace(regexp_replace(t, '^[*/ ]+', ''), '[*/ ]+$', '') end, '') as said from kd join lim using (file, line_no) where kd.n > stop),
+ab as (select file, line_no, trim(string_agg(said, ' ' order by n)) as a from sd group by 1, 2),
+near as (select own.file, own.line_no, case when o != '' then o else coalesce(ab.a, '') end as comment from own left join ab using (file, line_no))"""
+
+
+@query(f"with {_E}, {_LINES}, w as (select distinct file, line as line_no from e), {_NEAR} select file, line_no, comment from near")
 def nearest_comments(spark: SparkSession, d: str) -> DataFrame:
     targets = _entries(spark, d).select("file", F.col("line").alias("line_no"))
     return comments.nearest_comments(comments.source_lines(_files(spark, d)), targets)
 
 
 @query(rf"""with {_E}, {_LINES}, s as (select *, trim(text, ' ' || chr(9) || chr(12)) t from ln),
-x as (select *, sum(case when starts_with(t, '//') then 0 else 1 end) over (partition by file order by line_no) run, max(case when t != '' then line_no end) over (partition by file order by line_no rows between unbounded preceding and 1 preceding) last_text from s),
-r as (select file, run, max(line_no) last_text, string_agg(nullif(regexp_replace(t, '^[/ ]+', ''), ''), ' ' order by line_no) as comment from x where starts_with(t, '//') group by 1, 2)
-select distinct x.file, x.line_no, coalesce(r.comment, '') as comment from x join e on e.file = x.file and e.line = x.line_no join r on r.file = x.file and r.last_text = x.last_text""")
+x as (select *, sum(case when starts_with(t, '//') then 0 else 1 end) over (partition by file order by line_no) run, max(case when t != '' then line_no end) over (partition by file order by line_no rows between unbounded preceding and 1 preceding) last_text,
+  max(case when contains(text, '/*') then line_no end) over (partition by file order by line_no) opened from s),
+r as (select file, run, max(line_no) last_text, string_agg(nullif(regexp_replace(t, '^[/ ]+', ''), ''), ' ' order by line_no) as comment from x where starts_with(t, '//') group by 1, 2),
+tg as (select distinct x.file, x.line_no, x.last_text from x join e on e.file = x.file and e.line = x.line_no),
+bl as (select tg.file, tg.line_no, tg.last_text, b.opened from tg join x b on b.file = tg.file and b.line_no = tg.last_text where ends_with(b.t, '*/') and not starts_with(b.t, '//')),
+bw as (select bl.file, bl.line_no, x.line_no as n, case when x.line_no = bl.opened then trim(regexp_replace(trim(regexp_replace(x.text, '/\*+\s*', '', 'g'), ' ' || chr(9) || chr(12)), '[*/]+$', ''), ' ' || chr(9) || chr(12)) else regexp_replace(x.t, '^[* ]+', '') end as word from bl join x on x.file = bl.file and x.line_no between coalesce(bl.opened, 0) and bl.last_text)
+select tg.file, tg.line_no, coalesce(r.comment, '') as comment from tg join r on r.file = tg.file and r.last_text = tg.last_text
+union all select file, line_no, coalesce(string_agg(nullif(word, ''), ' ' order by n), '') from bw group by 1, 2""")
 def preceding_comments(spark: SparkSession, d: str) -> DataFrame:
     targets = _entries(spark, d).select("file", F.col("line").alias("line_no"))
-    return comments.preceding_line_comments(comments.source_lines(_files(spark, d)), targets)
+    return comments.preceding_comments(comments.source_lines(_files(spark, d)), targets)
 
 
 @query(rf"""with recursive {_N}, n as (select function_key, node_seq, greatest(end_line - start_line + 1, 1) size, row_number() over (partition by function_key order by node_seq, node_id) i from nd),
@@ -325,11 +388,14 @@ def function_source(spark: SparkSession, d: str) -> DataFrame:
     return e.select("function_key", F.md5(text.slice_lines(F.col("l"), F.col("line"), F.col("end_line"))).alias("hash"))
 
 
-@query(rf"""with {_LINES}, p as (select file, l from sn)
-select file, case when len(l) < 3 then trim(substring(l[1], 3, 17)) else rtrim(substring(l[2], 3)) || chr(10) || rtrim(substring(l[3], 1, 19)) end as piece from p where len(l) >= 3""")
+@query(rf"""with {_E}, {_LINES}, p as (select e.function_key, e.line as sl, least(e.end_line, len(l)) as el, 1 + e.line % 4 as sc, 2 + e.line % 7 as ec, l from e join sn on sn.file = e.file where end_line is not null)
+select function_key, md5(case when el < sl then '' when el = sl then regexp_replace(substring(l[sl], sc, ec - sc), '^\s+|\s+$', '', 'g') else
+  array_to_string(list_concat([regexp_replace(substring(l[sl], sc), '\s+$', '')], list_transform(l[sl + 1:el - 1], lambda x: regexp_replace(x, '\s+$', '')), [regexp_replace(substring(l[el], 1, ec - 1), '\s+$', '')]), chr(10)) end) as hash from p""")
 def extent_slice(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d).select("file", text.lines(F.regexp_replace("source_text", "^﻿", "")).alias("l")).where(F.size("l") >= 3)
-    return f.select("file", text.extent(F.col("l"), F.lit(2), F.lit(3), F.lit(3), F.lit(20)).alias("piece"))
+    """From a column of each entry's first line to a column of its last."""
+    f = _files(spark, d).select("file", text.lines(F.regexp_replace("source_text", "^﻿", "")).alias("l"))
+    e = _entries(spark, d).where("end_line is not null").join(f, "file")
+    return e.select("function_key", F.md5(text.extent(F.col("l"), F.col("line"), F.col("end_line"), 1 + F.col("line") % 4, 2 + F.col("line") % 7)).alias("hash"))
 
 
 # scalar functions
@@ -434,10 +500,10 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", h.alias("hash"), text.cache_name(h).alias("cache_name"))
 
 
-@query("""select distinct function_key, qualified_name || ' = ' || signature || case when coalesce(comment, '') != '' then '  (' || comment || ')' else '' end as macro, qualified_name || ' → ' || signature || case when coalesce(comment, '') != '' then '  (' || comment || ')' else '' end as typedef from library_functions""")
+@query("""select distinct record_id, qualified_name || ' = ' || signature || case when coalesce(comment, '') != '' then '  (' || comment || ')' else '' end as macro, qualified_name || ' → ' || signature || case when coalesce(comment, '') != '' then '  (' || comment || ')' else '' end as typedef from k_functions""")
 def symbol_summaries(spark: SparkSession, d: str) -> DataFrame:
     c = [F.col(x) for x in ("qualified_name", "signature", "comment")]
-    return table(spark, d, "library_functions").select("function_key", labels.macro_summary(*c).alias("macro"), labels.typedef_summary(*c).alias("typedef")).distinct()
+    return table(spark, d, "k_functions").select("record_id", labels.macro_summary(*c).alias("macro"), labels.typedef_summary(*c).alias("typedef")).distinct()
 
 
 # replies of the label model
@@ -452,32 +518,43 @@ def first_json_object(spark: SparkSession, d: str) -> DataFrame:
 
 def _replies(spark: SparkSession, d: str) -> DataFrame:
     n = _nodes(spark, d).where("node_type not in ('START', 'END')")
-    ids = n.groupBy("function_key").agg(F.array_sort(F.collect_list("node_id")).alias("node_ids"), F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("node_id", "label")))).alias("m"))
+    ids = n.groupBy("function_key").agg(F.array_sort(F.collect_list("node_id")).alias("node_ids"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("node_id", "label"))))).alias("m"))
     return ids.select("function_key", F.concat(F.lit("Labels:\n"), F.to_json("m")).alias("reply"), "node_ids")
 
 
 @query(rf"""with {_N}, n as (select * from nd where node_type not in ('START', 'END')),
-a as (select function_key, string_agg(node_id, ', ' order by node_id) filter (label is null) missing, count(*) filter (label like '%{{%' or label like '%}}%') braces, min(node_id) filter (regexp_replace(label, '[\s\x{{a0}}\x{{3000}}]', '', 'g') = '') blank, min(node_id) filter (length(label) > 300) long from n group by 1)
-select function_key, case when missing is not null then 'missing ids: ' || missing when blank is not null then 'empty label: ' || blank when long is not null then 'too long: ' || long end as error from a where braces = 0""")
+a as (select function_key, string_agg(node_id, ', ' order by node_id) filter (label is null) missing, '{{' || coalesce(string_agg(regexp_replace(label, '[^{{}}]', '', 'g'), '' order by node_id), '') || '}}' as marks,
+  min(node_id) filter (regexp_replace(label, '[\s\x{{a0}}\x{{3000}}]', '', 'g') = '') blank, min(node_id) filter (length(label) > 300) long from n group by 1),
+u as (select function_key, unnest(string_split(marks, '')) as c, unnest(range(0, length(marks))) as i from a),
+d as (select function_key, i, sum(case c when '{{' then 1 else -1 end) over (partition by function_key order by i) as depth from u),
+k as (select function_key, min(i) filter (depth = 0) as closed from d group by 1)
+select function_key, case when closed is null then 'no JSON object' when closed + 1 < length(marks) then 'JSON parse error' when missing is not null then 'missing ids: ' || missing when blank is not null then 'empty label: ' || blank when long is not null then 'too long: ' || long end as error from a join k using (function_key)""")
 def reply_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Replies made of the labels there are. Brackets within labels, which end an object early, are left to the tests."""
-    r = _replies(spark, d).where(~F.regexp_replace("reply", r"^Labels:\n\{|\}$", "").rlike(r"[{}]"))
-    return r.select("function_key", labeling.reply_error(F.col("reply"), F.col("node_ids")).alias("error"))
+    """Replies made of the labels there are; brackets within labels count, as the original has it."""
+    return _replies(spark, d).select("function_key", labeling.reply_error(F.col("reply"), F.col("node_ids")).alias("error"))
 
 
-@query(rf"""with {_N}, l as (select function_key, node_seq, node_id, node_type, raw_code from nd where node_type not in ('START', 'END'))
-select function_key, count(*) as n, array_to_string(list(node_id order by node_seq, node_id, node_type), ',') as ids, sum(length(substring(raw_code, 1, 300)))::bigint as shown from l group by 1""")
+_RECORDS = "rec as (select function_key, to_json(list(struct_pack(node_id := node_id, type := node_type, raw_code := substring(raw_code, 1, 300)) order by node_seq, node_id, node_type))::varchar as nodes_json, array_to_string(list(node_id order by node_seq, node_id, node_type), ',') as ids from nd where node_type not in ('START', 'END') group by 1)"
+
+
+@query(f"with {_N}, {_RECORDS} select function_key, ids, nodes_json from rec")
 def node_records(spark: SparkSession, d: str) -> DataFrame:
-    r = labeling.node_records(_nodes(spark, d))
-    shown = F.from_json("nodes_json", "array<struct<node_id:string,raw_code:string>>")
-    total = F.aggregate(shown, F.lit(0).cast("long"), lambda a, x: a + F.length(x["raw_code"]))
-    return r.select("function_key", F.size("node_ids").cast("long").alias("n"), F.array_join("node_ids", ",").alias("ids"), total.alias("shown"))
+    return labeling.node_records(_nodes(spark, d)).select("function_key", F.array_join("node_ids", ",").alias("ids"), "nodes_json")
 
 
-@query(rf"""with {_E} select function_key, 'Function: ' || qualified_name || '(' || coalesce(array_to_string(list_transform(params, lambda x: trim(x.type || ' ' || x.name)), ', '), '') || ')' || case when coalesce(description, '') != '' then chr(10) || 'Purpose: ' || description else '' end as head from e""")
-def prompt_heads(spark: SparkSession, d: str) -> DataFrame:
-    p = labeling.prompt(F.col("qualified_name"), F.col("params"), F.col("description"), F.lit(""), F.lit(""), F.lit("[]"))
-    return _entries(spark, d).select("function_key", F.substring_index(p, "\n\n--- Function Source Code", 1).alias("head"))
+@query(rf"""with {_E}, {_N}, {_LINES}, {_RECORDS}, src as (select e.function_key, string_agg(ln.text, chr(10) order by ln.line_no) as t from e join ln on ln.file = e.file and ln.line_no between e.line and e.end_line group by 1),
+p as (select function_key, qualified_name || '(' || coalesce(array_to_string(list_transform(params, lambda x: trim(x.type || ' ' || x.name)), ', '), '') || ')' as sig, coalesce(array_to_string(list_transform(params, lambda x: trim(x.type || ' ' || x.name)), ', '), '') as ps, coalesce(description, '') as descr from e)
+select p.function_key, md5('Function: ' || sig || case when descr != '' then chr(10) || 'Purpose: ' || descr else '' end
+  || case when ps || descr != '' then chr(10) || chr(10) || '--- Project Context ---' || chr(10) || concat_ws(chr(10), case when ps != '' then 'Parameters: ' || ps end, case when descr != '' then 'Purpose: ' || descr end) else '' end
+  || chr(10) || chr(10) || '--- Function Source Code ---' || chr(10) || src.t || chr(10) || chr(10) || '--- Nodes to Label ---' || chr(10) || nodes_json || chr(10) || chr(10) || 'Return ONLY the JSON object mapping each node_id to its label.') as hash
+from p join rec using (function_key) join src using (function_key)""")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of each function, with its context, source and nodes."""
+    f = _files(spark, d).select("file", text.lines(F.regexp_replace("source_text", "^﻿", "")).alias("l"))
+    e = _entries(spark, d).where("end_line is not null").join(f, "file").join(labeling.node_records(_nodes(spark, d)), "function_key")
+    context = labeling.context_text(labels.parameters(F.col("params")), F.lit(None).cast("string"), F.col("description"), F.lit(None).cast("string"))
+    made = labeling.prompt(F.col("qualified_name"), F.col("params"), F.col("description"), context, text.slice_lines(F.col("l"), F.col("line"), F.col("end_line")), F.col("nodes_json"))
+    return e.select("function_key", F.md5(made).alias("hash"))
 
 
 # graphs
@@ -487,7 +564,15 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.script_edges(table(spark, d, "flowcharts"))
 
 
-@query()
+_BFS = f"""with recursive {_N}, {_EDGES},
+size as (select function_key, count(*) as n, coalesce(arg_min(node_id, node_seq) filter (node_type = 'START'), arg_min(node_id, (node_seq, node_id))) as entry from nd group by 1),
+w(function_key, node_id, level, path) as (select function_key, entry, 0, []::int[] from size union all
+  select w.function_key, ed.target, w.level + 1, min(list_append(w.path, ed.edge_ord)) from w join ed on ed.function_key = w.function_key and ed.source = w.node_id join size on size.function_key = w.function_key where w.level < size.n group by 1, 2, 3),
+seen as (select function_key, node_id, min(level) as level, arg_min(path, level) as path from w group by 1, 2),
+bfs as (select nd.*, (row_number() over (partition by nd.function_key order by seen.level is null, seen.level, seen.path, nd.node_seq, nd.node_id) - 1)::int as ord from nd left join seen on seen.function_key = nd.function_key and seen.node_id = nd.node_id)"""
+
+
+@query(f"{_BFS} select function_key, node_id, ord from bfs")
 def breadth_first(spark: SparkSession, d: str) -> DataFrame:
     return graph.breadth_first(_nodes(spark, d), _edges(spark, d))
 
@@ -526,13 +611,22 @@ def graph_findings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""with c as (select distinct function_key, coalesce(mermaid_script, '') s from flowcharts), l as (select function_key, string_split_regex(s, '\r\n|\r|\n') l from c where trim(s) != ''),
 u as (select function_key, unnest(range(1, len(l) + 1)) n, unnest(l) as line from l)
-select function_key, 'ERROR' as severity, 'empty_script' as code, '' as detail from c where trim(s) = '' union all select function_key, 'ERROR', 'no_flowchart', '' from c where trim(s) != '' and not starts_with(ltrim(s), 'flowchart')
+select function_key, 'ERROR' as severity, 'empty_script' as code, '' as detail from c where trim(s) = '' union all select function_key, 'ERROR', 'no_header', '' from c where trim(s) != '' and not starts_with(ltrim(s), 'flowchart')
 union all select function_key, 'WARNING', 'odd_quotes', n::varchar from u where (length(line) - length(replace(line, '"', ''))) % 2 = 1""")
 def script_findings(spark: SparkSession, d: str) -> DataFrame:
     return graph.script_findings(table(spark, d, "flowcharts"))
 
 
-@query()
+_SHOWN = "coalesce(nullif(label, ''), nullif(substring(raw_code, 1, 60), ''), node_id)"
+_SHOWN = f"replace(replace(replace(replace({_SHOWN}, '<br/>', chr(1)), '<br />', chr(1)), chr(10), chr(1)), chr(13), '')"
+_SHOWN = f"replace({_sql_escape(_SHOWN, labels.NODE_ENTITIES)}, chr(1), '<br/>')"
+_WAY = "case when lower(trim(label)) in ('yes', 'true', '1') then 'Yes' when lower(trim(label)) in ('no', 'false', '0') then 'No' else nullif(trim(label), '') end"
+
+
+@query(f"""{_BFS}, top as (select function_key, string_agg('    ' || case when node_type in ('START', 'END') then node_id || '([' || {_SHOWN} || '])' when node_type in ('DECISION', 'LOOP_HEAD', 'SWITCH_HEAD') then node_id || '{{' || {_SHOWN} || '}}' when node_type = 'CATCH' then node_id || '[[' || {_SHOWN} || ']]' else node_id || '[' || {_SHOWN} || ']' end, chr(10) order by ord) as t from bfs group by 1),
+way as (select *, {_WAY} as said from ed),
+low as (select function_key, string_agg('    ' || source || case when said is null then ' --> ' else ' -->|' || {_sql_escape('said', labels.EDGE_ENTITIES)} || '| ' end || target, chr(10) order by edge_ord) as t from way group by 1)
+select top.function_key, '{labels.CHART_HEADER}' || chr(10) || top.t || chr(10) || case when low.t is null then '' else chr(10) || low.t end as mermaid_script from top left join low using (function_key)""")
 def render(spark: SparkSession, d: str) -> DataFrame:
     return graph.render(_nodes(spark, d), _edges(spark, d))
 
@@ -562,18 +656,37 @@ def scanned_functions(spark: SparkSession, d: str) -> DataFrame:
     return scan.functions(scan.symbols(_files(spark, d)), simple_names=False).select("qualified_name", "signature", "file", "line", "comment")
 
 
-@query(rf"""with {_LINES}, m as (select file, line_no, regexp_extract(text, '^\s*#\s*define\s+(\w+)\s+([^(\s].*)$', 1) as name, trim(regexp_replace(regexp_extract(text, '^\s*#\s*define\s+(\w+)\s+([^(\s].*)$', 2), '//.*', '')) as value from ln where regexp_matches(text, '^\s*#\s*define\s+\w+\s+[^(\s]'))
-select name, arg_max(value, (file, line_no)) as value, max(file) as file from m where name not like '\_%' escape '\' and not regexp_matches(name, '^[A-Z_]+_H[_H]?$') group by 1""")
+_MACRO_LINES = r"""md as (select file, line_no, regexp_extract(text, '^\s*#\s*define\s+(\w+)\s+([^(\s].*)$', 1) as name, trim(regexp_replace(regexp_extract(text, '^\s*#\s*define\s+(\w+)\s+([^(\s].*)$', 2), '//.*', '')) as value from ln where regexp_matches(text, '^\s*#\s*define\s+\w+\s+[^(\s]'))"""
+
+
+@query(rf"""with {_LINES}, {_MACRO_LINES}
+select name, arg_max(value, (file, line_no)) as value, max(file) as file from md where name not like '\_%' escape '\' and not regexp_matches(name, '^[A-Z_]+_H[_H]?$') group by 1""")
 def scanned_macros(spark: SparkSession, d: str) -> DataFrame:
     return scan.macros(scan.symbols(_files(spark, d))).select("name", "value", "file")
 
 
-@query()
+@query(rf"""with {_E}, {_N}, {_LINES}, told as (select nd.function_key, nd.node_id, e.file, nd.start_line as line_no from nd join e using (function_key) where node_type not in ('START', 'END', 'BREAK', 'CONTINUE')),
+w as (select distinct file, line_no from told), {_NEAR}, {_MACRO_LINES}, m as (select name, arg_max(value, (file, line_no)) as value from md where name not like '\_%' escape '\' and not regexp_matches(name, '^[A-Z_]+_H[_H]?$') group by 1),
+t as (select function_key, node_id, unnest(list_distinct(regexp_extract_all(raw_code, '\b([A-Z_][A-Z0-9_]{{2,}})\b', 1))) as name from nd join told using (function_key, node_id))
+select function_key, node_id, 'comment' as kind, comment as said from told join near using (file, line_no) union all select function_key, node_id, 'macro_context', name || ' = ' || value from t join m using (name)""")
 def node_context(spark: SparkSession, d: str) -> DataFrame:
-    """The comment beside each node."""
+    """What stands beside each node: the comment, and the macros of the sources (told without their comments) that its code names."""
     e, f = _entries(spark, d), _files(spark, d)
     n = _nodes(spark, d).join(e.select("function_key", "file"), "function_key")
-    return pipeline.node_context(e, f, n, None)[1]
+    known = pipeline.knowledge(f)
+    known["macros"] = known["macros"].withColumn("comment", F.lit(""))
+    calls, beside, symbols = pipeline.node_context(e, f, n, known)
+    by_call = calls.select("function_key", "node_id", F.lit("call").alias("kind"), F.col("signature").alias("said"))
+    return beside.select("function_key", "node_id", F.lit("comment").alias("kind"), F.col("comment").alias("said")).unionByName(by_call).unionByName(symbols.select("function_key", "node_id", "kind", F.col("summary").alias("said")))
+
+
+@query(rf"""with {_LINES}, i as (select file, line_no, regexp_extract(text, '^\s*#\s*include\s*"([^"]+)"', 1) as inc from ln where regexp_matches(text, '^\s*#\s*include\s*"')),
+k as (select distinct regexp_extract(file, '([^/]*)$', 1) as base from f),
+b as (select *, row_number() over (partition by file order by line_no) as n from i where regexp_extract(inc, '([^/]*)$', 1) not in (select base from k))
+select file, line_no, 'ERROR' as severity, chr(39) || inc || chr(39) || ' file not found' as message from b where n <= 5""")
+def diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Included files that are not there, the first five of each file."""
+    return scan.diagnostics(comments.source_lines(_files(spark, d)), _files(spark, d)).select("file", "line_no", "severity", "message")
 
 
 @query()

@@ -7,10 +7,15 @@ what it can't read is skipped.
 
 from __future__ import annotations
 
+import ast
 import bisect
+import operator
 import re
 from typing import NamedTuple
 
+#: Fixed value: declarations nested deeper than this are passed over.
+DEEPEST = 30
+
 _TOKEN = re.compile(
     r"""(?P<comment>//(?:\\\n|[^\n])*|/\*.*?(?:\*/|\Z))|(?P<pre>^[ \t\f]*\#(?:\\\n|//.*?$|/\*.*?\*/|[^\n])*)"""
     r"""|(?P<raw>(?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)")|(?P<str>"(?:\\.|[^"\\\n])*"?)|(?P<chr>(?<![0-9A-Fa-f])'(?:\\.|[^'\\\n])*'?)"""
@@ -133,8 +138,109 @@ def _function(tokens: list[_Token]) -> tuple[list[_Token], int, int] | None:
     return None
 
 
-def declarations(text: str | None) -> list[Declaration]:
-    """All declarations of one file, in their order."""
+#: What the values of enumerations may be computed with.
+_UNARY = {ast.UAdd: operator.pos, ast.USub: operator.neg, ast.Invert: operator.invert, ast.Not: lambda x: int(not x)}
+_BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.LShift: operator.lshift, ast.RShift: operator.rshift, ast.BitOr: operator.or_, ast.BitAnd: operator.and_, ast.BitXor: operator.xor}
+_BINARY |= {ast.FloorDiv: lambda a, b: abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1), ast.Mod: lambda a, b: abs(a) % abs(b) * (-1 if a < 0 else 1)}
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+
+
+def _number(token: str) -> int | None:
+    """The value of an integer or character literal."""
+    if token[0] == "'" and token[-1] == "'":
+        inner = token[1:-1]
+        if inner[:1] == "\\":
+            return int(inner[2:], 16) if inner[1:2] == "x" else int(inner[1:], 8) if inner[1:].isdigit() else ord(_ESCAPES.get(inner[1:], inner[1:2]))
+        return ord(inner) if len(inner) == 1 else None
+    plain = re.sub(r"(?i)[ul]+$", "", token.replace("'", ""))
+    if re.fullmatch(r"0[xX][0-9a-fA-F]+|0[bB][01]+|[1-9]\d*|0", plain):
+        return int(plain, 0)
+    return int(plain, 8) if re.fullmatch(r"0[0-7]+", plain) else None
+
+
+def constant(tokens: list[str], known: dict[str, int]) -> int | None:
+    """The value of an integer expression over literals and known members; None if it can't be told from the text."""
+    out, k = [], 0
+    while k < len(tokens):
+        t = tokens[k]
+        if t[0].isdigit() or t[0] == "'":
+            value = _number(t)
+        elif t[0].isalpha() or t[0] == "_":
+            while tokens[k + 1 : k + 2] == ["::"] and k + 2 < len(tokens):
+                k += 2
+            value = known.get(tokens[k], {"true": 1, "false": 0}.get(tokens[k]))
+        else:
+            out.append({"/": "//", "!": "not "}.get(t, t))
+            k += 1
+            continue
+        if value is None:
+            return None
+        out.append(f"({value})")
+        k += 1
+
+    def of(node: ast.AST) -> int:
+        if isinstance(node, ast.Expression):
+            return of(node.body)
+        if isinstance(node, ast.Constant) and isinstance(node.value, int):
+            return node.value
+        if isinstance(node, ast.UnaryOp):
+            return _UNARY[type(node.op)](of(node.operand))
+        if isinstance(node, ast.BinOp):
+            return _BINARY[type(node.op)](of(node.left), of(node.right))
+        raise ValueError(node)
+
+    try:
+        text = "".join(out).replace("< <", "<<").replace("> >", ">>")
+        return of(ast.parse(text, mode="eval"))
+    except (SyntaxError, ValueError, KeyError, ZeroDivisionError, OverflowError, RecursionError):
+        return None
+
+
+def enum_members(inner: str, first_line: int) -> list[tuple[str, int, str]]:
+    """(name, line, value) of each member of an enumeration's text between its braces, which begins on `first_line`.
+
+    A member without a value is one more than the one before; a value that can't be computed stays as written.
+    """
+    out: list[tuple[str, int, str]] = []
+    known: dict[str, int] = {}
+    part: list[tuple[str, int]] = []
+    depth, before, base = 0, -1, ""
+
+    def add() -> None:
+        nonlocal before, base
+        words = [w for w, _ in part]
+        while words[:1] == ["[["]:  # attributes
+            words = words[words.index("]]") + 1 :] if "]]" in words else []
+        name = next(((w, line) for w, line in part if words and w == words[0]), None)
+        if name is None or not re.match(r"[A-Za-z_]", name[0]):
+            return
+        if "=" in words:
+            given = words[words.index("=") + 1 :]
+            value = constant(given, known)
+            base, before = ("", value) if value is not None else ("".join(given), 0)
+        else:
+            before += 1
+        text = str(before) if not base else base if not before else f"{base} + {before}"
+        if not base:
+            known[name[0]] = before
+        out.append((name[0], name[1], text))
+
+    for m in _TOKEN.finditer(inner):
+        if m.lastgroup in ("comment", "pre"):
+            continue
+        w = m.group()
+        depth += (w in ("(", "{", "[")) - (w in (")", "}", "]"))
+        if w == "," and depth <= 0:
+            add()
+            part.clear()
+        else:
+            part.append((w, first_line + inner.count("\n", 0, m.start())))
+    add()
+    return out
+
+
+def declarations(text: str | None, linkage_blocks: bool = True) -> list[Declaration]:
+    """All declarations of one file, in their order; without those in `extern "C" { }` if linkage_blocks is off."""
     if not text:
         return []
     text = clean_lines(text)
@@ -207,6 +313,8 @@ def declarations(text: str | None) -> list[Declaration]:
         return Declaration("macro", m[1], line(at), line(end), "", True, comment, "", "", ("(" if m[2] else "") + re.sub(r"//.*|/\*.*?\*/", "", m[3], flags=re.S).strip())
 
     def add(kind: str, name: str, at: int, end: int, signature: str, definition: bool, bases: str = "", detail: str = "") -> None:
+        if len(scopes) > DEEPEST or (not linkage_blocks and ("extern", "") in scopes):
+            return
         ends = "\n".join(t.text for t in inside if text[t.end : t.end + 1] in ("\n", "") or t.text.startswith("//"))
         out.append(Declaration(kind, name, line(at), line(end), signature, definition, comment_before(), ends, bases, detail))
 
@@ -269,7 +377,7 @@ def declarations(text: str | None) -> list[Declaration]:
                 names = [w for w in words[words.index("enum") + 1 :] if w not in ("class", "struct")]
                 inner = text[t.end : tokens[close].start]
                 if names and names[0] != ":":
-                    add("enum", qualified(names[0]), t.start, tokens[close].end, "", True, "", inner)
+                    add("enum", qualified(names[0]), next(w.start for w in bare if w.text == names[0]), tokens[close].start, "", True, "", inner)
                 i = close
                 reset(tokens[i].end - 1)
             elif f := _function(bare):

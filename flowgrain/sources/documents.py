@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgrain.functions.text import decode
+from flowgrain.functions.text import decode, is_system_path
 
 _PARAMS = "array<struct<type:string,name:string>>"
 FUNCTION = f"struct<qualifiedName:string,location:struct<file:string,line:int,endLine:int>,parameters:{_PARAMS},params:{_PARAMS},callsIds:array<string>,calledByIds:array<string>,interfaceId:string,description:string>"
@@ -79,16 +79,27 @@ def read_knowledge(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def read_sources(spark: SparkSession, path: str, extensions: Iterable[str] = EXTENSIONS, excluded: Iterable[str] = EXCLUDED) -> DataFrame:
-    """`file` (below the path), `source_text` of the C++ files of a tree, ordered by path part by part.
+def source_paths(files: DataFrame, extensions: Iterable[str] = EXTENSIONS, excluded: Iterable[str] = EXCLUDED) -> DataFrame:
+    """The rows (file and more) whose path ends with an extension, whatever its case, and lies in no excluded or hidden directory."""
+    folders = F.slice(F.split("file", "/"), 1, F.size(F.split("file", "/")) - 1)
+    keep = F.lower(F.concat(F.lit("."), F.substring_index("file", ".", -1))).isin(*extensions)
+    return files.where(keep & ~F.exists(folders, lambda p: p.isin(*excluded) | p.startswith(".")) & ~is_system_path(F.col("file")))
+
+
+def read_sources(spark: SparkSession, path: str, extensions: Iterable[str] = EXTENSIONS, excluded: Iterable[str] = EXCLUDED, ordered: bool = False) -> DataFrame:
+    """`file` (below the path), `source_text` of the C++ files of a tree; only files of the given extensions are read.
 
     Directories that are excluded by name or begin with a dot are passed over, whatever their depth. Spark itself leaves out
-    files and directories whose name begins with an underscore or a dot.
+    files and directories whose name begins with an underscore or a dot. `ordered` sorts by path part by part; the operators
+    need no order, as places carry the path.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = F.regexp_replace(F.lit(path), "/+$", "")
-    full = F.regexp_replace("path", "^file:/*", "/")
-    inner = F.when(full.startswith(root), F.substring(full, F.length(root) + 2, F.lit(1 << 20))).otherwise(full)
-    keep = F.lower(F.concat(F.lit("."), F.substring_index(inner, ".", -1))).isin(*extensions)
-    folders = F.slice(F.split(inner, "/"), 1, F.greatest(F.size(F.split(inner, "/")) - 1, F.lit(0)))
-    return raw.select(inner.alias("file"), "content").where(keep & ~F.exists(folders, lambda p: p.isin(*excluded) | p.startswith("."))).select("file", decode(F.col("content")).alias("source_text")).orderBy(F.split("file", "/"))
+    any_case = lambda x: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x)
+    glob = "*{" + ",".join(any_case(x) for x in extensions) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    root = F.regexp_replace(F.lit(path), "^file:/*|/+$", "")
+    full = F.regexp_replace("path", "^file:/*", "")
+    root = F.regexp_replace(root, "^/", "")
+    inner = F.when(full.startswith(F.concat(root, F.lit("/"))), F.substring(full, F.length(root) + 2, F.lit(1 << 20))).otherwise(F.regexp_replace("path", "^file:/*", "/"))
+    kept = source_paths(raw.select(inner.alias("file"), "content"), extensions, excluded)
+    texts = kept.select("file", decode(F.col("content")).alias("source_text"))
+    return texts.orderBy(F.split("file", "/")) if ordered else texts

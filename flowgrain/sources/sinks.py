@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import os
+import textwrap
+from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,57 +28,102 @@ def totals(results: DataFrame) -> DataFrame:
     return results.rollup("source_file").agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("errors"))
 
 
-def file_documents(results: DataFrame, by_stem: bool = False) -> DataFrame:
-    """`name`, `document`: a JSON array of the results (source_file, ord, function_key, qualified_name, mermaid_script, error) of each file.
+def file_items(results: DataFrame, by_stem: bool = False) -> DataFrame:
+    """`name`, `ord`, `key`, `item`: the results (source_file, ord, function_key, qualified_name, mermaid_script, error) as rows of JSON documents, one document a file.
 
     by_stem names a document by the stem of its file alone, so that of files of one stem only the last by path is kept;
     else the name keeps the whole path.
     """
-    one = F.struct(F.col("function_key").alias("functionKey"), F.col("qualified_name").alias("qualifiedName"), F.col("mermaid_script").alias("mermaidScript"), F.nullif(F.col("error"), F.lit("")).alias("error"))
-    docs = results.groupBy("source_file").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", "function_key", one.alias("r")))), lambda x: x["r"])).alias("document"))
+    one = F.to_json(F.struct(F.col("function_key").alias("functionKey"), F.col("qualified_name").alias("qualifiedName"), F.col("mermaid_script").alias("mermaidScript"), F.nullif(F.col("error"), F.lit("")).alias("error")))
+    rows = results.select(F.concat("source_file", F.lit(".json")).alias("name"), "ord", F.col("function_key").alias("key"), one.alias("item"), "source_file")
     if by_stem:
-        return docs.groupBy(F.concat(stem(F.col("source_file")), F.lit(".json")).alias("name")).agg(F.max_by("document", "source_file").alias("document"))
-    return docs.select(F.concat(F.col("source_file"), F.lit(".json")).alias("name"), "document")
+        rows = rows.withColumn("name", F.concat(stem(F.col("source_file")), F.lit(".json")))
+        rows = rows.join(rows.groupBy("name").agg(F.max("source_file").alias("source_file")), ["name", "source_file"], "left_semi")
+    return rows.drop("source_file")
 
 
-def write_documents(docs: DataFrame, folder: str) -> None:
-    """Writes each document under its name, one task writing many, through the file system of the folder."""
-
-    def write(rows) -> None:  # noqa: ANN001
-        import os
-
-        for r in rows:
-            path = os.path.join(folder, r["name"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(json.dumps(json.loads(r["document"]), indent=2, ensure_ascii=False))
-
-    docs.foreachPartition(write)
-
-
-def summary_document(results: DataFrame) -> DataFrame:
-    """One row `document`: totals, and what each file gave, by path."""
+def summary_items(results: DataFrame) -> DataFrame:
+    """`name`, `ord`, `key`, `item` of the summary: a first row with the totals, then one for each file."""
     per_file = summary(results)
-    item = F.struct(F.col("source_file").alias("sourceFile"), F.col("ok").alias("flowchartsGenerated"), "errors")
-    total = per_file.agg(F.sum(F.col("ok") + F.col("errors")).alias("totalFunctions"), F.sum("errors").alias("totalErrors"), F.array_sort(F.collect_list(item)).alias("files"))
-    return total.select(F.to_json(F.struct("totalFunctions", "totalErrors", "files")).alias("document"))
-
-
-def knowledge_document(tables: dict[str, DataFrame], project_name: str, base_path: str) -> DataFrame:
-    """One row `document`: the symbol tables as a dictionary document; for exports, the tables themselves are kept as parquet."""
-    sections = {
-        "functions": F.struct(F.col("qualified_name").alias("qualifiedName"), "signature", "file", "line", "comment"),
-        "macros": F.struct("name", "value", "file", "comment"),
-        "typedefs": F.struct("name", "underlying", "file", "comment"),
-    }
-    out = None
-    for name, value in sections.items():
-        key = "qualified_name" if name == "functions" else "name"
-        part = tables[name].agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))))).alias(name))
-        out = part if out is None else out.join(part)
-    values = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name", "value", "comment"))), lambda x: F.struct(x["name"], F.struct(x["value"].alias("value"), x["comment"].alias("comment")))))
-    enums = tables["enum_values"].groupBy("enum").agg(values.alias("values")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("enum", F.struct(F.col("enum").alias("qualifiedName"), F.to_json("values").alias("values")))))).alias("enums"))
-    return out.join(enums).select(F.to_json(F.struct(F.lit(project_name).alias("project_name"), F.lit(base_path).alias("base_path"), "functions", "enums", "macros", "typedefs")).alias("document"))
+    total = per_file.agg(F.sum(F.col("ok") + F.col("errors")).alias("totalFunctions"), F.sum("errors").alias("totalErrors"))
+    head = total.select(F.lit(0).alias("ord"), F.lit("").alias("key"), F.to_json(F.struct(F.coalesce("totalFunctions", F.lit(0)).alias("totalFunctions"), F.coalesce("totalErrors", F.lit(0)).alias("totalErrors"))).alias("item"))
+    files = per_file.select(F.lit(1).alias("ord"), F.col("source_file").alias("key"), F.to_json(F.struct(F.col("source_file").alias("sourceFile"), F.col("ok").alias(COUNTED), "errors")).alias("item"))
+    return head.unionByName(files).select(F.lit("_summary.json").alias("name"), "ord", "key", "item")
+
+
+def knowledge_items(tables: dict[str, DataFrame], project_name: str, base_path: str) -> DataFrame:
+    """`name`, `ord`, `key`, `item` of the symbol dictionary: rows of the sections functions, enums, macros and typedefs, by name."""
+    text = lambda *names: [F.coalesce(F.col(a), F.lit("")).alias(b) for a, b in names]
+    member = F.struct(F.col("name").alias("k"), F.struct("value", "comment").alias("v"))
+    values = tables["enum_values"].groupBy("enum").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", member.alias("m")))), lambda x: x["m"]).alias("m"))
+    enums = tables["enums"].select("name", "file", "comment").join(values, F.col("name") == F.col("enum"))
+    sections = (
+        ("functions", tables["functions"].select(F.col("qualified_name").alias("key"), F.to_json(F.struct(*text(("qualified_name", "qualifiedName"), ("signature", "signature"), ("file", "file")), "line", *text(("comment", "comment")))).alias("item"))),
+        ("enums", enums.select(F.col("name").alias("key"), F.to_json(F.struct(*text(("name", "qualifiedName"), ("file", "file"), ("comment", "comment")), F.map_from_entries("m").alias("values"))).alias("item"))),
+        ("macros", tables["macros"].select(F.col("name").alias("key"), F.to_json(F.struct(*text(("name", "name"), ("value", "value"), ("file", "file"), ("comment", "comment")))).alias("item"))),
+        ("typedefs", tables["typedefs"].select(F.col("name").alias("key"), F.to_json(F.struct(*text(("name", "name"), ("underlying", "underlying"), ("file", "file"), ("comment", "comment")))).alias("item"))),
+    )
+    head = F.to_json(F.struct(F.lit(project_name).alias("project_name"), F.lit(base_path).alias("base_path")))
+    out = next(iter(tables.values())).sparkSession.range(1).select(F.lit(0).alias("ord"), F.lit("").alias("key"), head.alias("item"))
+    for n, (_, rows) in enumerate(sections, 1):
+        out = out.unionByName(rows.select(F.lit(n).alias("ord"), "key", "item"))
+    return out.select(F.lit("project_knowledge.json").alias("name"), "ord", "key", "item")
+
+
+SECTIONS = ("functions", "enums", "macros", "typedefs")
+#: Fixed value: the field of a summary's file that counts the charts made.
+COUNTED = "flowchartsGenerated"
+
+
+def _list(items: Iterator) -> Iterator[str]:
+    """A document that is one array."""
+    for n, r in enumerate(items):
+        yield ("[\n" if not n else ",\n") + textwrap.indent(json.dumps(json.loads(r["item"]), indent=2, ensure_ascii=False), "  ")
+    yield "\n]"
+
+
+def _summary(items: Iterator) -> Iterator[str]:
+    yield json.dumps(json.loads(next(items)["item"]), indent=2)[:-2] + ',\n  "files": ['
+    for n, r in enumerate(items):
+        yield (",\n" if n else "\n") + textwrap.indent(json.dumps(json.loads(r["item"]), indent=2, ensure_ascii=False), "    ")
+    yield "\n  ]\n}"
+
+
+def _dictionary(items: Iterator) -> Iterator[str]:
+    yield json.dumps(json.loads(next(items)["item"]), indent=2, ensure_ascii=False)[:-2]
+    section, row = 0, next(items, None)
+    for section, name in enumerate(SECTIONS, 1):
+        yield f',\n  "{name}": {{'
+        first = True
+        while row is not None and row["ord"] == section:
+            yield ("" if first else ",") + "\n    " + json.dumps(row["key"], ensure_ascii=False) + ": " + json.dumps(json.loads(row["item"]), ensure_ascii=False)
+            first, row = False, next(items, None)
+        yield "}" if first else "\n  }"
+    yield "\n}"
+
+
+FORMS = {"list": _list, "summary": _summary, "dictionary": _dictionary}
+
+
+def write_documents(items: DataFrame, folder: str, form: str = "list") -> None:
+    """Writes the documents of items (name, ord, key, item) below a folder, given by a path or by a URL of any file system that pyarrow knows.
+
+    The rows of a document go in order through one task, item by item, without being held together. On a cluster the folder
+    has to be one that all executors share.
+    """
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shape = FORMS[form]
+
+    def write(rows: Iterator) -> None:
+        files, path = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        for name, own in itertools.groupby(rows, key=lambda r: r["name"]):
+            target = f"{path.rstrip('/')}/{name}"
+            files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with files.open_output_stream(target) as out:
+                for text in shape(own):
+                    out.write(text.encode("utf-8"))
+
+    items.repartition(parts, "name").sortWithinPartitions("name", "ord", "key").foreachPartition(write)
 
 
 def content_key(content: str) -> str:

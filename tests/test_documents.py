@@ -24,13 +24,13 @@ def test_sources_and_cli(spark, tmp_path):
     for name in ("src/a.cpp", "src/B.HPP", "build/c.cpp", ".git/d.cpp", "src/e.txt", "src/z/a.cc"):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(CODE.encode() + b"// \xff\n")
-    got = documents.read_sources(spark, str(root)).collect()
+    got = documents.read_sources(spark, str(root), ordered=True).collect()
     assert [r.file for r in got] == ["src/B.HPP", "src/a.cpp", "src/z/a.cc"]
     assert "�" in got[0].source_text
     index = tmp_path / "f.json"
     index.write_text(INDEX)
     out = tmp_path / "out"
-    assert main(["charts", str(index), "--base-path", str(root), "--out", str(out), "--cache", str(tmp_path / "cache")]) == 0
+    assert main(["charts", str(index), "--base-path", str(root), "--out", f"file://{out}", "--cache", str(tmp_path / "cache")]) == 0
     doc = json.loads((out / "src/a.cpp.json").read_text())
     assert doc[0]["functionKey"] == "src|a|n::f|int" and "N3[" in doc[0]["mermaidScript"] and "error" not in doc[0]
     summary = json.loads((out / "_summary.json").read_text())
@@ -42,12 +42,36 @@ def test_sources_and_cli(spark, tmp_path):
     assert [r.qualified_name for r in known["functions"].collect()] == ["f"]
 
 
+def test_dictionary_document(spark, tmp_path):
+    """The symbol tables come back from their document, with comments and files of enumerations."""
+    code = "// Ways.\nenum Mode {  // all\n\n ON, // on\n OFF = 4 // off\n };  \n#define LIMIT 12 // most\nusing Id = long;\nint f(); // told\n"
+    tables = pipeline.knowledge(spark.createDataFrame([("a.h", code)], "file string, source_text string"))
+    sinks.write_documents(sinks.knowledge_items(tables, "p", "/base"), f"file://{tmp_path}", "dictionary")
+    document = json.loads((tmp_path / "project_knowledge.json").read_text())
+    assert (document["project_name"], document["base_path"], set(document)) == ("p", "/base", {"project_name", "base_path", "functions", "enums", "macros", "typedefs"})
+    assert document["enums"] == {"Mode": {"qualifiedName": "Mode", "file": "a.h", "comment": "Ways.", "values": {"ON": {"value": "0", "comment": "on"}, "OFF": {"value": "4", "comment": "off"}}}}
+    back = documents.read_knowledge(spark, str(tmp_path / "project_knowledge.json"))
+    assert [(r.enum, r.name, r.value) for r in back["enum_values"].orderBy("ord").collect()] == [("Mode", "ON", "0"), ("Mode", "OFF", "4")]
+    assert [tuple(r) for r in back["macros"].select("name", "value", "comment").collect()] == [("LIMIT", "12", "most")]
+    from flowgrain.operators import scan
+
+    assert {r.kind: r.n for r in scan.stats(tables).collect()} == {"functions": 1, "enums": 1, "macros": 1, "typedefs": 1}
+    none = {k: t.where("false") for k, t in tables.items()}
+    sinks.write_documents(sinks.knowledge_items(none, "p", "."), str(tmp_path / "none"), "dictionary")
+    assert json.loads((tmp_path / "none/project_knowledge.json").read_text())["macros"] == {}
+
+
+def test_object_of_a_reply():
+    assert labeling.first_object('x {"a": "}"} {"b": 1}') == '{"a": "}' and labeling.first_object("```json\n{}\n```{") == "{}"
+    assert labeling.first_object("none") is None and labeling.first_object("{ {") is None
+
+
 def test_stems_and_key(spark):
     rows = [("a/x.cpp", 1, "k1", "f", "s", None), ("b/x.h", 1, "k2", "g", "", "bad")]
     r = spark.createDataFrame(rows, "source_file string, ord int, function_key string, qualified_name string, mermaid_script string, error string")
-    by_stem = sinks.file_documents(r, by_stem=True).collect()
-    assert [d.name for d in by_stem] == ["x.json"] and json.loads(by_stem[0].document) == [{"functionKey": "k2", "qualifiedName": "g", "mermaidScript": "", "error": "bad"}]
-    assert {d.name for d in sinks.file_documents(r).collect()} == {"a/x.cpp.json", "b/x.h.json"}
+    by_stem = sinks.file_items(r, by_stem=True).collect()
+    assert [d.name for d in by_stem] == ["x.json"] and json.loads(by_stem[0]["item"]) == {"functionKey": "k2", "qualifiedName": "g", "mermaidScript": "", "error": "bad"}
+    assert {d.name for d in sinks.file_items(r).collect()} == {"a/x.cpp.json", "b/x.h.json"}
     assert sinks.content_key('{"b": 1, "a": 2}') == sinks.content_key('{"a":2,\n"b":1}')
 
 

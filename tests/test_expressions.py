@@ -84,3 +84,14 @@ def test_enum_summary(spark):
     values = [("a%d" % i, str(i), "") for i in range(9)]
     got = ask(spark, lambda c: labels.enum_summary(F.lit("kinds"), c), values, "array<struct<name:string,value:string,comment:string>>")
     assert got == "kinds; values: a0=0, a1=1, a2=2, a3=3, a4=4, a5=5, a6=6, a7=7;   ... and 1 more"
+
+
+def test_plain_paths(spark):
+    from flowgrain.functions.text import plain_path
+
+    deep = "/".join("abcdefghijkl") + "/.." * 10 + "/x.h"
+    cases = {"A/./B//c.h": "a/b/c.h", deep: "a/b/x.h", "../../a/../b.h": "../../b.h", "/../x": "/x", "/a/b/../../c": "/c", r"A\\B\\..\\c": "a/c", "": "", "./x": "x"}
+    df = spark.createDataFrame([(k.replace("\\\\", "\\"), v) for k, v in cases.items()], "p string, want string")
+    from pyspark.sql import functions as F
+
+    assert [(r.p, r.got) for r in df.select("p", "want", plain_path(F.col("p")).alias("got")).where("got != want").collect()] == []

@@ -60,3 +60,23 @@ def test_cursor_far_above(spark):
     cursors = spark.createDataFrame([("s.cpp", "n::run", 401, 600, True, 1), ("s.cpp", "n::walk", 275, 280, True, 2), ("s.cpp", "n::far", 925, 926, True, 3), ("s.cpp", "n::gone", 874, 880, True, 4), ("s.cpp", "n::edge", 149, 160, True, 5)], "file string, name string, line int, end_line int, is_definition boolean, visit_ord int")
     got = {r.function_key: (r.tier, r.line) for r in resolve_cursors(entries, cursors).collect()}
     assert got == {"a": (2, 401), "b": (3, 275), "c": (3, 925), "e": (3, 149)}
+
+
+def test_callees_from_sources(spark):
+    """The third tier: a source file that the key points to, by the order of extensions; heads of any length."""
+    long_head = "int far(\n" + "".join(f"    int a{i},\n" for i in range(20)) + "    int z)\n{\n}\n"
+    files = spark.createDataFrame([("src/a.h", "/** In the header. */\nint near(int x);\n"), ("src/a.hpp", "int near() {}\n"), ("src/b.cc", "// Far\n\n// away.\n" + long_head), ("src/c.cpp", None)], "file string, source_text string")
+    entries = spark.createDataFrame([("k", "n::k", ["src|a|n::near|int", "src|b|far|", "src|c|gone|", "src|a", "src|b|n::none|"])], "function_key string, qualified_name string, calls_ids array<string>").selectExpr("*", "cast(null as array<struct<type:string,name:string>>) params", "'' as description")
+    got = {r.ord: (r.signature, r.description) for r in lookups.resolve_callees(entries, files=files).collect()}
+    assert set(got) == {0, 1} and got[0] == ("int near(int x);", "") and got[1][1] == "away."
+    assert got[1][0].startswith("int far( int a0, int a1,") and got[1][0].endswith("int a19, int z)")
+    assert lookups.resolve_callees(entries).count() == 0
+
+
+def test_type_context(spark):
+    from flowgrain.plans.pipeline import knowledge, type_context
+
+    files = spark.createDataFrame([("a.h", "// Ways to go.\nenum Mode { ON, OFF };\nusing Id = unsigned long;\n")], "file string, source_text string")
+    entries = spark.createDataFrame([("k", [("const n::Mode&", "m"), ("Id", "i"), ("int", "x")]), ("l", [])], "function_key string, params array<struct<type:string,name:string>>")
+    got = {r.function_key: r.types for r in type_context(entries.withColumn("params", F.expr("transform(params, p -> struct(regexp_replace(p.type, '^const ', '') as type, p.name as name))")), knowledge(files)).collect()}
+    assert got == {"k": "  Mode (enum): Ways to go.; values: ON=0 (Ways to go.), OFF=1 (Ways to go.)\n  Id → unsigned long"}

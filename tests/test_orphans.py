@@ -28,3 +28,14 @@ def test_empty_and_hot(spark):
     assert broken_references(spark.createDataFrame([], SCHEMA), library).count() == 0
     rows = [(f"k{i}", ["hot"] * 3, None, t(2031, 1, 1), None, "") for i in range(500)]
     assert broken_references(spark.createDataFrame(rows, SCHEMA), library).count() == 500
+
+
+def test_hot_keys_are_dealt_out(spark):
+    from flowgrain.operators.orphans import spread_join
+
+    children = spark.createDataFrame([(f"c{i}", "calls_ids", "hot" if i % 3 else f"k{i}") for i in range(300)], "function_key string, ref_field string, ref_key string")
+    suspects = children.groupBy("ref_key").count().withColumnRenamed("count", "n")
+    plain = sorted(map(tuple, children.join(suspects, "ref_key").select("function_key", "ref_key", "n").collect()))
+    dealt = spread_join(children, suspects, each=20)
+    assert sorted(map(tuple, dealt.select("function_key", "ref_key", "n").collect())) == plain
+    assert spread_join(children.where("false"), suspects.where("false")).count() == 0
