@@ -5,8 +5,13 @@ Method: a weighted disjoint-set forest. Links of nodes with a single parent are
 together and a hot module is split). Local roots whose own parent lies in another partition are then merged by
 joining the contracted links with themselves, which doubles the span of every pointer, so that the rounds grow with
 the logarithm of the depth and only contracted links are shuffled. Nodes with several parents, with a link to
-themselves, or elected on a circle of single-parent links start trees of their own ("heads"); the much smaller graph
-between heads is trimmed and coloured to find circles. Paths and marks follow indexed parent jumps of 1, 2, 4, ...
+themselves, or elected on a circle of single-parent links start trees of their own ("heads"). The graph between heads, which
+is large where most keys have several callers, is contracted further: in each round an independent set of heads with few
+links is taken out, and their callers are linked to their callees instead, which keeps all ways and adds no links. Each
+round takes a share of the graph, however long it is, so that rounds grow with the logarithm of its size. What is left is
+solved in one task once it has at most `LOCAL` links; a core that is too dense for it and larger than that is
+trimmed and coloured, in rounds that follow the core's own length. Circles and what lies below them are then carried back to the heads
+taken out, in reverse order. Paths and marks follow indexed parent jumps of 1, 2, 4, ...
 links. Nothing is gathered on the driver but row counts.
 
 Defined results: white space in keys is ignored, links to unknown keys, null and blank references are no links,
@@ -27,6 +32,13 @@ from pyspark.sql import functions as F
 from flowgrain.operators.orphans import squeeze
 from flowgrain.session import cut
 
+#: Links of the contracted graph between heads that one task solves, at most.
+LOCAL = 400_000
+#: A head may be taken out if that adds at most so many links, or no more than it has.
+FILL = 16
+#: The contraction ends when a round takes out less than this share of the heads, or when links have grown to so many times what they were.
+TAKES, GROWN = 0.02, 3
+
 
 def call_links(entries: DataFrame, key: str = "function_key", calls: str = "calls_ids", called_by: str = "called_by_ids") -> tuple[DataFrame, DataFrame]:
     """`nodes` (id, key), ids in the order of the keys, and the distinct `links` (parent, child) between nodes.
@@ -134,6 +146,125 @@ def _circles(edges: DataFrame) -> DataFrame | None:
     return found
 
 
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, circle) of the ids of a bounded graph of links (a, h) that are on a circle, and those below one with a null circle; the label is a circle's smallest id."""
+    rows = [b for b in batches if len(b)]
+    if not rows:
+        return
+    df = pd.concat(rows, ignore_index=True)
+    ids, ends = np.unique(df[["a", "h"]].to_numpy().ravel(), return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    n = len(ids)
+    order = np.argsort(ends[:, 0], kind="stable")
+    to, first = ends[order, 1], np.searchsorted(ends[order, 0], np.arange(n + 1))
+    index, low, part = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64), np.full(n, -9, dtype=np.int64)
+    on, stack, clock = np.zeros(n, dtype=bool), [], 0
+    for root in range(n):  # strongly connected components, depth first without recursion
+        if index[root] >= 0:
+            continue
+        work = [(root, first[root])]
+        while work:
+            v, k = work.pop()
+            if k == first[v]:
+                index[v] = low[v] = clock
+                clock += 1
+                stack.append(v)
+                on[v] = True
+            elif on[to[k - 1]]:
+                low[v] = min(low[v], low[to[k - 1]])
+            while k < first[v + 1]:
+                w = to[k]
+                k += 1
+                if index[w] < 0:
+                    work += [(v, k), (w, first[w])]
+                    break
+                if on[w]:
+                    low[v] = min(low[v], index[w])
+            else:
+                if low[v] == index[v]:
+                    members = []
+                    while True:
+                        w = stack.pop()
+                        on[w] = False
+                        members.append(w)
+                        if w == v:
+                            break
+                    if len(members) > 1 or (to[first[v] : first[v + 1]] == v).any():
+                        part[members] = ids[members].min()
+    dirty, todo = part > -9, np.flatnonzero(part > -9).tolist()
+    while todo:
+        v = todo.pop()
+        for w in to[first[v] : first[v + 1]].tolist():
+            if not dirty[w]:
+                dirty[w] = True
+                todo.append(w)
+    at = np.flatnonzero(dirty)
+    yield pd.DataFrame({"id": ids[at], "circle": pd.Series(part[at], dtype="Int64").mask(part[at] == -9)})
+
+
+def _spoiled(edges: DataFrame, local: int | None = None) -> DataFrame | None:
+    """(id, circle) of the heads on a circle of links (a, h), and of those below one with a null circle; None if there is no circle."""
+    local = LOCAL if local is None else local
+    whole = cut(edges.select("a", "h").distinct())
+    loops, left = whole.where("a = h").select(F.col("a").alias("id")), whole.where("a != h")
+    n, gone = left.count(), []
+    most = GROWN * n
+    fed = loops.where("false")  # callees of what was taken out on or below a circle
+    while n > local:
+        ends = left.select(F.col("a").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionAll(left.select(F.col("h").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+        light = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where(f"i * o <= i + o or i * o <= {FILL}").select("id", F.struct(F.xxhash64("id", F.lit(len(gone))).alias("turn"), "id").alias("turn"))
+        of = lambda c: light.select(F.col("id").alias(c), F.col("turn").alias(f"{c}_turn"))  # noqa: B023, E731
+        beaten = left.join(of("a"), "a").join(of("h"), "h").select(F.when(F.col("a_turn") > F.col("h_turn"), F.col("h")).otherwise(F.col("a")).alias("id"))
+        picked = cut(light.select("id").join(beaten, "id", "left_anti"))
+        up = left.join(picked.select(F.col("id").alias("h")), "h", "left_semi").select(F.col("h").alias("id"), F.col("a").alias("p"))
+        down = left.join(picked.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("a").alias("id"), F.col("h").alias("c"))
+        stay = left.join(picked.select(F.col("id").alias("a")), "a", "left_anti").join(picked.select(F.col("id").alias("h")), "h", "left_anti").select("a", "h")
+        now = cut(stay.unionAll(up.join(down, "id").select(F.col("p").alias("a"), F.col("c").alias("h"))).distinct())
+        gone.append((picked, up, down))
+        fed = cut(fed.unionByName(down.join(loops.unionByName(fed), "id", "left_semi").select(F.col("c").alias("id"))).distinct())
+        loops, left = loops.unionByName(now.where("a = h").select(F.col("a").alias("id"))), now.where("a != h")
+        n = left.count()
+        heads = left.select("a").union(left.select("h")).distinct().count() if n else 0
+        if n > most or picked.count() < TAKES * heads:
+            break
+    loops = cut(loops.distinct())
+    if n <= local:
+        # what is fed hangs below a circle of its own, -1
+        own = left.unionAll(loops.select(F.col("id").alias("a"), F.col("id").alias("h"))).unionAll(fed.select(F.lit(-1).cast("long").alias("a"), F.explode(F.array(F.col("id"), F.lit(-1).cast("long"))).alias("h")).distinct())
+        known = cut(own.repartition(1).mapInPandas(_solve, "id long, circle long").where("id >= 0"))
+    else:
+        known = _dense(left, loops, fed)
+    if known.isEmpty():
+        return None
+    for picked, up, down in reversed(gone):
+        circle = known.where("circle is not null")
+        above = up.join(circle.select(F.col("id").alias("p"), "circle"), "p").select("id", "circle")
+        below = down.join(circle.select(F.col("id").alias("c"), "circle"), "c").select("id", "circle")
+        on = above.join(below, ["id", "circle"], "left_semi").distinct()
+        under = up.join(known.select(F.col("id").alias("p")), "p", "left_semi").select("id", F.lit(None).cast("long").alias("circle"))
+        alone = loops.join(picked, "id", "left_semi").select("id", F.col("id").alias("circle"))
+        under = under.unionByName(fed.join(picked, "id", "left_semi").select("id", F.lit(None).cast("long").alias("circle")))
+        found = on.select("id", "circle", F.lit(0).alias("r")).unionAll(alone.select("id", "circle", F.lit(1).alias("r"))).unionAll(under.distinct().select("id", "circle", F.lit(2).alias("r")))
+        best = found.groupBy("id").agg(F.min_by("circle", "r").alias("circle"))
+        # ids that were put among the known because of a link to themselves are told anew
+        known = cut(known.join(picked, "id", "left_anti").unionByName(best))
+    return known
+
+
+def _dense(left: DataFrame, loops: DataFrame, fed: DataFrame) -> DataFrame:
+    """The same for a core that is too large for one task, by trimming, colouring and rounds along its links."""
+    circles = _circles(left)
+    alone = loops.select("id", F.col("id").alias("circle"))
+    known = alone if circles is None else circles.unionByName(alone.join(circles, "id", "left_anti"))
+    known = known.unionByName(fed.join(known, "id", "left_anti").select("id", F.lit(None).cast("long").alias("circle")))
+    known = fresh = cut(known)
+    while True:
+        fresh = cut(left.join(fresh.select(F.col("id").alias("a")), "a").select(F.col("h").alias("id")).distinct().join(known, "id", "left_anti").withColumn("circle", F.lit(None).cast("long")))
+        if fresh.isEmpty():
+            return known
+        known = cut(known.unionByName(fresh))
+
+
 @dataclass
 class Hierarchy:
     """nodes (id, key); links (parent, child); levels (id, root, level): level -1 on, -2 below a circle, root then null;
@@ -170,10 +301,10 @@ def resolve(nodes: DataFrame, links: DataFrame) -> Hierarchy:
     heads = dirty.where("id = root").select(F.col("id").alias("h"))
     into_heads = links.select(F.col("parent").alias("u"), F.col("child").alias("h")).join(heads, "h", "left_semi")
     edges = cut(into_heads.join(dirty.select(F.col("id").alias("u"), F.col("root").alias("a")), "u"))
-    circles = _circles(edges)
-    alone = edges.where("a = h").select(F.col("a").alias("id"), F.col("a").alias("circle")).distinct()
-    head_circle = alone if circles is None else circles.unionByName(alone.join(circles, "id", "left_anti"))
-    head_circle = cut(head_circle)
+    spoiled = _spoiled(edges)
+    if spoiled is None:
+        spoiled = no_circle
+    head_circle = spoiled.where("circle is not null")
     of = lambda c: head_circle.select(F.col("id").alias(c), F.col("circle").alias(f"{c}_circle"))
     closing = edges.join(of("a"), "a").join(of("h"), "h").where("a_circle = h_circle").select(F.col("u").alias("id"))
 
@@ -190,14 +321,7 @@ def resolve(nodes: DataFrame, links: DataFrame) -> Hierarchy:
         marks = cut(marks.unionByName(marks.join(jump, "id").select(F.col("up").alias("id"))).distinct())
     on = cut(inside.join(marks, "id", "left_semi").select("id", "circle"))
 
-    # heads below circles
-    ways = cut(edges.where("a != h").select("a", "h").distinct())
-    reached = fresh = head_circle.select("id")
-    while True:
-        fresh = cut(ways.join(fresh.select(F.col("id").alias("a")), "a").select(F.col("h").alias("id")).distinct().join(reached, "id", "left_anti"))
-        if fresh.isEmpty():
-            break
-        reached = cut(reached.unionByName(fresh))
+    reached = spoiled.select("id")
     bad = dirty.join(reached.select(F.col("id").alias("root")), "root", "left_semi").select("id")
     stuck = bad.join(on.select("id", F.lit(-1).alias("level")), "id", "left").select("id", F.lit(None).cast("long").alias("root"), F.coalesce("level", F.lit(-2)).alias("level"))
 
@@ -220,7 +344,7 @@ def levels(h: Hierarchy) -> DataFrame:
 
 
 def paths(h: Hierarchy) -> DataFrame:
-    """`function_key`, `root_key`, `level_no`, `path` (root first) of each key that is neither on nor below a circle.
+    """`function_key`, `root_key`, `level_no`, `path` (root first) of each key; on and below circles the path is empty.
 
     Each round puts the path of the key that a path starts below before it, which doubles its length.
     """
@@ -230,7 +354,8 @@ def paths(h: Hierarchy) -> DataFrame:
         t = p.select(F.col("id").alias("t"), F.col("up").alias("next"), F.col("path").alias("above"))
         more = p.where("up is not null").join(t, F.col("up") == F.col("t"))
         p = cut(more.select("id", "level", F.col("next").alias("up"), F.concat("above", "path").alias("path")).unionByName(p.where("up is null").select("id", "level", "up", "path")))
-    return p.select(F.element_at("path", -1).alias("function_key"), F.col("path")[0].alias("root_key"), F.col("level").cast("int").alias("level_no"), "path")
+    rest = h.levels.where("level < 0").join(h.nodes, "id").select(F.col("key").alias("function_key"), F.lit("").alias("root_key"), F.col("level").cast("int").alias("level_no"), F.array().cast("array<string>").alias("path"))
+    return p.select(F.element_at("path", -1).alias("function_key"), F.col("path")[0].alias("root_key"), F.col("level").cast("int").alias("level_no"), "path").unionByName(rest)
 
 
 def descendants(h: Hierarchy) -> DataFrame:

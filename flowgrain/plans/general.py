@@ -84,7 +84,7 @@ union all select k, '', -1 from c union all select k, '', -2 from below""",
     "p2_paths": f"""{_ROOTS}
 select lev.k function_key, lev.root_key, lev.level_no,
   (select string_agg(x.k, ' > ' order by x.level_no) from lev x where x.k = lev.k or exists (select 1 from r where r.a = x.k and r.b = lev.k)) path
-from lev""",
+from lev union all select k, '', -1, '' from c union all select k, '', -2, '' from below""",
     "p5_found": f"{_BROKEN} select function_key, ref_field, ref_key, reason from b where reason is not null",
     "p5_report": f"""{_BROKEN} select date_trunc('month', loaded)::timestamp as period, ref_field, reason, count(*) n_references, count(distinct ref_key) n_ref_keys
 from b where reason is not null group by 1, 2, 3""",

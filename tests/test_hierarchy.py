@@ -65,7 +65,44 @@ def test_random_graphs(spark, seed):
     assert got == want
     assert got_pairs == pairs
     assert got_loops == loops
-    assert {k: (p[0], len(p) - 1) for k, p in paths.items()} == {k: v for k, v in want.items() if v[1] >= 0}
+    assert {k: (p[0] if p else "", len(p) - 1) for k, p in paths.items()} == {k: v if v[1] >= 0 else ("", -1) for k, v in want.items()}
+
+
+def spoiled(edges):
+    """Plain version of what `_spoiled` gives: the circle of each id by its members, or None below one."""
+    ids = {x for e in edges for x in e}
+    found, _, _ = solve([(str(a), str(b)) for a, b in edges], [str(i) for i in ids])
+    return {int(k): v[1] == -1 for k, v in found.items() if v[1] < 0}
+
+
+@pytest.mark.parametrize(("seed", "local"), [(1, 0), (2, 20), (3, 1000)])
+def test_contraction(spark, seed, local):
+    """Circles of the graph between heads, contracted to nothing, to a small core, and not at all."""
+    r = random.Random(seed)
+    edges = {(r.randrange(40), r.randrange(40)) for _ in range([30, 44, 60, 60][seed])}
+    if seed == 1:
+        edges |= {(i, i + 1) for i in range(50, 70)} | {(70, 50), (60, 90), (91, 55)}
+    got = h._spoiled(spark.createDataFrame(sorted(edges), "a long, h long"), local)
+    found = {x.id: x.circle for x in got.collect()} if got is not None else {}
+    want = spoiled(edges)
+    assert {k: v is not None for k, v in found.items()} == want
+    out = {k: {b for a, b in edges if a == k} for k in found}
+    _, pairs, _ = solve([(str(a), str(b)) for a, b in edges], [str(x) for e in edges for x in e])
+    assert all((found[a] == found[b]) == ((str(a), str(b)) in pairs and (str(b), str(a)) in pairs) for a in out for b in out if a != b and want[a] and want[b])
+
+
+def test_long_graph_with_two_callers_each(spark, monkeypatch):
+    """A graph of 100,000 levels in which each key has two callers is contracted in rounds that take a share of it each.
+
+    Its length would need 100,000 rounds of trimming; here each checkpoint is counted, three a round.
+    """
+    n, rounds, was = 100_000, [], h.cut
+    edges = spark.range(2, n).select(F.explode(F.array(F.col("id") - 1, F.col("id") - 2)).alias("a"), F.col("id").alias("h"))
+    edges = edges.unionAll(spark.createDataFrame([(n - 1, n // 2)], "a long, h long"))
+    monkeypatch.setattr(h, "cut", lambda df: rounds.append(1) or was(df))
+    c = h._spoiled(edges, 120_000).agg(F.count("*"), F.count("circle"), F.countDistinct("circle"), F.min("id")).first()
+    assert tuple(c) == (n // 2, n // 2, 1, n // 2)
+    assert len(rounds) < 40
 
 
 def test_long_chain_and_ring(spark):
