@@ -2,8 +2,8 @@
 
 Method: pattern packing. Token counts are reduced to a histogram, which has at most `capacity` entries whatever the
 data. Patterns of one to three lengths are enumerated, how often each is used is fitted to the histogram by
-non-negative least squares, rounded down, and what is left over is packed best fit first, many equal containers at
-a time. Texts then take their places by their rank among the texts of their length; ranks are counted in salted
+non-negative least squares and rounded one pattern after the other, the most used first, while the texts last; what is
+left over is packed best fit first, many equal containers at a time. Texts then take their places by their rank among the texts of their length; ranks are counted in salted
 parts, so that one frequent length is spread over many tasks.
 
 Defined results: a text above the capacity is split into full containers and a remainder, no other text is split;
@@ -43,13 +43,15 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     largest = np.zeros(capacity + 1, dtype=np.int64)
     largest[lengths] = lengths
     largest = np.maximum.accumulate(largest)
-    a, b = np.meshgrid(lengths, lengths, indexing="ij")
-    a, b = a[(a >= b) & (a + b <= capacity)], b[(a >= b) & (a + b <= capacity)]
-    c = np.minimum(largest[capacity - a - b], b)
-    rows = np.stack([a, b, c], axis=1)
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    for a in lengths.tolist():  # one longest text at a time, so that only patterns that are kept are held together
+        b = lengths[: np.searchsorted(lengths, min(a, capacity - a), side="right")]
+        c = np.minimum(largest[capacity - a - b], b)
+        full = a + b + c >= capacity - SLACK
+        found.append(np.stack([np.full(int(full.sum()), a), b[full], c[full]], axis=1))
     ones = np.stack([lengths, np.zeros_like(lengths), np.zeros_like(lengths)], axis=1)
     pairs = np.stack([lengths, np.minimum(largest[capacity - lengths], lengths), np.zeros_like(lengths)], axis=1)
-    rows = np.concatenate([ones, pairs, rows])
+    rows = np.concatenate([ones, pairs, *found])
     return np.unique(rows[rows.sum(axis=1) >= capacity - SLACK], axis=0)
 
 
@@ -80,17 +82,21 @@ def plan(histogram: np.ndarray, capacity: int) -> list[Group]:
     if not len(lengths):
         return groups
     rows = patterns(lengths, capacity).reshape(-1, 3)
-    counts = np.floor(fit(left, rows, capacity)).astype(np.int64)
-    for row, n in sorted(zip(rows[counts > 0].tolist(), counts[counts > 0].tolist()), key=lambda t: (-sum(t[0]), t)):
+    counts = fit(left, rows, capacity)
+    # the fit spreads counts over many patterns of which few come to one each; so they are rounded one after the other,
+    # the largest first, up to the next whole number as long as the texts last
+    for k in np.lexsort((-rows.sum(axis=1), -counts)).tolist():
+        if counts[k] <= 0:
+            break
         content: dict[int, int] = defaultdict(int)
-        for length in row:
+        for length in rows[k].tolist():
             if length:
                 content[length] += 1
-        n = min([n, *(left[k] // m for k, m in content.items())])
+        n = min([int(np.ceil(counts[k])), *(int(left[x] // m) for x, m in content.items())])
         if n > 0:
-            groups.append((dict(content), int(n)))
-            for k, m in content.items():
-                left[k] -= n * m
+            groups.append((dict(content), n))
+            for x, m in content.items():
+                left[x] -= n * m
     room: dict[int, list[Group]] = defaultdict(list)
     for g in groups:
         room[capacity - sum(k * m for k, m in g[0].items())].append(g)

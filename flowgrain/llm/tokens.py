@@ -38,6 +38,8 @@ class PieceTable(dict):
         super().__init__()
         self.ranks, self.names = ranks, {i: b for b, i in ranks.items()}
         self.starts = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
+        self.longest = max(map(len, ranks), default=1)
+        self.begun: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -71,9 +73,9 @@ class PieceTable(dict):
     def table(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """The last token of each prefix of `data`; `last` is the table of a prefix of it, which stays valid."""
         known = len(last) if last else 0
-        last = (last or []) + [-1] * (len(data) - known)
-        ranks, starts, fits, n, longest = self.ranks, self.starts, self.fits, len(data), 1
-        first = max(0, known - 128) if known else 0
+        last = [*(last or ()), *[-1] * (len(data) - known)]
+        ranks, starts, fits, n = self.ranks, self.starts, self.fits, len(data)
+        first = max(0, known - self.longest)
         for j in range(first, n):
             before = last[j - 1] if j else -1
             k = j + 1
@@ -83,6 +85,18 @@ class PieceTable(dict):
                 k += 1
         return last
 
+    def go_on(self, old: str, new: str) -> None:
+        """Encodes a piece that begins with another, going on with the table of that one."""
+        if new in self or not new.startswith(old):
+            return
+        data = new.encode("utf-8", "surrogatepass")
+        last = self.begun.get(old) or self.table(old.encode("utf-8", "surrogatepass"))
+        if len(self.begun) > 1_000:
+            self.begun.clear()
+        self.begun[new] = last = self.table(data, last)
+        whole = self.ranks.get(data)
+        self[new] = (whole,) if whole is not None else tuple(self.read(last, data))
+
     def read(self, last: list[int], data: bytes) -> list[int]:
         """The tokens of the whole piece, from its end backwards."""
         ids, k = [], len(data)
@@ -136,10 +150,12 @@ class EncodedText:
         begin = next((b for b, i in borders.items() if i == kept), 0)
         fresh, place = [], begin
         for m in regex.finditer(SPLIT, text, pos=begin):
-            old = borders.get(place - shift)
+            old = borders.get(place if place < start else place - shift)
             if old is not None and place >= start + len(new) and place - shift >= end:
                 self.pieces[kept:] = fresh + self.pieces[old:]
                 break
+            if old is not None and old < len(self.pieces):
+                self.table.go_on(self.pieces[old], m.group())
             fresh.append(m.group())
             place = m.end()
         else:

@@ -43,6 +43,22 @@ def test_tables_of_prefixes():
         assert t.read(t.table(data[:k]), data[:k]) == t.merge(data[:k])
 
 
+def test_vocabulary_with_long_tokens(tmp_path):
+    """Appends stay exact however long the longest token is."""
+    ranks = {bytes([i]): i for i in range(256)}
+    for n in range(2, 302):
+        ranks[b"a" * n] = 254 + n
+    file = tmp_path / "long.tiktoken"
+    file.write_bytes(b"\n".join(base64.b64encode(b) + b" " + str(i).encode() for b, i in ranks.items()))
+    t = tokens.piece_table(str(file))
+    assert t.longest == 301
+    for known in (1, 100, 250, 299):
+        data = b"a" * 300 + b"b"
+        assert t.table(data, t.table(data[:known])) == t.table(data)
+    x = tokens.EncodedText("a" * 290, str(file)).append("a" * 10)
+    assert x.ids == tokens.encode("a" * 300, str(file)) and len(x.ids) == len(t.merge(b"a" * 300))
+
+
 def test_tables(spark, reference, sf):
     rows = [(1, "", "x"), (2, None, "x"), (3, "a b", "x"), (3, "a b", "x"), (None, "c", "x"), (4, "word " * 30000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
