@@ -52,6 +52,11 @@ def node_records(nodes: DataFrame, calls: DataFrame | None = None, comments: Dat
     return own.groupBy("function_key").agg(listed.alias("l")).select("function_key", F.to_json(F.transform("l", lambda x: x["n"])).alias("nodes_json"), F.transform("l", lambda x: x["n"]["node_id"]).alias("node_ids"))
 
 
+# The headings and the last line of a prompt, as prompts are read by models that were tuned to them.
+HEAD_CONTEXT, HEAD_SOURCE, HEAD_NODES = "\n--- Project Context ---\n", "\n--- Function Source Code ---\n", "\n--- Nodes to Label ---\n"
+LAST_LINE = "\nReturn ONLY the JSON object mapping each node_id to its label."
+
+
 def context_text(parameters: Column, types: Column, purpose: Column, callees: Column) -> Column:
     """The context of a function, part by part, without empty parts."""
     part = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(title), body))
@@ -65,10 +70,10 @@ def prompt(qualified_name: Column, params: Column, purpose: Column, context: Col
         "\n",
         F.concat(F.lit("Function: "), full_signature(qualified_name, params)),
         part("Purpose: ", purpose),
-        part("\n--- Project Context ---\n", context),
-        F.concat(F.lit("\n--- Function Source Code ---\n"), F.coalesce(source, F.lit(""))),
-        F.concat(F.lit("\n--- Nodes to Label ---\n"), nodes_json),
-        F.lit("\nReturn ONLY the JSON object mapping each node_id to its label."),
+        part(HEAD_CONTEXT, context),
+        F.concat(F.lit(HEAD_SOURCE), F.coalesce(source, F.lit(""))),
+        F.concat(F.lit(HEAD_NODES), nodes_json),
+        F.lit(LAST_LINE),
     )
 
 

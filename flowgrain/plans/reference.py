@@ -691,7 +691,7 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def charts(spark: SparkSession, d: str) -> DataFrame:
-    """Flowcharts of all entries from their sources, with labels by rule."""
+    """Charts of all entries from their sources, with labels by rule."""
     return pipeline.charts(_entries(spark, d), _files(spark, d)).results
 
 
