@@ -67,13 +67,21 @@ def clean_lines(text: str) -> str:
 
 
 def _spaced(tokens: list[_Token]) -> str:
+    if len(tokens) == 1:
+        return tokens[0].text
     out = " ".join(t.text for t in tokens)
     out = re.sub(r"\s*(::|->|[()<>\[\],;&*~])\s*", r"\1", out)
     return re.sub(r"(?<=[,>&*])(?=\w)", " ", out).strip()
 
 
+#: Words with which what `_bare` leaves out begins.
+_DRESSED = frozenset(("template", "[[", "alignas", "__attribute__", "__declspec", "requires"))
+
+
 def _bare(tokens: list[_Token]) -> list[_Token]:
     """The tokens without template heads, attributes and alignment."""
+    if not any(t.text in _DRESSED for t in tokens):
+        return tokens.copy()
     out, i = [], 0
     while i < len(tokens):
         t = tokens[i].text
@@ -256,8 +264,10 @@ def declarations(text: str | None, linkage_blocks: bool = True) -> list[Declarat
             m = next(source, None)
             if m is None:
                 return False
-            kind = m.lastgroup if m.lastgroup != "d" else "raw"
-            if kind == "pre":
+            kind = m.lastgroup
+            if kind == "d":
+                kind = "raw"
+            elif kind == "pre":
                 was = skipping
                 skipping = passed_over(skipping, m.group())
                 if was:
@@ -331,9 +341,11 @@ def declarations(text: str | None, linkage_blocks: bool = True) -> list[Declarat
         out.extend(within), within.clear()
         last_line = line(at)
 
-    while have(i):
+    while i < len(tokens) or have(i):
         t = tokens[i]
-        if t.kind == "comment":
+        if t.kind == "word":
+            head.append(t)
+        elif t.kind == "comment":
             if head:
                 inside.append(t)
             elif line(t.start) != last_line:
