@@ -38,8 +38,11 @@ _NOTHING = re.compile(r"(?i)^\W*(n/?a|none|nil|null|no (description|comment|docu
 _KINDS = set("the this is a an it's its function method member class constructor destructor ctor dtor operator getter setter of for helper routine procedure implementation definition declaration named called int void bool impl name static virtual inline free".split())
 
 
+_NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+")
+
+
 def _words(text: str) -> set[str]:
-    return {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+", text)}
+    return {w.lower() for w in _NAME_PARTS.findall(text)}
 
 
 def comment_lines(comment: str) -> list[str]:
@@ -49,7 +52,7 @@ def comment_lines(comment: str) -> list[str]:
 
 def says_something(comment: str, name: str) -> bool:
     """Whether any line of a comment tells something about the function `name`."""
-    own, note = _words(name) | _KINDS, False
+    own, note = None, False
     for line in comment_lines(comment):
         if not line:
             note = False
@@ -70,6 +73,7 @@ def says_something(comment: str, name: str) -> bool:
             continue
         if _DIRECTIVE.search(line) or _POINTER.search(line) or _LICENCE.search(line) or _CODE.search(line) or _NOTHING.search(line):
             continue
+        own = own or _words(name) | _KINDS
         if not _words(line) <= own:
             return True
     return False
@@ -94,8 +98,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 parts = [c for c in (d.comment, *d.inline.split("\n")) if c]
                 told = [c for c in parts if says_something(c, d.qualified_name)] if d.kind == "function" else []
-                target = re.search(r"[@\\]copy(?:doc|brief|details)\s+([\w:~]+)", d.comment)
-                rows.append((project, file, d.kind, d.qualified_name, d.line, d.end_line, d.signature, d.is_definition, d.bases, plain("\n".join(told)), bool(told), target[1] if target else ""))
+                target = re.search(r"[@\\]copy(?:doc|brief|details)\s+([\w:~]+)", d.comment) if "copy" in d.comment else None
+                rows.append((project, file, d.kind, d.qualified_name, d.line, d.end_line, d.signature, d.is_definition, d.bases, plain("\n".join(told)) if told else "", bool(told), target[1] if target else ""))
         yield pd.DataFrame(rows, columns=columns)
 
 
