@@ -34,6 +34,8 @@ STAND_INS = r"(?i)^\W*(to-?do(\W*(describe|document|write|fill).*)?|xxx.*|fixme.
 _CUT_MARK = r"(?U)\s*(\[\s*(\.{3}|…)\s*\]|\(\s*(\.{3}|…)\s*\)|…|\.{3,})\s*$"
 #: Comments are compared within blocks of their first characters; shorter ones take a way of their own.
 BLOCK = 12
+#: Completed names that are sent to all tasks, at most; more are joined by a shuffle.
+SENT = 100_000
 _GROUP = ["project", "full", "types"]
 #: Functional dependencies between bundles: (bundle, attribute, bundle, attribute) of which chosen candidates have the same
 #: value. A candidate that lacks the attribute depends on nothing.
@@ -93,7 +95,9 @@ def _values(records: DataFrame) -> DataFrame:
         .groupBy("project", "name", "types", "bundle", "value", "line")
         .agg(F.min("record_id").alias("first"), F.max("rank").alias("rank"), F.count("*").alias("n"))
     )
-    named = by_name.join(_long_names(records), F.col("project").eqNullSafe(F.col("p")) & (F.col("name") == F.col("short")), "left").withColumn("full", F.coalesce("long", "name"))
+    longer = cut(_long_names(records))
+    longer = F.broadcast(longer) if longer.count() <= SENT else longer
+    named = by_name.join(longer, F.col("project").eqNullSafe(F.col("p")) & (F.col("name") == F.col("short")), "left").withColumn("full", F.coalesce("long", "name"))
     return named.groupBy(*_GROUP, "bundle", "value", "line").agg(F.min("first").alias("first"), F.max("rank").alias("rank"), F.sum("n").alias("n"))
 
 
