@@ -503,7 +503,7 @@ def is_copy(code: str, label: str) -> bool:
     return beside is not None and (not beside or (len(beside) <= 4 or len(places(code, label)) > 1) and not squeeze(code).rstrip(";").isalnum() or len(beside) <= 3 and any(c in label for c in ":`;"))
 
 
-_PERSON = re.compile(r"(?i)\b(I|I'm|I'd|my|me|you|your|sorry,|apologies|unfortunately)\b|\b(context|information)\b.*\b(needed|required|enough)|\bnot enough\b|\bcannot be (given|determined)|\bunable to\b")
+_PERSON = re.compile(r"(?i)\b(I|I'm|I'd|my|me|you|your|sorry,|apologies|unfortunately)\b|\b(context|information)\b.*\b(needed|required|enough)|\bnot enough\b|\bcannot be (given|determined)|\bno \w+ (can|could) be\b|\bunable to\b")
 
 
 def doubtful(code: str, label: str, lex: Lexicon | None, longest: int) -> bool:
